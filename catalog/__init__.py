@@ -1,0 +1,15 @@
+"""Registered queries over the stand-in views."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ["box_queries", "text_queries"]
+
+
+def load():
+    for m in MODULES:
+        importlib.import_module(f"catalog.{m}")
+    from catalog.registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
