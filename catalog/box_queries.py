@@ -78,17 +78,17 @@ def clamped_areas(spark, sf):
         "image_path", "x1", "y1", G.clamped_area(*c).alias("per_side"), G.product_clamped_area(*c).alias("of_product"))
 
 
-_N = lambda v, s: f"CASE WHEN found THEN round_even({v} / {s}, 6) END"
+_N = lambda v, s: f"CASE WHEN found THEN round_even({v} / ({s} - 1), 6) END"
 
 
 @query("box_records", f"""WITH {DET} SELECT image_path, confidence, found, CASE WHEN found THEN label END AS label,
-  CASE WHEN found THEN round_even(confidence / 3, 6) END AS score, CASE WHEN found THEN round_even(x1, 2) END AS xmin,
+  CASE WHEN found THEN round_even(sqrt(confidence), 6) END AS score, CASE WHEN found THEN round_even(x1, 2) END AS xmin,
   CASE WHEN found THEN round_even(y2, 2) END AS ymax, {_N('x1', 'image_width')} AS nxmin, {_N('y1', 'image_height')} AS nymin,
   {_N('x2', 'image_width')} AS nxmax, {_N('y2', 'image_height')} AS nymax FROM det""")
 def box_records(spark, sf):
     d = V.detections(spark, sf, [*SIZED, "found", "label"])
-    rec = G.box_record(F.col("found"), F.col("label"), F.col("confidence") / 3, *[F.col(c) for c in CORNERS],
-                       F.col("image_width"), F.col("image_height"))
+    rec = G.box_record(F.col("found"), F.col("label"), F.sqrt("confidence"), *[F.col(c) for c in CORNERS],
+                       F.col("image_width") - 1, F.col("image_height") - 1)  # odd sizes: no decimal ties
     s = d.select("image_path", "confidence", F.struct(*rec).alias("r"))
     return s.select(
         "image_path", "confidence", "r.found", "r.label", "r.score", F.col("r.xyxy.xmin").alias("xmin"),

@@ -110,11 +110,11 @@ def counters(df: DataFrame, sections: dict[str, Column], slots: dict[str, Column
     Every row is unfolded into one (section, key) pair per counter, plus one per
     array element for ``slots``; partial counts are combined before the shuffle.
     """
-    pairs = [F.array(F.struct(F.lit(s).alias("section"), c.cast("string").alias("key"))) for s, c in sections.items()]
-    for s, arr in (slots or {}).items():
-        pairs.append(F.transform(
-            arr, lambda k, s=s: F.struct(F.lit(s).alias("section"), k.cast("string").alias("key"))
-        ))
+    def pair(section: str):
+        return lambda k: F.struct(F.lit(section).alias("section"), k.cast("string").alias("key"))
+
+    pairs = [F.array(pair(s)(c)) for s, c in sections.items()]
+    pairs += [F.transform(arr, pair(s)) for s, arr in (slots or {}).items()]
     flat = df.select(F.inline(F.concat(*pairs)))
     return flat.groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"))
 
