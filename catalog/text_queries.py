@@ -126,7 +126,7 @@ def normalized_labels(spark, sf):
   SELECT image_path, string_agg(CASE WHEN lower(o[1]) IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || o || '.', ' ' ORDER BY o) AS text FROM o GROUP BY 1""")
 def detection_texts(spark, sf):
     d = V.detections(spark, sf, ["image_path", "label"]).select("image_path", F.split("label", " ")[1].alias("o"))
-    g = d.groupBy("image_path").agg(F.array_sort(F.collect_set("o")).alias("objects"))  # distinct class names only
+    g = d.groupBy("image_path").agg(F.sort_array(F.collect_set("o")).alias("objects"))  # distinct class names only
     return g.select("image_path", X.detection_text(F.col("objects")).alias("text"))
 
 

@@ -13,9 +13,7 @@ from math import gcd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Multipliers for permutations over data-sized pools: primes just below 2^31
-# and some smaller ones, so that for any pool size at least one of them shares
-# no factor with it and ``multiplier * slot`` stays inside a long.
+# Multipliers for permutations over data-sized pools: primes just below 2^31.
 POOL_PRIMES = [
     2147483647, 2147483629, 2147483587, 2147483579,
     2147483563, 2147483549, 2147483543, 2147483497,
@@ -37,6 +35,12 @@ def draw_u32(seed: int, salt: str, *key) -> Column:
     return F.conv(F.substring(draw_digest(seed, salt, *key), 1, 8), 16, 10).cast("long")
 
 
+def int_div(a, b) -> Column:
+    """Exact integer quotient of non-negative longs."""
+    as_long = lambda x: (x if isinstance(x, Column) else F.lit(int(x))).cast("long")
+    return F.call_function("div", as_long(a), as_long(b))
+
+
 def draw_unit(seed: int, salt: str, *key) -> Column:
     """Double in [0, 1)."""
     return draw_u32(seed, salt, *key) / F.lit(4294967296.0)
@@ -82,17 +86,16 @@ def small_cycle_position(slot: Column, cycle: Column, n: int, seed: int, salt: s
     """
     steps = F.array(*[F.lit(a) for a in coprimes(n)])
     u = draw_u32(seed, salt, "cycle", cycle)
-    a = F.element_at(steps, (F.pmod(F.floor(u / n), F.size(steps)) + 1).cast("int"))
+    a = F.element_at(steps, (F.pmod(int_div(u, n), F.size(steps)) + 1).cast("int"))
     return F.pmod(a * slot + F.pmod(u, F.lit(n)), F.lit(n)).cast("int")
 
 
 def pool_cycle_position(slot: Column, cycle: Column, n: Column, seed: int, salt: str, *key) -> Column:
     """As :func:`small_cycle_position` for a pool of ``n`` table rows (n < 2^31)."""
     primes = F.array(*[F.lit(p) for p in POOL_PRIMES])
-    usable = F.filter(primes, lambda p: F.pmod(p, n) != 0)
+    k = len(POOL_PRIMES)
     u = draw_u32(seed, salt, "cycle", *key, cycle)
-    a = F.coalesce(
-        F.try_element_at(usable, (F.pmod(u, F.greatest(F.size(usable), F.lit(1))) + 1).cast("int")),
-        F.lit(1),
-    )
+    pick = lambda shift: F.element_at(primes, (F.pmod(u + shift, F.lit(k)) + 1).cast("int"))
+    # Below 2^31 a pool size is a multiple of at most one of the primes.
+    a = F.when(F.pmod(n, pick(0)) != 0, pick(0)).otherwise(pick(1))
     return F.pmod(F.pmod(a, n) * slot + F.pmod(u, n), n)

@@ -113,14 +113,18 @@ def z_order(
     return ordinal(with_area, [key], [F.desc("bbox_area"), tie], band, "z_order", 1, hot_rows)
 
 
-def paste_order(df: DataFrame, image_col: str = "image_path") -> DataFrame:
+def crop_counts(df: DataFrame, image_col: str = "image_path") -> DataFrame:
+    return df.groupBy(image_col).agg(F.count(F.lit(1)).alias("__crops"))
+
+
+def paste_order(df: DataFrame, image_col: str = "image_path", counts: DataFrame | None = None) -> DataFrame:
     """Crops 1, 2, … first and crop 0 last, so that crop 0 ends on top.
 
-    Needs only the number of crops per image, not another sort.
+    Needs only the number of crops per image, not another sort. ``counts`` may
+    come from the un-numbered boxes, which saves numbering them twice.
     """
-    sizes = df.groupBy(image_col).agg(F.count(F.lit(1)).alias("__crops"))
     return (
-        df.join(sizes, image_col)
+        df.join(crop_counts(df, image_col) if counts is None else counts, image_col)
         .withColumn("paste_order", F.when(F.col("crop_no") == 0, F.col("__crops")).otherwise(F.col("crop_no")))
         .drop("__crops")
     )
@@ -424,7 +428,7 @@ def group_prompts(df: DataFrame, prompt_col: str | None, order_col: str, image_c
         F.min(F.when(F.col("p").isNotNull(), F.struct(F.col(order_col).alias("o"), F.col("p").alias("p")))).alias("first")
     )
     g = per_class.groupBy(image_col).agg(
-        F.min("first").alias("first"), F.array_sort(F.collect_set("c")).alias("classes")
+        F.min("first").alias("first"), F.sort_array(F.collect_set("c")).alias("classes")
     )
     listed = F.concat(F.lit(K.SCENE_OF_CLASSES), F.array_join("classes", ", "), F.lit("."))
     return g.select(

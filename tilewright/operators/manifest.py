@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tilewright import constants as K
 from tilewright.functions import geometry as G
 from tilewright.functions import text as X
+from tilewright.functions.draws import int_div
 from tilewright.functions.truthy import truthy_coalesce
 from tilewright.operators.ranking import (
     GROUP_LIMIT, HOT_ROWS, chunked_lists, first_per_key, global_ordinal, ordinal,
@@ -422,10 +423,10 @@ def range_shards(indexed_df: DataFrame, num_shards: int, index_col: str = "row_i
         raise ValueError("num_shards must be positive")
     n = indexed_df.agg(F.count(F.lit(1))).scalar()
     i, k = F.col(index_col), F.lit(num_shards)
-    small, extra = F.floor(n / k), F.pmod(n, k)
+    small, extra = int_div(n, k), F.pmod(n, k)
     edge = extra * (small + 1)
-    shard = F.when(i < edge, F.floor(i / (small + 1))).otherwise(
-        extra + F.floor((i - edge) / F.greatest(small, F.lit(1)))
+    shard = F.when(i < edge, int_div(i, small + 1)).otherwise(
+        extra + int_div(i - edge, F.greatest(small, F.lit(1)))
     )
     return indexed_df.withColumn("shard", shard.cast("int"))
 
@@ -472,7 +473,7 @@ def archive_quota(
     if bound <= GROUP_LIMIT:
         ranked = first_per_key(members, [archive], [F.asc(order_col)], bound, "archive_rank")
     else:
-        band = F.floor(F.col(order_col) / 4096)
+        band = int_div(F.col(order_col), 4096)
         ranked = ordinal(members, [archive], [F.asc(order_col)], band, "archive_rank", 1, hot_rows)
     return ranked.join(quota, archive).where(F.col("archive_rank") <= F.col("__quota")).drop("__quota")
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from tilewright import constants as K
 from tilewright.functions import text as X
-from tilewright.functions.draws import draw_digest, draw_u32
+from tilewright.functions.draws import draw_digest, draw_u32, int_div
 from tilewright.operators.ranking import HOT_ROWS, digest_band, first_per_key, ordinal
 
 # ------------------------------------------------------------------ label match
@@ -37,7 +37,8 @@ def containment_pairs(left: DataFrame, right: DataFrame, left_col: str, right_co
     """
     def one_way(inner: DataFrame, inner_col: str, outer: DataFrame, outer_col: str) -> DataFrame:
         lengths = inner.agg(F.collect_set(F.length(inner_col))).scalar()  # at most one entry per length
-        cut = outer.select(outer_col, F.explode(_substrings(F.col(outer_col), lengths)).alias(inner_col))
+        sized = outer.select(outer_col, lengths.alias("__lengths"))
+        cut = sized.select(outer_col, F.explode(_substrings(F.col(outer_col), F.col("__lengths"))).alias(inner_col))
         return cut.join(inner, inner_col).select(left_col, right_col)
 
     return (
@@ -150,12 +151,14 @@ def two_nearest(queries: DataFrame, refs: DataFrame, metric: str = "l2", tile: i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = queries.join(grid, "pair_id").select("pair_id", "vec_id", "vec", side("tq").alias("qt"), every("tr").alias("rt"))
     r = refs.join(grid, "pair_id").select("pair_id", "vec_id", "vec", side("tr").alias("rt"), every("tq").alias("qt"))
+    # Both sides may come from one table; new names keep their columns apart.
+    q, r = q.toDF("pair_id", "vec_id", "vec", "qt", "rt"), r.toDF("r_pair", "vec_id", "vec", "r_rt", "r_qt")
     id_type = dict(queries.dtypes)
     schema = (
         f"pair_id {id_type['pair_id']}, query_id {id_type['vec_id']}, "
         f"ref_id {dict(refs.dtypes)['vec_id']}, dist double"
     )
-    tiles = q.groupBy("pair_id", "qt", "rt").cogroup(r.groupBy("pair_id", "qt", "rt")).applyInPandas(
+    tiles = q.groupBy("pair_id", "qt", "rt").cogroup(r.groupBy("r_pair", "r_qt", "r_rt")).applyInPandas(
         _tile_matcher(metric), schema
     )
     top = first_per_key(tiles, ["pair_id", "query_id"], [F.asc("dist"), F.asc("ref_id")], 2, "rk")
@@ -301,7 +304,7 @@ def consensus(
 
     model = F.struct("hyp", "a", "b", "tx", "ty")
     per_pair = models.groupBy(key).agg(F.sort_array(F.collect_list(model)).alias("m"))
-    blocks = pts.groupBy(key, F.floor(F.col("pt") / block).alias("blk")).agg(
+    blocks = pts.groupBy(key, int_div(F.col("pt"), block).alias("blk")).agg(
         F.collect_list(F.struct("sx", "sy", "dx", "dy")).alias("s")
     )
     field = lambda arr, f: F.transform(arr, lambda e: e[f])

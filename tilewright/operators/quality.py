@@ -63,12 +63,12 @@ def landmark_status(df: DataFrame, paths_col: str = "reference_images", limit: i
 
 def category_combo(cats: Column, sep: str = " + ") -> Column:
     """Sorted categories with repeats, joined."""
-    return F.array_join(F.array_sort(cats), sep)
+    return F.array_join(F.sort_array(cats), sep)
 
 
 def category_pairing(cats: Column, sep: str = "+") -> Column:
     """Sorted distinct categories joined; null when there is only one."""
-    distinct = F.array_sort(F.array_distinct(cats))
+    distinct = F.sort_array(F.array_distinct(cats))
     return F.when(F.size(distinct) > 1, F.array_join(distinct, sep))
 
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.draws import int_div
+
 HOT_ROWS = 1_000_000
 # At most this many keys are treated as hot. A key outside the list holds less
 # than 1 / (MAX_HOT_KEYS + 1) of all rows, so it cannot dominate a stage.
@@ -69,6 +71,20 @@ def ordinal(
     flagged = mark_hot(df, keys, hot_keys(df, keys, hot_rows), "__is_hot")
     banded = flagged.withColumn("__band", F.when(F.col("__is_hot"), F.coalesce(band.cast("long"), F.lit(-(2**63))))).drop("__is_hot")
 
+    return _band_numbers(df.columns, banded, keys, order, name, start)
+
+
+def split_ordinal(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], band: Column, name: str = "ordinal", start: int = 0
+) -> DataFrame:
+    """:func:`ordinal` for a few large keys (categories, roots): every key is split, none is looked up first."""
+    keys = list(keys)
+    banded = df.withColumn("__band", F.coalesce(band.cast("long"), F.lit(-(2**63))))
+    return _band_numbers(df.columns, banded, keys, order, name, start)
+
+
+def _band_numbers(columns, banded: DataFrame, keys: list[str], order: Sequence[Column], name: str, start: int) -> DataFrame:
+    """Row number inside the band plus the rows of the key's earlier bands."""
     tally = banded.where(F.col("__band").isNotNull()).groupBy(*keys, "__band").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tally.select(
@@ -76,7 +92,6 @@ def ordinal(
         F.col("__band").alias("__k_band"),
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
     )
-
     numbered = banded.withColumn(
         "__rn", F.row_number().over(Window.partitionBy(*keys, "__band").orderBy(*order))
     )
@@ -85,7 +100,7 @@ def ordinal(
         cond = cond & numbered[k].eqNullSafe(offsets[f"__k_{k}"])
     joined = numbered.join(offsets, cond, "left")
     number = F.col("__rn") - 1 + F.coalesce(F.col("__before"), F.lit(0)) + F.lit(start)
-    return joined.select(*df.columns, number.cast("long").alias(name))
+    return joined.select(*columns, number.cast("long").alias(name))
 
 
 def global_ordinal(
@@ -178,6 +193,6 @@ def chunked_lists(
     cols = [F.col(f) if isinstance(f, str) else f for f in fields]
     item = F.struct(F.col(ordinal_col), *cols)
     return (
-        df.groupBy(*keys, F.floor(F.col(ordinal_col) / chunk).cast("long").alias("part"))
+        df.groupBy(*keys, int_div(F.col(ordinal_col), chunk).alias("part"))
         .agg(F.sort_array(F.collect_list(item)).alias(name))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright import constants as K
 from tilewright.functions import text as X
-from tilewright.functions.draws import base_order, coprimes, draw_below, draw_u32, draw_unit, py_u32
+from tilewright.functions.draws import base_order, draw_below, draw_u32, draw_unit, int_div, py_u32
 from tilewright.operators.sampling import cyclic_value, distinct_positions, even_slot, small_cycle_position
 
 N = K.OBJECTS_PER_THEME
@@ -24,66 +24,59 @@ def _strings(values: Sequence[str]) -> Column:
 
 
 def theme_catalog(spark: SparkSession) -> DataFrame:
-    """Ten rows: theme, setting, objects, surfaces and characters."""
+    """Ten rows: theme, setting, objects, surfaces, characters and surfaces of furniture-sized objects."""
     rows = [
-        (i, t, K.THEME_SETTINGS[t], K.THEME_OBJECTS[t], K.THEME_SURFACES[t], K.THEME_CHARACTERS[t])
+        (i, t, K.THEME_SETTINGS[t], K.THEME_OBJECTS[t], K.THEME_SURFACES[t], K.THEME_CHARACTERS[t],
+         {o: K.SURFACE_OVERRIDES[o] for o in K.THEME_OBJECTS[t] if o in K.SURFACE_OVERRIDES})
         for i, t in enumerate(THEMES)
     ]
     return spark.createDataFrame(
         rows, "theme_no int, theme string, setting string, theme_objects array<string>, "
-        "surfaces array<string>, characters array<string>",
+        "surfaces array<string>, characters array<string>, overrides map<string,array<string>>",
     )
 
 
 def shot_catalog(spark: SparkSession, shots: Sequence[str] = tuple(SHOTS)) -> DataFrame:
     """One row per shot type: label, camera text and usable locations."""
     rows = [
-        (i, s, K.SHOT_LABELS[s], K.SHOT_CAMERAS[s], K.SHOT_LOCATIONS[s], [_LOCATION_TEXT[k] for k in K.SHOT_LOCATIONS[s]])
+        (i, s, K.SHOT_LABELS[s], K.SHOT_CAMERAS[s], K.SHOT_LOCATIONS[s], place_weights(len(K.SHOT_LOCATIONS[s]), N))
         for i, s in enumerate(shots)
     ]
     return spark.createDataFrame(
         rows, "shot_no int, shot_type string, shot_label string, camera_text string, "
-        "location_keys array<string>, location_texts array<string>",
+        "location_keys array<string>, location_weights array<bigint>",
     )
 
 
-def override_map() -> Column:
-    """Object to its own surfaces, for furniture-sized objects."""
-    pairs = []
-    for obj, texts in K.SURFACE_OVERRIDES.items():
-        pairs += [F.lit(obj), _strings(texts)]
-    return F.create_map(*pairs)
-
-
-def product_digit(index: Column, n: Column | int, j: int) -> Column:
+def product_digit(index: Column, n: int, j: int) -> Column:
     """Digit j (low first) of the index-th element of a product of n-sized pools."""
-    n = F.lit(n) if isinstance(n, int) else n
-    power = F.pow(n, F.lit(j)).cast("long")
-    return F.pmod(F.floor(index / power), n.cast("long")).cast("int")
+    return F.pmod(int_div(index, n**j), F.lit(n)).cast("int")
 
 
-def unranked(df: DataFrame, rank: str, pool: str, take: int, out: str, size: Column) -> DataFrame:
-    """Column ``out``: the rank-th arrangement of ``take`` distinct entries of array ``pool``.
+def unranked(rank: Column, pool: Column, weights: Column | Sequence[int], take: int) -> Column:
+    """The rank-th arrangement of ``take`` distinct entries of array ``pool``.
 
-    Arrangements are numbered in lexicographic order of pool positions; the pool
-    is walked digit by digit, so no list of arrangements exists anywhere.
+    Arrangements are numbered in lexicographic order of pool positions.
+    ``weights[j]`` is the number of arrangements of the places after j. Digits
+    come from the rank by arithmetic, so no list of arrangements exists anywhere.
     """
-    step = df.withColumn("__rest", F.col(pool)).withColumn("__r", F.col(rank)).withColumn(
-        out, F.array().cast("array<string>")
-    ).withColumn("__size", size.cast("long"))
-    for j in range(take):
-        below = F.lit(1).cast("long")  # arrangements of the remaining places
-        for i in range(j + 1, take):
-            below = below * (F.col("__size") - i)
-        step = step.withColumn("__w", below).withColumn("__d", F.floor(F.col("__r") / F.col("__w")))
-        step = step.withColumn("__pick", F.element_at("__rest", (F.col("__d") + 1).cast("int")))
-        step = step.select(
-            *[c for c in step.columns if c not in (out, "__rest", "__r", "__w", "__d", "__pick")],
-            F.array_append(out, F.col("__pick")).alias(out),
-            F.array_remove("__rest", F.col("__pick")).alias("__rest"),
-            (F.col("__r") - F.col("__d") * F.col("__w")).alias("__r"),
-        )
-    return step.drop("__rest", "__r", "__size")
+    if not isinstance(weights, Column):
+        weights = F.array(*[F.lit(w).cast("long") for w in weights])
+    digits = F.array(*[
+        F.pmod(int_div(rank, F.element_at(weights, j + 1)), F.size(pool) - j).cast("int") for j in range(take)
+    ])
+    start = F.struct(pool.alias("rest"), F.slice(pool, 1, 0).alias("out"))
+
+    def place(acc, digit):
+        pick = F.element_at(acc["rest"], digit + 1)
+        return F.struct(F.array_remove(acc["rest"], pick).alias("rest"), F.array_append(acc["out"], pick).alias("out"))
+
+    return F.aggregate(digits, start, place, lambda acc: acc["out"])
+
+
+def place_weights(m: int, take: int) -> list[int]:
+    """Arrangements of the remaining places after each of ``take`` picks from ``m`` entries."""
+    return [_arrangements(m - j - 1, take - j - 1) for j in range(take)]
 
 
 def _arrangements(m: int, take: int) -> int:
@@ -180,19 +173,19 @@ def max_permutations(
     const = _shot_constants(shots, seed)
     at = lambda name: F.element_at(const[name], F.col("shot_no") + 1)
     step = step.withColumn("loc_rank", F.pmod(F.pmod(g, at("total")) * at("step") + at("shift"), at("total")))
-    step = unranked(step, "loc_rank", "location_keys", N, "loc_arrangement", F.size("location_keys"))
-    step = step.withColumn("obj_rank", F.pmod(draw_u32(seed, "objects", g), F.lit(factorial(N))))
-    step = unranked(step, "obj_rank", "theme_objects", N, "ordered_objects", F.lit(N))
+    obj_rank = F.pmod(draw_u32(seed, "objects", g), F.lit(factorial(N)))
+    step = step.select(
+        "*", unranked(F.col("loc_rank"), F.col("location_keys"), F.col("location_weights"), N).alias("loc_arrangement"),
+        unranked(obj_rank, F.col("theme_objects"), place_weights(N, N), N).alias("ordered_objects"),
+    )
     theme = F.col("theme_no")
     who = F.element_at("characters", (draw_below(F.size("characters"), seed, "who", g) + 1).cast("int"))
     step = step.withColumn("character_text", F.when(draw_unit(seed, "people", g) < people_fraction, who))
 
-    overrides = override_map()
-
     def surface(j: int) -> Column:
-        own = F.try_element_at(overrides, F.element_at("ordered_objects", j + 1))
-        drawn = F.try_element_at(own, (draw_below(F.greatest(F.size(own), F.lit(1)), seed, f"override{j}", g) + 1).cast("int"))
-        plain = F.element_at("surfaces", product_digit(g * 19 + theme, F.size("surfaces"), j) + 1)
+        own = F.try_element_at("overrides", F.element_at("ordered_objects", j + 1))
+        drawn = F.try_element_at(own, (draw_below(2, seed, f"override{j}", g) + 1).cast("int"))  # two texts each
+        plain = F.element_at("surfaces", product_digit(g * 19 + theme, N, j) + 1)  # six surfaces per theme
         return F.coalesce(drawn, plain)
 
     details = _details(
@@ -212,11 +205,11 @@ def balanced_themes(
     spark = samples.sparkSession
     step = _with_theme(samples, index_col, total)
     i = F.col("sample_no")
-    shot_no = small_cycle_position(F.pmod(i, F.lit(len(shots))), F.floor(i / len(shots)), len(shots), seed, "shot")
+    shot_no = small_cycle_position(F.pmod(i, F.lit(len(shots))), int_div(i, len(shots)), len(shots), seed, "shot")
     step = step.withColumn("shot_no", shot_no).join(F.broadcast(shot_catalog(spark, shots)), "shot_no")
 
     # A shot type comes up once per cycle of shots, so the cycle number counts its samples.
-    turn = F.floor(i / len(shots))
+    turn = int_div(i, len(shots))
     arranged = F.lit(None).cast("array<string>")
     for no, s in enumerate(shots):
         keys = K.SHOT_LOCATIONS[s]
@@ -229,23 +222,21 @@ def balanced_themes(
 
     draw = lambda j: i * N + j
     inside = lambda j: F.col("in_theme") * N + j
-    overrides = override_map()
-
     def surface(j: int) -> Column:
-        own = F.try_element_at(overrides, F.element_at("theme_objects", j + 1))
-        pair = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(2)), F.floor(F.col("in_theme") / 2), 2, seed, f"override{j}")
-        plain = small_cycle_position(F.pmod(inside(j), F.lit(N)), F.floor(inside(j) / N), N, seed, "surface")
+        own = F.try_element_at("overrides", F.element_at("theme_objects", j + 1))
+        pair = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(2)), int_div(F.col("in_theme"), 2), 2, seed, f"override{j}")
+        plain = small_cycle_position(F.pmod(inside(j), F.lit(N)), int_div(inside(j), N), N, seed, "surface")
         return F.coalesce(F.try_element_at(own, pair + 1), F.element_at("surfaces", plain + 1))
 
     orient = lambda j: small_cycle_position(
-        F.pmod(draw(j), F.lit(len(K.ORIENTATIONS))), F.floor(draw(j) / len(K.ORIENTATIONS)), len(K.ORIENTATIONS), seed, "orientation")
+        F.pmod(draw(j), F.lit(len(K.ORIENTATIONS))), int_div(draw(j), len(K.ORIENTATIONS)), len(K.ORIENTATIONS), seed, "orientation")
     details = _details(
         F.col("theme_objects"), surface, F.col("loc_arrangement"), _LOCATION_TEXT, orient,
         lambda j: cyclic_value(K.COLORS, draw(j), seed, "color"),
         lambda j: cyclic_value(K.MATERIALS, draw(j), seed, "material"),
     )
     n_chars = len(next(iter(K.THEME_CHARACTERS.values())))
-    who = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(n_chars)), F.floor(F.col("in_theme") / n_chars), n_chars, seed, "who")
+    who = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(n_chars)), int_div(F.col("in_theme"), n_chars), n_chars, seed, "who")
     step = step.withColumn("character_text", F.when(
         draw_unit(seed, "people", i) < people_fraction, F.element_at("characters", who + 1)
     ))

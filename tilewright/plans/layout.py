@@ -1,4 +1,4 @@
-"""Detections to canvas layout: filter, number, fit, order (two shuffles on the image)."""
+"""Detections to canvas layout: filter, number, fit, order (one wide shuffle on the image)."""
 
 from __future__ import annotations
 
@@ -13,5 +13,7 @@ def canvas_layout(
     detections: DataFrame, min_side: float = 0.0, match_side: float = K.LARGE_SIDE, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Numbered boxes with canvas corners and paste order."""
-    numbered = B.crop_numbers(B.large_boxes(detections, min_side), match_side=match_side, hot_rows=hot_rows)
-    return B.paste_order(B.letterbox_boxes(numbered))
+    boxes = B.large_boxes(detections, min_side)
+    numbered = B.crop_numbers(boxes, match_side=match_side, hot_rows=hot_rows)
+    # The counts per image are the ones that look for hot images, so Spark shares that exchange.
+    return B.paste_order(B.letterbox_boxes(numbered), counts=B.crop_counts(boxes))
