@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["box_queries", "text_queries", "manifest_queries", "sampling_queries", "match_queries"]
+MODULES = ["box_queries", "text_queries", "manifest_queries", "sampling_queries", "match_queries", "io_queries"]
 
 
 def load():

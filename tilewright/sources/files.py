@@ -98,7 +98,7 @@ def dataset_roots(spark: SparkSession, text: str) -> DataFrame:
 
 def caption_files(spark: SparkSession, folder: str) -> DataFrame:
     """One caption per text file: (stem, path, caption)."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return df.select(
         X.file_stem(F.col("_metadata.file_name")).alias("stem"), F.col("_metadata.file_path").alias("path"),
         X.strip(F.col("value")).alias("caption"),
@@ -108,7 +108,7 @@ def caption_files(spark: SparkSession, folder: str) -> DataFrame:
 # -------------------------------------------------------------------- listings
 
 def _listing(spark: SparkSession, paths, recursive: bool) -> DataFrame:
-    """File paths and lengths; the content column is pruned, so no bytes are read."""
+    """Paths and lengths of non-empty files; the content column is pruned, so no bytes are read."""
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
@@ -147,12 +147,20 @@ def depth_inputs(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("rel", rel).where(~F.col("rel").startswith("depth/") & ~stem.rlike("_depth(_raw)?$"))
 
 
-def non_empty(listing: DataFrame) -> DataFrame:
-    return listing.where(F.col("length") > 0)
+def split_empty(wanted: DataFrame, listing: DataFrame) -> DataFrame:
+    """Wanted paths with ``skip_reason`` ``missing`` or ``empty``; null for files to use.
+
+    ``listing`` comes from :func:`tilewright.sources.listing.folder_files`.
+    """
+    reason = F.when(F.col("length").isNull(), "missing").when(F.col("length") == 0, "empty")
+    return wanted.join(listing.select("path", "length"), "path", "left").withColumn("skip_reason", reason)
 
 
-def empty_count(listing: DataFrame) -> DataFrame:
-    return listing.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("length") == 0).alias("n_empty"))
+def skip_counts(checked: DataFrame) -> DataFrame:
+    return checked.agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("skip_reason") == "empty").alias("n_empty"),
+        F.count_if(F.col("skip_reason") == "missing").alias("n_missing"),
+    )
 
 
 # ---------------------------------------------------------------- image shards
