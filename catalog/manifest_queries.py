@@ -302,7 +302,7 @@ def modulo_shard_first(spark, sf):
 
 @query("range_shards", f"WITH {_IDX}, t AS (SELECT row_index, ntile(7) OVER (ORDER BY row_index) - 1 AS shard FROM ix) SELECT cast(shard as int) AS shard, min(row_index) AS start, max(row_index) + 1 AS \"end\" FROM t GROUP BY 1")
 def range_shards(spark, sf):
-    return M.shard_bounds(M.range_shards(indexed(spark, sf), 7))
+    return M.shard_bounds(M.range_shards(indexed(spark, sf), 7, total=V.table(spark, sf, "orders").count()))
 
 
 @query("index_slice", f"WITH {_IDX} SELECT id, row_index FROM ix WHERE row_index >= 100 AND row_index < 260")

@@ -58,7 +58,7 @@ _NN = """q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec
 
 
 def _sides(spark, sf):
-    e = V.table(spark, sf, "embeddings").select(F.lit(0).alias("pair_id"), "vec_id", F.col("embedding").alias("vec"))
+    e = V.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10**12).alias("pair_id"), "vec_id", F.col("embedding").alias("vec"))
     return e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
 
 

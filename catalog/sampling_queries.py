@@ -43,7 +43,8 @@ def samples(spark, sf):
 
 
 def n_samples(spark, sf):
-    return V.table(spark, sf, "orders").agg(F.count(F.lit(1))).scalar()
+    """Requested number of samples: one per order, from the Parquet footers."""
+    return V.table(spark, sf, "orders").count()
 
 
 _AX = lambda pool, div, combo="combo": f"{V.quoted([k for k, _ in pool])}[({combo} // {div}) % {len(pool)} + 1]"
@@ -124,7 +125,7 @@ def allocated_counts(spark, sf):
     """The number of orders split over customer segments by largest remainder."""
     w = V.table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).cast("double").alias("w"))
     w = w.select(F.col("c_mktsegment").alias("segment"), "w", F.col("c_mktsegment").alias("pos"))
-    return S.allocate_table(w, n_samples(spark, sf), "segment", "w", "pos")
+    return S.allocate_table(w, F.lit(n_samples(spark, sf)), "segment", "w", "pos")
 
 
 _N = "(SELECT count(*) FROM orders)"
@@ -150,8 +151,7 @@ def included_people(spark, sf):
 @query("composed_samples")
 def composed(spark, sf):
     """Full composition plan; its rules are tested as invariants."""
-    n = V.table(spark, sf, "orders").count()
-    c = composed_samples(samples(spark, sf), good(spark, sf), n, SEED)
+    c = composed_samples(samples(spark, sf), good(spark, sf), n_samples(spark, sf), SEED)
     return c.select("id", "num_references", F.array_join("reference_ids", "|").alias("references"),
                     F.array_join("reference_categories", "|").alias("categories"), "conditions.scale", "conditions.rotation",
                     "conditions.lighting", "conditions.interaction", F.md5("prompt_text").alias("prompt_md5"))

@@ -417,11 +417,18 @@ def modulo_shard(indexed_df: DataFrame, shard_id: int, num_shards: int, index_co
     return indexed_df.where(F.pmod(F.col(index_col), F.lit(num_shards)) == shard_id)
 
 
-def range_shards(indexed_df: DataFrame, num_shards: int, index_col: str = "row_index") -> DataFrame:
-    """Contiguous shard number per row; the first ``n mod k`` shards hold one row more."""
+def range_shards(
+    indexed_df: DataFrame, num_shards: int, index_col: str = "row_index", total: Column | int | None = None
+) -> DataFrame:
+    """Contiguous shard number per row; the first ``n mod k`` shards hold one row more.
+
+    ``total`` is the number of rows where it is known; otherwise it is counted.
+    """
     if num_shards < 1:
         raise ValueError("num_shards must be positive")
-    n = indexed_df.agg(F.count(F.lit(1))).scalar()
+    n = indexed_df.agg(F.count(F.lit(1))).scalar() if total is None else (
+        total if isinstance(total, Column) else F.lit(total)
+    )
     i, k = F.col(index_col), F.lit(num_shards)
     small, extra = int_div(n, k), F.pmod(n, k)
     edge = extra * (small + 1)

@@ -67,20 +67,20 @@ def match_labels(requested: DataFrame, detections: DataFrame, key: str = "id", p
         detections.withColumn("__d", X.normalize_label(F.col("label")))
         .groupBy(key, "__d").agg(F.max(cand).alias("c"))
     )
-    vocab_o = req.select("__o").where(F.col("__o") != "").distinct()
-    vocab_d = best.select("__d").where(F.col("__d") != "").distinct()
-    pairs = containment_pairs(vocab_o, vocab_d, "__o", "__d")
+    vocab_o = req.select("__o").distinct()
+    vocab_d = detections.select(X.normalize_label(F.col("label")).alias("__d")).where(F.col("__d") != "").distinct()
+    pairs = containment_pairs(vocab_o.where(F.col("__o") != ""), vocab_d, "__o", "__d")
+    # An empty request is contained in every label: one more pair per label, if there is such a request.
+    blank = vocab_o.where(F.col("__o") == "").agg(F.count(F.lit(1))).scalar()
+    pairs = pairs.unionByName(vocab_d.where(blank > 0).select(F.lit("").alias("__o"), "__d"))
 
     by_label = best.join(pairs, "__d").select(key, "__o", "c")
-    # An empty label is contained in every other one.
-    empty_asked = req.where(F.col("__o") == "").select(key, "__o").distinct().join(
-        best.groupBy(key).agg(F.max("c").alias("c")), key
-    )
-    empty_found = best.where(F.col("__d") == "").select(key, "c").join(
+    # An empty detected label matches whatever its own sample asks for.
+    by_blank = best.where(F.col("__d") == "").select(key, "c").join(
         req.select(key, "__o").distinct(), key
     ).select(key, "__o", "c")
     winner = (
-        by_label.unionByName(empty_asked).unionByName(empty_found)
+        by_label.unionByName(by_blank)
         .groupBy(key, "__o").agg(F.max("c").alias("c"))
     )
     return req.join(winner, [key, "__o"], "left").select(
