@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,5 +38,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     Only where that is unset (tests, single machine) a temporary folder is used.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if shared:
+        base = re.sub("^file:/*", "/", shared).rstrip("/")
+    else:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/tilewright-{label}-{uuid.uuid4().hex}"
