@@ -170,7 +170,7 @@ _PAIR = f"""{_REL}, dfile AS (SELECT rel, CASE WHEN k % 4 = 0 THEN concat(cast(k
 
 
 def rels(spark, sf):
-    return V.table(spark, sf, "orders").select(
+    return V.spread(V.table(spark, sf, "orders"), "o_orderkey").select(
         F.concat(F.lit("set"), (F.col("o_orderkey") % 3).cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("rel"),
         F.col("o_orderkey").alias("k")).distinct()
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from catalog import views as V
 from catalog.registry import query
 from tilewright.operators import match as T
-from tilewright.operators.ranking import ordinal
 
 # Requested objects: second word of the part names of an order. Detections: all its parts by full name.
 _REQ = "req AS (SELECT DISTINCT l_orderkey AS id, split_part(p_name, ' ', 2) AS object FROM lineitem JOIN part ON l_partkey = p_partkey)"
-_DETS = """dets AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS det_no,
+_DETS = """dets AS (SELECT l_orderkey AS id, l_partkey * 100000 + l_suppkey AS det_no,
   concat('A ', upper(p_name)) AS label, l_extendedprice / 100000 AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0)"""
 
 
@@ -27,9 +26,8 @@ def requested(spark, sf):
 
 def detected(spark, sf):
     d = _lines(spark, sf).where("l_linenumber % 2 = 0")
-    order = [F.desc("l_extendedprice"), *[F.asc(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")]]
-    n = ordinal(d, ["l_orderkey"], order, -F.floor("l_extendedprice"), "det_no", 1)
-    return n.select(F.col("l_orderkey").alias("id"), "det_no", F.concat(F.lit("A "), F.upper("p_name")).alias("label"), (F.col("l_extendedprice") / 100000).alias("score"))
+    return d.select(F.col("l_orderkey").alias("id"), F.expr("l_partkey * 100000 + l_suppkey").alias("det_no"),
+                    F.concat(F.lit("A "), F.upper("p_name")).alias("label"), (F.col("l_extendedprice") / 100000).alias("score"))
 
 
 @query("matched_labels", f"""WITH {_REQ}, {_DETS}, m AS (SELECT r.id, r.object, max_by(d.label, (d.score, -d.det_no)) AS label, max_by(d.det_no, (d.score, -d.det_no)) AS det_no, max(d.score) AS score

@@ -39,7 +39,7 @@ def small_pos(slot, cycle, n, salt, seed=SEED):
 
 def samples(spark, sf):
     """One sample per order, numbered 0…n-1 (order keys are dense)."""
-    return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_no"))
+    return V.spread(V.table(spark, sf, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("sample_no"))
 
 
 def n_samples(spark, sf):

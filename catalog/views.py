@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split an input that has fewer partitions than there are cores (a single small file).
+
+    A large table already has many partitions and is left alone, so this never
+    moves data at scale; it only keeps CPU-heavy work off a single core here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 X1 = "(l_partkey % 1000 + l_discount*10)"
 Y1 = "((l_suppkey*7) % 500 + l_tax*10)"
 DETECTION_COLUMNS = [
@@ -128,7 +138,7 @@ def order_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf: str, only: list[str] | None = None) -> DataFrame:
-    d, l = table(spark, sf, "documents").alias("d"), table(spark, sf, "labels").alias("l")
+    d, l = spread(table(spark, sf, "documents"), "doc_id").alias("d"), table(spark, sf, "labels").alias("l")
     return d.join(l, "doc_id", "left").selectExpr(*_exprs(REF_COLUMNS, only))
 
 

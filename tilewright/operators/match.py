@@ -247,9 +247,10 @@ def _inlier_counts(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for batch in it:
         out = []
         for sx, sy, dx, dy, a, b, tx, ty, limit in zip(*batch):
-            px = np.outer(a, sx) + np.outer(b, sy) + np.asarray(tx)[:, None] - np.asarray(dx)[None, :]
-            py = np.outer(a, sy) - np.outer(b, sx) + np.asarray(ty)[:, None] - np.asarray(dy)[None, :]
-            out.append((np.hypot(px, py) <= limit).sum(axis=1).astype(np.int32))
+            src = np.stack([sx, sy, np.ones(len(sx))])
+            ex = np.stack([a, b, tx], axis=1) @ src - np.asarray(dx)
+            ey = np.stack([-np.asarray(b), a, ty], axis=1) @ src - np.asarray(dy)
+            out.append(np.count_nonzero(ex * ex + ey * ey <= limit * limit, axis=1).astype(np.int32))
         yield pd.Series(out)
 
 
@@ -270,9 +271,10 @@ def consensus(
 
     ``points`` is (key, point_no, sx, sy, dx, dy). With ``scales`` (key,
     expected_scale) the scale is locked, otherwise it is free. Three distinct
-    points per hypothesis are drawn by hash and fetched by equi-join. Points are
-    scored in blocks of bounded size against the pair's hypotheses (at most
-    4,000), so one very large pair is spread over tasks; only counts are merged.
+    points per hypothesis are drawn by hash and looked up in the blocks by
+    equi-join. Points are scored in blocks of bounded size against the pair's
+    hypotheses (at most 4,000), so one very large pair is spread over tasks; only
+    counts are merged.
     """
     digest = draw_digest(seed, "point", F.col(key), F.col("point_no"))
     pts = ordinal(
@@ -296,17 +298,27 @@ def consensus(
     lo, hi = F.least("i0", "i1"), F.greatest("i0", "i1")
     step = F.col("r2") + (F.col("r2") >= lo).cast("int")
     h = h.withColumn("i2", step + (step >= hi).cast("int"))
+    # Points live in blocks of bounded size. Drawing, scoring and refitting all read
+    # the same blocks, so Spark numbers and shuffles the points once.
+    point = F.struct("pt", "sx", "sy", "dx", "dy")
+    blocks = pts.groupBy(key, int_div(F.col("pt"), block).alias("blk")).agg(F.sort_array(F.collect_list(point)).alias("s"))
     keep = [key, "hyp"] + (["expected_scale"] if scales is not None else [])
-    corners = h.select(*keep, F.explode(F.array("i0", "i1", "i2")).alias("pt"))
-    fitted = corners.join(pts, [key, "pt"]).groupBy(*keep).agg(*_similarity_aggs())
+    wish = F.struct(*keep[1:], (F.pmod("pt", F.lit(block)) + 1).cast("int").alias("pos"))
+    wishes = (
+        h.select(*keep, F.explode(F.array("i0", "i1", "i2")).alias("pt"))
+        .groupBy(key, int_div(F.col("pt"), block).alias("blk")).agg(F.collect_list(wish).alias("w"))
+    )
+    corners = (
+        wishes.join(blocks, [key, "blk"]).select(key, "s", F.explode("w").alias("w"))
+        .select(key, *[F.col(f"w.{c}").alias(c) for c in keep[1:]], F.element_at("s", F.col("w.pos")).alias("p"))
+        .select(*keep, "p.*")
+    )
+    fitted = corners.groupBy(*keep).agg(*_similarity_aggs())
     scale = F.col("expected_scale") if scales is not None else _free_scale()
     models = fitted.select(*keep, *_model_columns(scale)).where(F.col("a").isNotNull())
 
     model = F.struct("hyp", "a", "b", "tx", "ty")
     per_pair = models.groupBy(key).agg(F.sort_array(F.collect_list(model)).alias("m"))
-    blocks = pts.groupBy(key, int_div(F.col("pt"), block).alias("blk")).agg(
-        F.collect_list(F.struct("sx", "sy", "dx", "dy")).alias("s")
-    )
     field = lambda arr, f: F.transform(arr, lambda e: e[f])
     scored = blocks.join(per_pair, key).select(
         key, F.col("m"),
@@ -324,7 +336,7 @@ def consensus(
     best = best.select(key, (-F.col("w.neg")).cast("int").alias("hyp"), F.col("w.inliers").alias("num_inliers"))
     chosen = best.join(models.select(key, "hyp", "a", "b", "tx", "ty"), [key, "hyp"])
 
-    j = pts.join(chosen, key)
+    j = blocks.join(chosen, key).select(key, "a", "b", "tx", "ty", F.inline("s"))
     ex = F.col("a") * F.col("sx") + F.col("b") * F.col("sy") + F.col("tx") - F.col("dx")
     ey = F.col("a") * F.col("sy") - F.col("b") * F.col("sx") + F.col("ty") - F.col("dy")
     refit = j.where(F.hypot(ex, ey) <= limit).groupBy(key).agg(*_similarity_aggs())

@@ -16,12 +16,16 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Recording the Python line of every column expression costs more than small queries do.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark; on a cluster the caller brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tilewright")
+    # Small inputs: keep every core busy instead of merging partitions up to 1 MB.
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
     spark = (
