@@ -148,6 +148,24 @@ def included_people(spark, sf):
 
 # -------------------------------------------------------- composed references
 
+# Slot 1 is the landscape; slots 2 and 3 take the first allowed category of their own hash order.
+_ORDER = lambda slot: (f"list_transform(list_sort(list_transform(cats, lambda c: [{V.digest(SEED, f'cat{slot}', 'k', 'c')}, c])), lambda e: e[2])")
+_SLOTS = f"""c AS (SELECT list_sort(list(DISTINCT category)) AS cats FROM g), k AS (SELECT o_orderkey AS k, o_orderkey % 2 + 2 AS n_refs, cats FROM orders, c),
+  o AS (SELECT k, n_refs, {_ORDER(2)} AS o2, {_ORDER(3)} AS o3, {V.unit(SEED, 'repeat3', 'k')} < 0.15::DOUBLE AS rep FROM k),
+  p AS (SELECT *, list_filter(o2, lambda x: x <> 'landmark')[1] AS c2 FROM o),
+  q AS (SELECT *, list_filter(o3, lambda x: x <> 'landmark' AND NOT (c2 = 'person' AND x = 'person') AND (rep OR x <> c2))[1] AS c3 FROM p),
+  slots AS (SELECT k, 1 AS slot, 'landmark' AS category FROM q UNION ALL SELECT k, 2, c2 FROM q UNION ALL SELECT k, 3, c3 FROM q WHERE n_refs = 3),
+  numbered AS (SELECT s.*, row_number() OVER (PARTITION BY s.category ORDER BY k, slot) - 1 AS draw_no, z.n FROM slots s JOIN (SELECT DISTINCT category, n FROM g) z ON s.category = z.category),
+  picked AS (SELECT k, slot, category, {pool_pos('draw_no % n', 'draw_no // n', 'n', 'item', 'category')} AS item_no FROM numbered)"""
+
+
+@query("composed_references", f"""WITH {REFS}, {_RANKED}, {_SLOTS} SELECT p.k AS sample_no, p.slot, p.category, g.id FROM picked p JOIN g ON p.category = g.category AND p.item_no = g.item_no""")
+def composed_references(spark, sf):
+    """Category and record of every slot."""
+    s = samples(spark, sf).withColumn("num_references", (F.col("sample_no") % 2 + 2).cast("int"))
+    return S.compose_references(s, good(spark, sf).select("id", "category"), SEED).select("sample_no", "slot", "category", "id")
+
+
 @query("composed_samples")
 def composed(spark, sf):
     """Full composition plan; its rules are tested as invariants."""
