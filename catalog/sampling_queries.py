@@ -291,6 +291,32 @@ def balanced_theme_use(spark, sf):
         F.count(F.lit(1)).alias("n_keys"), (F.max("n") - F.min("n") <= 1).alias("even"))
 
 
+def _cycled(pool, salt, i, ordered=True):
+    names = [pool[p] for p in base_order(len(pool), SEED, salt)] if ordered else pool
+    n = len(pool)
+    return f"{V.quoted(names)}[{small_pos(f'({i}) % {n}', f'({i}) // {n}', n, salt)} + 1]"
+
+
+def _look(j):
+    draw, turn = f"k * 6 + {j}", "(k // 3)"
+    loc = "CASE shot " + " ".join(
+        f"WHEN '{s}' THEN " + f"{V.quoted([K.SHOT_LOCATIONS[s][p] for p in base_order(len(K.SHOT_LOCATIONS[s]), SEED, f'loc_{s}')])}"
+        f"[{small_pos(f'(({turn} % {len(K.SHOT_LOCATIONS[s])}) * 6 + {j}) % {len(K.SHOT_LOCATIONS[s])}', f'{turn} // {len(K.SHOT_LOCATIONS[s])}', len(K.SHOT_LOCATIONS[s]), f'loc_{s}')} + 1]"
+        for s in SHOTS) + " END"
+    return (
+        f"SELECT k AS sample_no, {j} AS j, shot AS shot_type, {_cycled(K.COLORS, 'color', draw)} AS color, {_cycled(K.MATERIALS, 'material', draw)} AS material, "
+        f"{_cycled([o for o, _ in K.ORIENTATIONS], 'orientation', draw, ordered=False)} AS orientation, {loc} AS location FROM s")
+
+
+@query("balanced_looks", f"WITH s AS (SELECT o_orderkey AS k, {V.quoted(SHOTS)}[{small_pos('o_orderkey % 3', 'o_orderkey // 3', 3, 'shot')} + 1] AS shot FROM orders) "
+       + " UNION ALL ".join(_look(j) for j in range(6)))
+def balanced_looks(spark, sf):
+    """Shot, location, orientation, colour and material of every object of the balanced generator."""
+    b = balanced(spark, sf).select("sample_no", "shot_type", F.posexplode("object_details").alias("j", "d"))
+    return b.select("sample_no", "j", "shot_type", F.col("d.color").alias("color"), F.col("d.material").alias("material"),
+                    F.col("d.orientation_key").alias("orientation"), F.col("d.location_key").alias("location"))
+
+
 @query("balanced_themes")
 def balanced_themes(spark, sf):
     b = balanced(spark, sf)
