@@ -197,6 +197,13 @@ def max_permutations(
     return _finished(step.withColumn("object_details", details))
 
 
+def _shot_picks(keys: Sequence[str], slots: Column, turn: Column, seed: int, salt: str) -> Column:
+    """Distinct locations of one shot type for all object slots."""
+    n = len(keys)
+    ordered = _strings([keys[p] for p in base_order(n, seed, salt)])
+    return F.transform(slots, lambda j: F.element_at(ordered, distinct_positions(turn, j, N, n, seed, salt) + 1))
+
+
 def balanced_themes(
     samples: DataFrame, total, seed: int, shots: Sequence[str] = tuple(SHOTS), people_fraction: float = 0.5,
     index_col: str = "sample_no",
@@ -210,30 +217,35 @@ def balanced_themes(
 
     # A shot type comes up once per cycle of shots, so the cycle number counts its samples.
     turn = int_div(i, len(shots))
+    slots = F.sequence(F.lit(0), F.lit(N - 1))
     arranged = F.lit(None).cast("array<string>")
     for no, s in enumerate(shots):
-        keys = K.SHOT_LOCATIONS[s]
-        ordered = _strings([keys[p] for p in base_order(len(keys), seed, f"loc_{s}")])
-        picks = F.array(*[
-            F.element_at(ordered, distinct_positions(turn, j, N, len(keys), seed, f"loc_{s}") + 1) for j in range(N)
-        ])
+        picks = _shot_picks(K.SHOT_LOCATIONS[s], slots, turn, seed, f"loc_{s}")
         arranged = F.when(F.col("shot_no") == no, picks).otherwise(arranged)
-    step = step.withColumn("loc_arrangement", arranged)
 
-    draw = lambda j: i * N + j
-    inside = lambda j: F.col("in_theme") * N + j
+    # One array per axis: the generated code stays small enough to be compiled as a whole.
+    def axis(pool: Sequence[str], salt: str) -> Column:
+        return F.transform(slots, lambda j: cyclic_value(pool, i * N + j, seed, salt))
+
+    n_o = len(K.ORIENTATIONS)
+    turned = F.transform(slots, lambda j: small_cycle_position(
+        F.pmod(i * N + j, F.lit(n_o)), int_div(i * N + j, n_o), n_o, seed, "orientation"))
+    inside = F.col("in_theme") * N
+    plain = F.transform(slots, lambda j: F.element_at("surfaces", small_cycle_position(
+        F.pmod(inside + j, F.lit(N)), int_div(inside + j, N), N, seed, "surface") + 1))
+    step = step.select(
+        "*", arranged.alias("loc_arrangement"), axis(K.COLORS, "color").alias("colors"),
+        axis(K.MATERIALS, "material").alias("materials"), turned.alias("turned"), plain.alias("plain_surfaces"),
+    )
+
     def surface(j: int) -> Column:
         own = F.try_element_at("overrides", F.element_at("theme_objects", j + 1))
         pair = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(2)), int_div(F.col("in_theme"), 2), 2, seed, f"override{j}")
-        plain = small_cycle_position(F.pmod(inside(j), F.lit(N)), int_div(inside(j), N), N, seed, "surface")
-        return F.coalesce(F.try_element_at(own, pair + 1), F.element_at("surfaces", plain + 1))
+        return F.coalesce(F.try_element_at(own, pair + 1), F.element_at("plain_surfaces", j + 1))
 
-    orient = lambda j: small_cycle_position(
-        F.pmod(draw(j), F.lit(len(K.ORIENTATIONS))), int_div(draw(j), len(K.ORIENTATIONS)), len(K.ORIENTATIONS), seed, "orientation")
+    at = lambda name: (lambda j: F.element_at(name, j + 1))
     details = _details(
-        F.col("theme_objects"), surface, F.col("loc_arrangement"), _LOCATION_TEXT, orient,
-        lambda j: cyclic_value(K.COLORS, draw(j), seed, "color"),
-        lambda j: cyclic_value(K.MATERIALS, draw(j), seed, "material"),
+        F.col("theme_objects"), surface, F.col("loc_arrangement"), _LOCATION_TEXT, at("turned"), at("colors"), at("materials")
     )
     n_chars = len(next(iter(K.THEME_CHARACTERS.values())))
     who = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(n_chars)), int_div(F.col("in_theme"), n_chars), n_chars, seed, "who")
