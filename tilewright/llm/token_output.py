@@ -15,7 +15,7 @@ END_ID = 1
 PAD_ID = 0
 #: Tokens that a task holds before it packs them: 8 MB of ids, about 512 sequences.
 BUFFER_TOKENS = 2_097_152
-MATRIX = ("sequence_id long, input_ids array<int>, position_ids array<int>, cu_seqlens array<int>, n_tokens int, "
+MATRIX = ("sequence_id long, input_ids binary, position_ids binary, cu_seqlens array<int>, n_tokens int, "
           "doc_ids array<long>, starts array<long>")
 
 
@@ -72,7 +72,8 @@ def best_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[li
 
 def token_matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
                    buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
-    """Packed rows: ids padded to ``capacity``, positions that restart in every segment, cumulative segment lengths.
+    """Packed rows: ids padded to ``capacity`` (binary, little-endian unsigned 32-bit), positions that restart in every
+    segment (binary, little-endian unsigned 16-bit: ``capacity`` is 65,536 at most), cumulative segment lengths.
 
     A document is its token ids and END_ID (null text: END_ID alone); longer ones are cut losslessly into
     ``capacity`` pieces (``starts`` has each segment's place in its document, so ids concatenated by start give the
@@ -84,10 +85,10 @@ def token_matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
 
     def emit(held: list, base: int) -> tuple[pa.RecordBatch, int]:
         bins = best_fit_decreasing([len(x[2]) for x in held], capacity)
-        ids = np.full((len(bins), capacity), PAD_ID, np.int32)
-        pos = np.zeros((len(bins), capacity), np.int32)
+        ids = np.full((len(bins), capacity), PAD_ID, "<u4")
+        pos = np.zeros((len(bins), capacity), "<u2")
         cu, doc_ids, starts = [], [], []
-        steps = np.arange(capacity, dtype=np.int32)
+        steps = np.arange(capacity, dtype="<u2")
         for k, members in enumerate(bins):
             at, ends = 0, [0]
             for m in members:
@@ -98,10 +99,9 @@ def token_matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
             cu.append(ends)
             doc_ids.append([held[m][0] for m in members])
             starts.append([held[m][1] for m in members])
-        offsets = pa.array(np.arange(0, (len(bins) + 1) * capacity, capacity, dtype=np.int32))
         return pa.RecordBatch.from_arrays([
             pa.array(np.arange(base, base + len(bins)), pa.int64()),
-            pa.ListArray.from_arrays(offsets, pa.array(ids.ravel())), pa.ListArray.from_arrays(offsets, pa.array(pos.ravel())),
+            pa.array([r.tobytes() for r in ids], pa.binary()), pa.array([r.tobytes() for r in pos], pa.binary()),
             pa.array(cu, pa.list_(pa.int32())), pa.array([c[-1] for c in cu], pa.int32()),
             pa.array(doc_ids, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64())),
         ], [c.split()[0] for c in MATRIX.split(", ")]), base + len(bins)
@@ -116,7 +116,7 @@ def token_matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
             for at in range(0, len(doc_ids), 256):
                 encoded = ids_of.encode([words(t) for t in texts.slice(at, 256).to_pylist()])
                 for d, raw in zip(doc_ids[at:at + 256], encoded):
-                    ids = np.append(np.frombuffer(raw, "<u4").astype(np.int32), np.int32(END_ID))
+                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID))
                     for s in range(0, len(ids), capacity):
                         held.append((d, s, ids[s:s + capacity]))
                         total += len(held[-1][2])
