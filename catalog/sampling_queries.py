@@ -249,7 +249,7 @@ def _digit(idx, n, j):
 def _detail(j):
     ov = f"{_OVR}[obj{j}]"
     return (
-        f"SELECT concat(theme, '_', lpad(cast(sample_no as varchar), 6, '0')) AS id, {j} AS j, {V.quoted(SHOTS)}[sn + 1] AS shot_type, obj{j} AS object, loc{j} AS location, "
+        f"SELECT concat(theme, '_', lpad(cast(sample_no as varchar), cast(greatest(6, length(cast(sample_no as varchar))) as int), '0')) AS id, {j} AS j, {V.quoted(SHOTS)}[sn + 1] AS shot_type, obj{j} AS object, loc{j} AS location, "
         f"{V.quoted([k for k, _ in K.ORIENTATIONS])}[{_digit('g', 12, j)} + 1] AS orientation, {V.quoted(K.COLORS)}[{_digit('g * 7 + tn', 15, j)} + 1] AS color, "
         f"{V.quoted(K.MATERIALS)}[{_digit('g * 13 + tn', 12, j)} + 1] AS material, "
         f"coalesce({ov}[{V.u32(SEED, f'override{j}', 'g')} % 2 + 1], surfaces[{_digit('g * 19 + tn', 6, j)} + 1]) AS surface, "
@@ -373,13 +373,13 @@ def _template_sql():
     return "concat(" + ", ".join(pieces) + ")"
 
 
-@query("theme_prompts_text", _max_perm_sql(f"SELECT concat(theme, '_', lpad(cast(sample_no as varchar), 6, '0')) AS id, {_template_sql()} AS prompt FROM $SRC"))
+@query("theme_prompts_text", _max_perm_sql(f"SELECT concat(theme, '_', lpad(cast(sample_no as varchar), cast(greatest(6, length(cast(sample_no as varchar))) as int), '0')) AS id, {_template_sql()} AS prompt FROM $SRC"))
 def theme_prompts_text(spark, sf):
     return max_permutation_samples(spark, sf).select("id", F.col("structured_prompt").alias("prompt"))
 
 
 @query("theme_preview", _max_perm_sql(
-    "SELECT concat(theme, '_', lpad(cast(sample_no as varchar), 6, '0')) AS id, theme, " + V.quoted(SHOTS) + f"[sn + 1] AS shot_type, {V.unit(SEED, 'people', 'g')} < 0.5::DOUBLE AS has_character, "
+    "SELECT concat(theme, '_', lpad(cast(sample_no as varchar), cast(greatest(6, length(cast(sample_no as varchar))) as int), '0')) AS id, theme, " + V.quoted(SHOTS) + f"[sn + 1] AS shot_type, {V.unit(SEED, 'people', 'g')} < 0.5::DOUBLE AS has_character, "
     "concat_ws('|', obj0, obj1, obj2, obj3, obj4, obj5) AS objects, concat_ws('|', loc0, loc1, loc2, loc3, loc4, loc5) AS locations FROM $SRC"))
 def theme_preview(spark, sf):
     return sinks.theme_preview(max_permutation_samples(spark, sf)).select("id", "theme", "shot_type", "has_character", "objects", "locations")

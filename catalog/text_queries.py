@@ -226,7 +226,7 @@ def _cat_sql(e):
 
 
 _LIST = f"CASE WHEN doc_id % 2 = 0 THEN [{_cat_sql('doc_id')}, {_cat_sql('doc_id // 5')}] ELSE [{_cat_sql('doc_id')}, {_cat_sql('doc_id // 5')}, {_cat_sql('doc_id // 25')}] END"
-_SAMP = f"s AS (SELECT doc_id, concat('sample_', lpad(cast(doc_id as varchar), 7, '0')) AS id, {_LIST} AS cats FROM documents), st AS (SELECT *, len(list_filter(cats, lambda c: c = 'landmark')) AS landmark_count FROM s)"
+_SAMP = f"s AS (SELECT doc_id, concat('sample_', lpad(cast(doc_id as varchar), cast(greatest(7, length(cast(doc_id as varchar))) as int), '0')) AS id, {_LIST} AS cats FROM documents), st AS (SELECT *, len(list_filter(cats, lambda c: c = 'landmark')) AS landmark_count FROM s)"
 
 
 def sample_refs(spark, sf):

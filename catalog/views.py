@@ -27,8 +27,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 X1 = "(l_partkey % 1000 + l_discount*10)"
 Y1 = "((l_suppkey*7) % 500 + l_tax*10)"
 DETECTION_COLUMNS = [
-    ("image_path", "concat('img_', lpad(cast(l_orderkey as string), 7, '0'), '.png')"),
-    ("stem", "concat('img_', lpad(cast(l_orderkey as string), 7, '0'))"),
+    ("image_path", "concat('img_', lpad(cast(l_orderkey as string), cast(greatest(7, length(cast(l_orderkey as string))) as int), '0'), '.png')"),
+    ("stem", "concat('img_', lpad(cast(l_orderkey as string), cast(greatest(7, length(cast(l_orderkey as string))) as int), '0'))"),
     ("class_id", "p_size"),
     ("class_name", "case when p_size % 10 = 0 then null else p_type end"),
     ("confidence", "l_extendedprice / 100000"),
@@ -46,7 +46,7 @@ DETECTION_COLUMNS = [
     ("line", "l_linenumber"),
 ]
 
-SAMPLE_ID = "concat('theme', cast({k} % 7 as string), '_', lpad(cast({k} as string), 9, '0'))"
+SAMPLE_ID = "concat('theme', cast({k} % 7 as string), '_', lpad(cast({k} as string), cast(greatest(9, length(cast({k} as string))) as int), '0'))"
 
 
 def sample_id(key: str) -> str:

@@ -191,3 +191,54 @@ def test_scans_are_pruned(spark):
 
 def test_id_lookup_is_pushed_down(spark):
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,17)]" in plan(queries()["found_by_id"](spark, SF))
+
+
+def test_nearest_two_with_many_equal_rows():
+    import numpy as np
+
+    from tilewright.operators.match import _nearest_two
+
+    rng = np.random.default_rng(0)
+    refs = rng.normal(size=(300, 16))
+    refs[[5, 9, *range(40, 52)]] = refs[5]
+    at, dist = _nearest_two(refs[[5]] + 1e-3, refs, "l2")
+    assert at.tolist() == [[5, 9]] and dist[0, 0] == dist[0, 1]
+    q = rng.normal(size=(50, 16))
+    at, dist = _nearest_two(q, refs, "l2")
+    full = np.sqrt(((q[:, None] - refs[None]) ** 2).sum(axis=2))
+    assert at.tolist() == np.argsort(full, axis=1, kind="stable")[:, :2].tolist()
+
+
+def test_hot_split_does_not_change_orders(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.operators import boxes
+
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.9, 0.9, 0.1, -0.5, 0.0, 400.0, 9.0]
+    rows = [("k", i, v, (None, True, False)[i % 3], float(i), 0.0, float(i) + 300, 300.0) for i, v in enumerate(odd * 2)]
+    df = spark.createDataFrame(rows, "id string, idx int, v double, is_background boolean, x1 double, y1 double, x2 double, y2 double")
+    one = df.withColumn("confidence", F.col("v")).withColumn("coverage", F.col("v"))
+    for build in (
+        lambda n: boxes.crop_numbers(one, "id", hot_rows=n), lambda n: boxes.z_order(one, F.col("v"), "idx", hot_rows=n),
+        lambda n: boxes.layer_order(one, hot_rows=n),
+    ):
+        key = lambda r: r["idx"]
+        assert str(sorted(build(1).collect(), key=key)) == str(sorted(build(10**6).collect(), key=key))
+
+
+def test_seed_of_any_number_of_digits(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.functions.text import seed_from_digits
+
+    ids = ["a1b22", "x" + "9876543210" * 5, "none", "0" * 45 + "7", None]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i string").select(seed_from_digits(F.col("i"), 42)).collect()]
+    want = [(42 + int("".join(c for c in (i or "") if c.isdigit()) or 0)) % (2**31 - 1) for i in ids]
+    assert got == want
+
+
+def test_long_order_keys_stay_apart(spark):
+    from catalog.views import DETECTION_COLUMNS, sample_id
+
+    keys = spark.createDataFrame([(12345678,), (12345679,)], "l_orderkey long")
+    assert keys.selectExpr(DETECTION_COLUMNS[0][1], sample_id("l_orderkey * 1000")).distinct().count() == 2

@@ -245,11 +245,12 @@ SEED_MODULUS = 2**31 - 1
 def seed_from_digits(sample_id: Column, base: int) -> Column:
     """(base + number formed by all digits of the id) mod (2^31 - 1).
 
-    Ids may hold up to 37 digits, which a decimal keeps exactly.
+    Any number of digits: blocks of nine are folded from the left under the modulus.
     """
-    digits = F.regexp_replace(sample_id, "[^0-9]", "")
-    number = F.coalesce(null_if_empty(digits), F.lit("0")).cast("decimal(38,0)")
-    return F.pmod(number % F.lit(SEED_MODULUS) + F.lit(base), F.lit(SEED_MODULUS)).cast("long")
+    blocks = F.regexp_extract_all(F.regexp_replace(sample_id, "[^0-9]", ""), F.lit("([0-9]{1,9})"), 1)
+    power = lambda b: F.rpad(F.lit("1"), F.length(b) + 1, "0").cast("long")
+    number = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: F.pmod(n * power(b) + b.cast("long"), F.lit(SEED_MODULUS)))
+    return F.pmod(F.coalesce(number, F.lit(0)) + F.lit(base), F.lit(SEED_MODULUS)).cast("long")
 
 
 def seed_from_codes(key: Column, base: int) -> Column:

@@ -12,7 +12,7 @@ from tilewright.functions import geometry as G
 from tilewright.functions import text as X
 from tilewright.functions.draws import draw_below, draw_digest, draw_int_between, draw_unit
 from tilewright.operators.ranking import (
-    HOT_ROWS, chunked_lists, digest_band, first_per_key, hot_keys, mark_hot, ordinal,
+    HOT_ROWS, chunked_lists, digest_band, falling_band, first_per_key, hot_keys, mark_hot, ordinal,
 )
 
 CORNERS = ["x1", "y1", "x2", "y2"]
@@ -25,7 +25,7 @@ def box_order(score: str = "confidence") -> list[Column]:
 
 def score_band(score: str = "confidence") -> Column:
     """Rises as the score falls; splits a hot image for :func:`ordinal`."""
-    return F.coalesce(-F.floor(F.col(score) * SCORE_BANDS), F.lit(2**62))
+    return falling_band(F.col(score), SCORE_BANDS)
 
 
 # --------------------------------------------------------------------- filters
@@ -104,12 +104,12 @@ def _two_ordinals(df: DataFrame, key: str, big: Column, hot_rows: int) -> DataFr
 
 def z_order(
     df: DataFrame, area: Column, index_col: str, key: str = "id", index_desc: bool = False,
-    max_area: float = 4096.0 * 4096.0, hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One-based paint order: larger boxes first, ties by index (either way)."""
     tie = F.desc(index_col) if index_desc else F.asc(index_col)
     with_area = df.withColumn("bbox_area", area)
-    band = -F.floor(F.sqrt(F.least(F.col("bbox_area"), F.lit(max_area))))
+    band = falling_band(F.signum("bbox_area") * F.sqrt(F.abs("bbox_area")))
     return ordinal(with_area, [key], [F.desc("bbox_area"), tie], band, "z_order", 1, hot_rows)
 
 
@@ -132,9 +132,9 @@ def paste_order(df: DataFrame, image_col: str = "image_path", counts: DataFrame
 
 def layer_order(df: DataFrame, key: str = "id", index_col: str = "idx", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Backgrounds before foregrounds, each by falling coverage, then input order."""
-    band = F.when(F.col("is_background"), F.lit(0)).otherwise(F.lit(1_000_000)) + F.lit(1000) - F.least(
-        F.floor(F.col("coverage") * 1000), F.lit(1000)
-    )
+    limit = 10**9
+    ground = F.when(F.col("is_background"), F.lit(0)).when(~F.col("is_background"), F.lit(1)).otherwise(F.lit(2))
+    band = ground * F.lit(4 * limit) + falling_band(F.col("coverage"), 1000.0, limit)
     order = [F.desc("is_background"), F.desc("coverage"), F.asc(index_col)]
     return ordinal(df, [key], order, band, "layer", 1, hot_rows)
 

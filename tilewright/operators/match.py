@@ -107,11 +107,15 @@ def _nearest_two(q: np.ndarray, r: np.ndarray, metric: str) -> tuple[np.ndarray,
             dist.append(d[top])
         return np.array(order), np.array(dist)
     rough = (q * q).sum(1)[:, None] - 2.0 * (q @ r.T) + (r * r).sum(1)[None, :]
-    pool = min(len(r), 8)  # re-measured exactly, so rounding in the product form cannot swap neighbours
-    near = np.sort(np.argpartition(rough, pool - 1, axis=1)[:, :pool], axis=1)
-    exact = np.sqrt(((q[:, None, :] - r[near]) ** 2).sum(axis=2))
-    top = np.argsort(exact, axis=1, kind="stable")[:, :keep]
-    return np.take_along_axis(near, top, axis=1), np.take_along_axis(exact, top, axis=1)
+    # Every row within the product form's rounding of the ``keep``-th is re-measured exactly, however many there are.
+    slack = 1e-10 * ((q * q).sum(1) + (r * r).sum(1).max())
+    bound = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + slack
+    row, near = np.nonzero(rough <= bound[:, None])
+    exact = np.sqrt(((q[row] - r[near]) ** 2).sum(axis=1))
+    order = np.lexsort((near, exact, row))
+    first = np.searchsorted(row, np.arange(len(q)))
+    top = order[first[:, None] + np.arange(keep)]
+    return near[top], exact[top]
 
 
 def _tile_matcher(metric: str):

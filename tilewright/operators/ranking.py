@@ -51,6 +51,13 @@ def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame, flag: str) -> D
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def falling_band(value: Column, scale: float = 1.0, limit: int = 2**50) -> Column:
+    """Band of a value that is sorted downwards: NaN first and null last, just as the sort has them."""
+    v = value.cast("double")
+    held = F.greatest(F.lit(float(-limit)), F.least(F.lit(float(limit)), v * scale))
+    return F.when(v.isNull(), F.lit(limit + 1)).when(F.isnan(v), F.lit(-limit - 1)).otherwise(-F.floor(held)).cast("long")
+
+
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],

@@ -127,12 +127,12 @@ def images_by_glob(spark: SparkSession, globs: dict[str, str]) -> DataFrame:
 def images_under(
     spark: SparkSession, root: str, suffixes: Sequence[str] = tuple(K.CAPTION_INPUT_SUFFIXES), recursive: bool = True
 ) -> DataFrame:
-    """Image files by suffix in either case, each path once.
+    """Image files by suffix in either case; a listing names each path once.
 
     Order by :func:`listing_order` where an order is needed.
     """
     df = _listing(spark, root, recursive)
-    return df.where(X.file_suffix(F.col("path")).isin(*suffixes)).dropDuplicates(["path"])
+    return df.where(X.file_suffix(F.col("path")).isin(*suffixes))
 
 
 def listing_order() -> list:
