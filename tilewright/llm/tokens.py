@@ -82,13 +82,11 @@ class WordIds:
         """For every list of words its ids as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        get = self.words.get
-        found = [list(map(get, w)) for w in texts]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        new = list({w[i] for w, gap in zip(texts, gaps) for i in gap})
+        known, new = self.words, set()
+        for w in texts:
+            new.update(w)
+        new = [w for w in new if w not in known]
         for i in range(0, len(new), 20_000):
             self._learn(new[i:i + 20_000])
-        for w, f, gap in zip(texts, found, gaps):
-            for i in gap:
-                f[i] = self.words[w[i]]
-        return [b"".join(f) for f in found]
+        get = known.__getitem__
+        return [b"".join(map(get, w)) for w in texts]
