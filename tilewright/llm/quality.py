@@ -108,8 +108,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+w AS (SELECT rid, doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 g AS (SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS gram
     FROM w, unnest(range(1, len(words) - 3)) AS r(i) WHERE len(words) >= 5),
 twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g),
@@ -118,7 +118,7 @@ c AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words,
     (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
     len(lines)::BIGINT AS n_lines,
-    len(list_filter(words, x -> list_contains({_STOP_LIST}, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))))::BIGINT AS n_stop_words
+    len(list_filter(words, lambda x: list_contains({_STOP_LIST}, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))))::BIGINT AS n_stop_words
     FROM w LEFT JOIN covered USING (rid)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
