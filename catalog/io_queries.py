@@ -145,12 +145,12 @@ def _shards(spark, sf):
     return out
 
 
-@query("export_names", "SELECT CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS ext, concat('id_', doc_id % 400) AS base, count(*) AS n, cast(1 as bigint) AS n_plain FROM documents WHERE doc_id % 10 <> 3 GROUP BY 1, 2")
+@query("export_names", "SELECT CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS ext, concat('id_', doc_id % 400) AS base, count(*) AS n, cast(1 as bigint) AS n_plain, count(*) AS n_names FROM documents WHERE doc_id % 10 <> 3 GROUP BY 1, 2")
 def export_names(spark, sf):
-    """Repeated ids: one holder keeps the plain name, the others get their shard's stem."""
+    """Repeated ids: one holder keeps the plain name, the others get their shard's stem (and number); all names differ."""
     s = files.image_shards(spark, _shards(spark, sf), id_column="id").withColumn("id", F.concat(F.lit("id_"), (F.col("id").cast("long") % 400).cast("string")))
     e = sinks.export_names(s, "row_index")
-    return e.groupBy("ext", F.col("id").alias("base")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == F.col("id")).alias("n_plain"))
+    return e.groupBy("ext", F.col("id").alias("base")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == F.col("id")).alias("n_plain"), F.count_distinct("name").alias("n_names"))
 
 
 @query("found_by_id", "SELECT cast(doc_id as varchar) AS id, octet_length(encode(text)) + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 8 END AS n_bytes FROM documents WHERE doc_id = 17")

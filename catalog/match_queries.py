@@ -8,10 +8,11 @@ from catalog import views as V
 from catalog.registry import query
 from tilewright.operators import match as T
 
-# Requested objects: second word of the part names of an order. Detections: all its parts by full name.
+# Requested objects: second word of the part names of an order. Detections: all its parts, by full name on even
+# lines and by the first word on odd ones, so some requests are not found.
 _REQ = "req AS (SELECT DISTINCT l_orderkey AS id, split_part(p_name, ' ', 2) AS object FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _DETS = """dets AS (SELECT l_orderkey AS id, l_partkey * 100000 + l_suppkey AS det_no,
-  concat('A ', upper(p_name)) AS label, l_extendedprice / 100000 AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0)"""
+  concat('A ', upper(CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END)) AS label, l_extendedprice / 100000 AS score FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def _lines(spark, sf):
@@ -25,9 +26,9 @@ def requested(spark, sf):
 
 
 def detected(spark, sf):
-    d = _lines(spark, sf).where("l_linenumber % 2 = 0")
-    return d.select(F.col("l_orderkey").alias("id"), F.expr("l_partkey * 100000 + l_suppkey").alias("det_no"),
-                    F.concat(F.lit("A "), F.upper("p_name")).alias("label"), (F.col("l_extendedprice") / 100000).alias("score"))
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.split("p_name", " ")[0])
+    return _lines(spark, sf).select(F.col("l_orderkey").alias("id"), F.expr("l_partkey * 100000 + l_suppkey").alias("det_no"),
+                    F.concat(F.lit("A "), F.upper(name)).alias("label"), (F.col("l_extendedprice") / 100000).alias("score"))
 
 
 @query("matched_labels", f"""WITH {_REQ}, {_DETS}, m AS (SELECT r.id, r.object, max_by(d.label, (d.score, -d.det_no)) AS label, max_by(d.det_no, (d.score, -d.det_no)) AS det_no, max(d.score) AS score
@@ -113,11 +114,12 @@ def scales(spark, sf):
     return V.table(spark, sf, "supplier").select(k.alias("pair_id"), (F.lit(0.5) + (k % 10) / F.lit(10.0)).alias("expected_scale"))
 
 
-@query("match_coverage", f"""WITH {_KP}, b AS (SELECT pair_id, greatest(0, max(dx) - min(dx)) * greatest(0, max(dy) - min(dy)) AS a FROM kp WHERE pair_id % 5 <> 0 GROUP BY 1)
-  SELECT s_suppkey AS pair_id, round(coalesce(a / (1920 * 1080)::DOUBLE, 0), 9) AS coverage FROM supplier LEFT JOIN b ON s_suppkey = pair_id""")
+@query("match_coverage", f"""WITH {_KP}, b AS (SELECT pair_id, greatest(0, max(dx) - min(dx)) * greatest(0, max(dy) - min(dy)) AS a FROM kp GROUP BY 1), f AS (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT -s_suppkey FROM supplier)
+  SELECT k AS pair_id, round(coalesce(a / (1920 * 1080)::DOUBLE, 0), 9) AS coverage FROM f LEFT JOIN b ON k = pair_id""")
 def match_coverage(spark, sf):
-    frames = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pair_id"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
-    c = T.match_coverage(keypoints(spark, sf).where("pair_id % 5 <> 0"), frames)
+    """All pairs; a second frame per supplier has no matches."""
+    k = V.table(spark, sf, "supplier").select(F.explode(F.array("s_suppkey", -F.col("s_suppkey"))).alias("pair_id"))
+    c = T.match_coverage(keypoints(spark, sf), k.select("pair_id", F.lit(1920).alias("width"), F.lit(1080).alias("height")))
     return c.select("pair_id", F.round("coverage", 9).alias("coverage"))
 
 
@@ -131,18 +133,19 @@ def centre_spans(spark, sf):
 
 
 _FIT = """SELECT pair_id, count(*) AS n, sqrt(pow(covar_pop(sx, dx) + covar_pop(sy, dy), 2) + pow(covar_pop(sx, dy) - covar_pop(sy, dx), 2)) / (var_pop(sx) + var_pop(sy)) AS scale,
-  degrees(atan2(covar_pop(sx, dy) - covar_pop(sy, dx), covar_pop(sx, dx) + covar_pop(sy, dy))) AS rotation_deg FROM kp WHERE l_tax <= 0.07 GROUP BY 1"""
+  degrees(atan2(covar_pop(sx, dy) - covar_pop(sy, dx), covar_pop(sx, dx) + covar_pop(sy, dy))) AS rotation_deg FROM kp{where} GROUP BY 1"""
+_FIT_ALL, _FIT = _FIT.replace("{where}", ""), _FIT.replace("{where}", " WHERE l_tax <= 0.07")
 
 
-@query("similarity_fits", f"WITH {_KP}, f AS ({_FIT}) SELECT pair_id, n, round(scale, 6) AS scale, round(rotation_deg, 5) AS rotation_deg FROM f")
+@query("similarity_fits", f"WITH {_KP}, f AS ({_FIT_ALL}) SELECT pair_id, n, round(scale, 6) AS scale, round(rotation_deg, 5) AS rotation_deg FROM f")
 def similarity_fits(spark, sf):
-    s = T.similarity_fit(keypoints(spark, sf).where("l_tax <= 0.07"))
+    s = T.similarity_fit(keypoints(spark, sf))
     return s.select("pair_id", "n", F.round("scale", 6).alias("scale"), F.round("rotation_deg", 5).alias("rotation_deg"))
 
 
-@query("rotation_fits", f"WITH {_KP}, f AS ({_FIT}) SELECT pair_id, n, round(rotation_deg, 5) AS rotation_deg FROM f")
+@query("rotation_fits", f"WITH {_KP}, f AS ({_FIT_ALL}) SELECT pair_id, n, round(rotation_deg, 5) AS rotation_deg FROM f")
 def rotation_fits(spark, sf):
-    s = T.rotation_fit(keypoints(spark, sf).where("l_tax <= 0.07"), F.lit(1.5))
+    s = T.rotation_fit(keypoints(spark, sf), F.lit(1.5))
     return s.select("pair_id", "n", F.round("rotation_deg", 5).alias("rotation_deg"))
 
 
@@ -150,7 +153,7 @@ def rotation_fits(spark, sf):
 @query("locked_rotations", f"""WITH {_KP}, f AS ({_FIT}) SELECT f.pair_id, f.n AS num_inliers, (SELECT count(*) FROM kp k WHERE k.pair_id = f.pair_id) AS num_matches, round(f.rotation_deg, 5) AS rotation_deg,
   round(f.scale, 6) AS match_scale, true AS accepted FROM f""")
 def locked_rotations(spark, sf):
-    r = T.locked_rotation(keypoints(spark, sf), scales(spark, sf), hypotheses=200)
+    r = T.locked_rotation(keypoints(spark, sf), scales(spark, sf))
     return r.select("pair_id", "num_inliers", "num_matches", F.round("rotation_deg", 5).alias("rotation_deg"), F.round("match_scale", 6).alias("match_scale"), "accepted")
 
 
@@ -158,11 +161,11 @@ def locked_rotations(spark, sf):
 def scale_mismatches(spark, sf):
     """A scale that is far off leaves too few inliers in every pair."""
     wrong = scales(spark, sf).withColumn("expected_scale", F.col("expected_scale") * 40)
-    r = T.locked_rotation(keypoints(spark, sf), wrong, hypotheses=64, min_inliers=400, limit=1.0)
+    r = T.locked_rotation(keypoints(spark, sf), wrong, min_inliers=400, limit=1.0)
     return r.select("pair_id", "reject_reason")
 
 
 @query("estimated_transforms", f"""WITH {_KP}, f AS ({_FIT}) SELECT pair_id, 'similarity' AS method, n AS num_inliers, round(scale * cos(radians(rotation_deg)), 5) AS a, round(-scale * sin(radians(rotation_deg)), 5) AS b FROM f""")
 def estimated_transforms(spark, sf):
-    t = T.estimated_transform(keypoints(spark, sf), hypotheses=200)
+    t = T.estimated_transform(keypoints(spark, sf))
     return t.select("pair_id", "method", "num_inliers", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"))

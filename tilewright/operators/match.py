@@ -67,20 +67,21 @@ def match_labels(requested: DataFrame, detections: DataFrame, key: str = "id", p
         detections.withColumn("__d", X.normalize_label(F.col("label")))
         .groupBy(key, "__d").agg(F.max(cand).alias("c"))
     )
-    vocab_o = req.select("__o").distinct()
-    vocab_d = detections.select(X.normalize_label(F.col("label")).alias("__d")).where(F.col("__d") != "").distinct()
-    pairs = containment_pairs(vocab_o.where(F.col("__o") != ""), vocab_d, "__o", "__d")
-    # An empty request is contained in every label: one more pair per label, if there is such a request.
-    blank = vocab_o.where(F.col("__o") == "").agg(F.count(F.lit(1))).scalar()
-    pairs = pairs.unionByName(vocab_d.where(blank > 0).select(F.lit("").alias("__o"), "__d"))
-
-    by_label = best.join(pairs, "__d").select(key, "__o", "c")
-    # An empty detected label matches whatever its own sample asks for.
-    by_blank = best.where(F.col("__d") == "").select(key, "c").join(
-        req.select(key, "__o").distinct(), key
-    ).select(key, "__o", "c")
+    wanted = req.select(key, "__o").distinct()
+    pairs = containment_pairs(
+        wanted.select("__o").where(F.col("__o") != "").distinct(),
+        best.select("__d").where(F.col("__d") != "").distinct(), "__o", "__d",
+    )
+    # Each direction is expanded from its longer text, which contains a bounded number of shorter ones.
+    in_label = F.length("__o") <= F.length("__d")
+    by_label = best.join(pairs.where(in_label), "__d").select(key, "__o", "c")
+    by_request = wanted.join(pairs.where(~in_label), "__o").join(best, [key, "__d"]).select(key, "__o", "c")
+    # An empty label matches whatever its own sample asks for, an empty request every label of its sample.
+    by_blank = best.where(F.col("__d") == "").select(key, "c").join(wanted, key).select(key, "__o", "c")
+    any_label = best.groupBy(key).agg(F.max("c").alias("c"))
+    by_any = wanted.where(F.col("__o") == "").join(any_label, key).select(key, "__o", "c")
     winner = (
-        by_label.unionByName(by_blank)
+        by_label.unionByName(by_request).unionByName(by_blank).unionByName(by_any)
         .groupBy(key, "__o").agg(F.max("c").alias("c"))
     )
     return req.join(winner, [key, "__o"], "left").select(

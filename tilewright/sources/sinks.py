@@ -67,23 +67,34 @@ def append_metrics(df: DataFrame, folder: str) -> None:
 
 
 def export_names(shards: DataFrame, index_col: str = "row_no") -> DataFrame:
-    """Output name per image: id, else ``<shard stem>_<8-digit number>``; a repeated id gets the shard stem.
-
-    The first holder of a name is an aggregate, so a much repeated id is not
-    gathered in one task.
+    """Output name per image: id, else ``<shard stem>_<8-digit number>``.
+
+    The first holder of a name keeps it, the first holder in each other shard (and
+    the second in the first holder's shard) gets the shard stem, and all further
+    ones also their number. A name that still occurs twice (an id that looks like
+    another one's extended name, or shards of equal stem) fails the job instead of
+    overwriting an image. Holders are found by aggregates, so a much repeated id
+    is not gathered in one task.
     """
     stem = X.file_stem(F.col("shard"))
     base = F.coalesce(
         F.when(F.col("id") != "", F.regexp_replace("id", r"[/\\]", "_")), F.concat(stem, F.format_string("_%08d", index_col))
     )
     named = shards.withColumn("base", base).withColumn("ext", X.extension_from_magic(F.col("content")))
-    first = named.groupBy("base", "ext").agg(F.min(F.struct("shard", index_col)).alias("first"))
-    j = named.join(first, ["base", "ext"])
-    repeated = F.struct("shard", index_col) > F.col("first")
-    return j.select(
-        *shards.columns, "ext",
-        F.when(repeated, F.concat("base", F.lit("_"), stem)).otherwise(F.col("base")).alias("name"),
-    )
+    at = F.struct("shard", index_col)
+    keys = ["base", "ext"]
+    first = named.groupBy(*keys).agg(F.min(at).alias("first"))
+    rest = named.join(first, keys).withColumn("repeated", at > F.col("first"))
+    second = rest.where("repeated").groupBy(*keys, "shard").agg(F.min(index_col).alias("second"))
+    j = rest.join(second, [*keys, "shard"], "left")
+    longer = F.concat("base", F.lit("_"), stem)
+    name = F.when(~F.col("repeated"), F.col("base")).when(F.col(index_col) == F.col("second"), longer).otherwise(
+        F.concat(longer, F.format_string("_%08d", index_col)))
+    out = j.select(*shards.columns, "ext", name.alias("name"))
+    holders = out.groupBy("name", "ext").agg(F.count(F.lit(1)).alias("holders"))
+    clash = F.raise_error(F.concat(F.lit("output name held twice: "), "name", "ext"))
+    return out.join(holders, ["name", "ext"]).select(
+        *shards.columns, "ext", F.when(F.col("holders") > 1, clash.cast("string")).otherwise(F.col("name")).alias("name"))
 
 
 def write_bytes(named: DataFrame, folder: str) -> None:
