@@ -326,10 +326,12 @@ def balanced_themes(spark, sf):
 @query("theme_distribution", _max_perm_sql(
     "SELECT section, key, count(*) AS n FROM (SELECT 'theme' AS section, theme AS key FROM $SRC UNION ALL SELECT 'shot_type', " + V.quoted(SHOTS) + "[sn + 1] FROM $SRC "
     f"UNION ALL SELECT 'character', CASE WHEN {V.unit(SEED, 'people', 'g')} < 0.5::DOUBLE THEN 'with_character' ELSE 'no_character' END FROM $SRC "
-    + " ".join(f"UNION ALL SELECT 'location', loc{j} FROM $SRC" for j in range(6)) + ") u GROUP BY 1, 2"))
+    + " ".join(f"UNION ALL SELECT '{section}', {key} FROM $SRC" for j in range(6) for section, key in (
+        ("location", f"loc{j}"), ("orientation", f"{V.quoted([k for k, _ in K.ORIENTATIONS])}[{_digit('g', 12, j)} + 1]"),
+        ("color", f"{V.quoted(K.COLORS)}[{_digit('g * 7 + tn', 15, j)} + 1]"),
+        ("material", f"{V.quoted(K.MATERIALS)}[{_digit('g * 13 + tn', 12, j)} + 1]"))) + ") u GROUP BY 1, 2"))
 def theme_distribution(spark, sf):
-    c = Q.theme_distribution(max_permutation_samples(spark, sf))
-    return c.where(F.col("section").isin("theme", "shot_type", "character", "location"))
+    return Q.theme_distribution(max_permutation_samples(spark, sf))
 
 
 _ART = lambda c: f"CASE WHEN {c}[1] IN ('a', 'e', 'i', 'o', 'u') THEN 'An' ELSE 'A' END"
@@ -396,7 +398,7 @@ _RK = "(SELECT DISTINCT root, concat(image_path, '#', cast(line as varchar)) AS
 
 
 @query("balanced_epoch", f"""WITH {V.det_sql()}, k AS {_RK}, r AS (SELECT root, row_key, row_number() OVER (PARTITION BY root ORDER BY {V.digest(SEED, 'epoch_row', 'root', 'row_key')}, row_key) - 1 AS row_no FROM k),
-  n AS (SELECT root, count(*) AS n FROM k GROUP BY 1), d AS (SELECT root AS from_root, row_key AS from_key, ['small', 'large'][{V.u32(SEED, 'root', "'3'", 'root', 'row_key')} % 2 + 1] AS dr, {V.u32(SEED, 'row', "'3'", 'root', 'row_key')} AS u FROM k)
+  n AS (SELECT root, count(*) AS n FROM k GROUP BY 1), d AS (SELECT root AS from_root, row_key AS from_key, ['small', 'large'][{V.u32(SEED, 'root', "'3'", 'root', 'row_key')} % 2 + 1] AS dr, {V.u60(SEED, 'row', "'3'", 'root', 'row_key')} AS u FROM k)
   SELECT d.from_root, d.from_key, d.dr AS draw_root, r.row_key FROM d JOIN n ON d.dr = n.root JOIN r ON r.root = d.dr AND r.row_no = d.u % n.n""")
 def balanced_epoch(spark, sf):
     d = V.detections(spark, sf, ["root", "image_path", "line"]).select("root", F.concat("image_path", F.lit("#"), F.col("line").cast("string")).alias("row_key")).distinct()

@@ -170,6 +170,10 @@ def u32(seed: int, salt: str, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::BIGINT)"
 
 
+def u60(seed: int, salt: str, *keys: str) -> str:
+    return f"(('0x' || substr({digest(seed, salt, *keys)}, 1, 15))::BIGINT)"
+
+
 def digest(seed: int, salt: str, *keys: str) -> str:
     parts = ", ".join([f"'{seed}'", f"'{salt}'", *[f"cast({k} as varchar)" for k in keys]])
     return f"md5(concat_ws('|', {parts}))"

@@ -35,6 +35,11 @@ def draw_u32(seed: int, salt: str, *key) -> Column:
     return F.conv(F.substring(draw_digest(seed, salt, *key), 1, 8), 16, 10).cast("long")
 
 
+def draw_u60(seed: int, salt: str, *key) -> Column:
+    """Integer in [0, 2^60), for pools that may have more than 2^32 rows."""
+    return F.conv(F.substring(draw_digest(seed, salt, *key), 1, 15), 16, 10).cast("long")
+
+
 def int_div(a, b) -> Column:
     """Exact integer quotient of non-negative longs."""
     as_long = lambda x: (x if isinstance(x, Column) else F.lit(int(x))).cast("long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import numpy as np
@@ -28,18 +29,37 @@ def _attempt(call: Callable[[], Any], tries: int, wait: float) -> tuple[Any, str
     return None, error
 
 
+def _answers(call, client, part: pd.DataFrame, tries: int, wait: float) -> list[tuple[Any, str | None]]:
+    """(result, error) per row; a failing call is halved until single rows fail."""
+    def whole() -> list:
+        results = list(call(client, part))
+        if len(results) != len(part):
+            raise ValueError("one result per row expected")
+        return results
+
+    results, error = _attempt(whole, tries if len(part) == 1 else 1, wait)
+    if error is None:
+        return [(x, None) for x in results]
+    if len(part) == 1:
+        return [(None, error)]
+    middle = len(part) // 2
+    return _answers(call, client, part.iloc[:middle], tries, wait) + _answers(call, client, part.iloc[middle:], tries, wait)
+
+
 def apply_model(
     df: DataFrame, make_client: Callable[[str | None], Any], call: Callable[[Any, pd.DataFrame], Sequence[Any]],
     output: str = "reply", output_type=None, endpoints: Sequence[str] = (), tries: int = MODEL_TRIES,
-    wait: float = 1.0, replicas: int | None = None,
+    wait: float = 1.0, replicas: int | None = None, rows_per_call: int | None = None, concurrency: int = 1,
 ) -> DataFrame:
     """Call a model for every row; failures end in ``error`` and the row stays.
 
     ``make_client(endpoint)`` runs once per task, endpoints being dealt out
     round-robin. ``call(client, batch)`` returns one result per row. A batch that
-    fails is retried row by row, each up to ``tries`` times with doubling waits,
-    so one bad row does not cost its neighbours. ``replicas`` sets the number of
-    loaded models for work that keeps one per worker.
+    fails is halved until the bad rows stand alone (about 2 log2(batch) more calls
+    for each); those are tried up to ``tries`` times with doubling waits. A task
+    makes up to ``concurrency`` calls of ``rows_per_call`` rows (default: a whole
+    Arrow batch) at a time; the client must then bear calls from several threads.
+    ``replicas`` sets the number of loaded models for work that keeps one per worker.
     """
     src = df if replicas is None else df.repartition(replicas)
     base = [f for f in src.schema if f.name not in (output, "error")]
@@ -59,17 +79,11 @@ def apply_model(
                 out[output], out["error"] = None, broken
                 yield out
                 continue
-            try:
-                results, errors = list(call(client, pdf)), [None] * len(pdf)
-                if len(results) != len(pdf):
-                    raise ValueError("one result per row expected")
-            except Exception:
-                results, errors = [], []
-                for i in range(len(pdf)):
-                    row = pdf.iloc[i : i + 1]
-                    value, error = _attempt(lambda row=row: list(call(client, row))[0], tries, wait)
-                    results.append(value)
-                    errors.append(error)
+            step = rows_per_call or max(1, len(pdf))
+            parts = [pdf.iloc[i : i + step] for i in range(0, len(pdf), step)]
+            with ThreadPoolExecutor(concurrency) as pool:
+                answers = [x for part in pool.map(lambda part: _answers(call, client, part, tries, wait), parts) for x in part]
+            results, errors = [x for x, _ in answers], [e for _, e in answers]
             out[output] = pd.Series(results, index=out.index, dtype=object)
             out["error"] = pd.Series(errors, index=out.index, dtype=object)
             yield out

@@ -317,36 +317,44 @@ def size_totals(df: DataFrame, limit: float = K.LARGE_SIDE, image_col: str = "im
 
 
 def exact_percentiles(
-    df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = (), band_width: float = 1.0
+    df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
-    """Linearly interpolated percentiles, exact at any size: (keys, p, value).
+    """Linearly interpolated percentiles, exact at any size and scale: (keys, p, value).
 
     The built-in ``percentile`` ends in one task per key that holds every
-    distinct value. Here distinct values are counted on all tasks, numbered band
-    by band (a band is ``band_width`` wide), and only the two neighbours of each
-    requested rank reach the final aggregate.
+    distinct value. Here a mergeable sketch cuts the values closely on both sides
+    of every requested rank, distinct values are counted on all tasks, and only
+    the bands in which a requested rank lies (about 5 / ``accuracy`` of the rows
+    each) are numbered. The sketch steers the work alone: a rank that it misplaces
+    lies in a wider band, and the result is the same.
     """
     keys = list(keys)
     v = df.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    near = 2.5 / accuracy
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-near, near)})
+    sketch = v.groupBy(*keys).agg(F.percentile_approx("v", edges, accuracy).alias("cuts"))
     counts = v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("b", F.floor(F.col("v") / band_width).cast("long"))
+    counts = counts.join(sketch, keys) if keys else counts.withColumn("cuts", sketch.scalar())
+    counts = counts.select(*keys, "v", "n", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("b"))
+    # At most one row per edge and key reaches these windows.
     per_band = counts.groupBy(*keys, "b").agg(F.sum("n").alias("nb"))
     by_band = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     bands = per_band.select(
-        *keys, "b", F.coalesce(F.sum("nb").over(by_band), F.lit(0)).alias("before"),
+        *keys, "b", "nb", F.coalesce(F.sum("nb").over(by_band), F.lit(0)).alias("before"),
         F.sum("nb").over(Window.partitionBy(*keys)).alias("t"),
     )
+    rank = lambda p: p * (F.col("t") - 1)
+    in_band = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("nb"))
+    all_probs = F.array(*[F.lit(float(p)) for p in probs])
+    bands = bands.where(F.exists(all_probs, lambda p: in_band(F.floor(rank(p))) | in_band(F.ceil(rank(p))))).drop("nb")
     inside = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        counts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(bands, [*keys, "b"])
+        counts.join(bands, [*keys, "b"])
+        .withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .select(*keys, "v", (F.col("before") + F.col("inside")).alias("lo"), "n", "t")
     )
     holds = lambda r: (r >= F.col("lo")) & (r < F.col("lo") + F.col("n"))
-    rank = lambda p: p * (F.col("t") - 1)
-    wanted = F.filter(
-        F.array(*[F.lit(float(p)) for p in probs]), lambda p: holds(F.floor(rank(p))) | holds(F.ceil(rank(p)))
-    )
+    wanted = F.filter(all_probs, lambda p: holds(F.floor(rank(p))) | holds(F.ceil(rank(p))))
     hits = ranked.select("*", F.explode(wanted).alias("p"))
     r = rank(F.col("p"))
     pick = lambda at: F.max(F.when(holds(at), F.col("v")))

@@ -183,7 +183,7 @@ def run_counters(results: DataFrame) -> DataFrame:
     return results.groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def depth_scaled(df: DataFrame, key: str, value: str, rule: str = "minmax", band_width: float = 0.01) -> DataFrame:
+def depth_scaled(df: DataFrame, key: str, value: str, rule: str = "minmax") -> DataFrame:
     """Grouped depth normalisation to 0…65535.
 
     ``minmax`` truncates and gives 0 for a flat map; ``percentile`` clips between
@@ -200,7 +200,7 @@ def depth_scaled(df: DataFrame, key: str, value: str, rule: str = "minmax", band
         return df.join(bounds, key).withColumn("depth_u16", scaled)
     if rule != "percentile":
         raise ValueError(f"unknown rule {rule!r}")
-    cuts = exact_percentiles(df, v, [0.02, 0.98], [key], band_width).groupBy(key).agg(
+    cuts = exact_percentiles(df, v, [0.02, 0.98], [key]).groupBy(key).agg(
         F.max(F.when(F.col("p") < 0.5, F.col("value"))).alias("q_lo"),
         F.max(F.when(F.col("p") > 0.5, F.col("value"))).alias("q_hi"),
     )
