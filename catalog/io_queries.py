@@ -324,7 +324,7 @@ def appended_unfinished(spark, sf):
     src, out = _event_files(spark, sf), scratch_dir(spark, "unfinished")
     for run in ("-cp1", "-cp2"):
         inc.append_unfinished(inc.record_stream(spark, src, _REC, per_trigger=2), out, out + run).awaitTermination()
-    return spark.read.schema(_REC).parquet(out)
+    return spark.read.schema(_REC).parquet(out).drop(inc.KEY_PART)
 
 
 # ----------------------------------------------------------------- model calls

@@ -117,6 +117,41 @@ def test_model_that_always_fails_keeps_rows(spark):
     assert len(got) == 5 and {(r.reply, r.error) for r in got} == {(None, "down")}
 
 
+def test_bad_rows_are_found_by_halving(spark, tmp_path):
+    mark = str(tmp_path / "calls")
+
+    def call(client, batch):
+        with open(mark, "a") as f:
+            f.write("x")
+        if (batch["id"] == 37).any():
+            raise RuntimeError("bad")
+        return ["fine"] * len(batch)
+
+    df = spark.range(0, 256, 1, 1)
+    got = apply_model(df, lambda e: None, call, wait=0.0).collect()
+    assert {r.id for r in got if r.error} == {37} and len(got) == 256
+    assert os.path.getsize(mark) <= 1 + 2 * 8 + 3
+    pooled = apply_model(df, lambda e: None, call, wait=0.0, rows_per_call=16, concurrency=4).collect()
+    assert [r.id for r in pooled] == list(range(256)) and [r.id for r in pooled if r.error] == [37]
+
+
+def test_shard_report_names_unreadable_files(spark, tmp_path):
+    spark.range(7).select(F.col("id").cast("string").cast("binary").alias("image")).coalesce(1).write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad.parquet").write_bytes(b"not a table")
+    got = {os.path.basename(r.shard).split(".")[0].split("-")[0]: (r.n_rows, r.status) for r in files.shard_report(spark, str(tmp_path)).collect()}
+    assert got == {"part": (7, "read"), "bad": (0, "no_rows")}
+    assert files.image_shards(spark, str(tmp_path)).count() == 7
+
+
+def test_export_names_are_unique(spark):
+    rows = [("s1.parquet", i, "x", b"\xff\xd8\xff") for i in range(3)] + [("s2.parquet", 0, "x", b"\xff\xd8\xff")]
+    df = spark.createDataFrame(rows, "shard string, row_index long, id string, content binary")
+    assert sorted(r.name for r in sinks.export_names(df, "row_index").collect()) == ["x", "x_s1", "x_s1_00000002", "x_s2"]
+    clash = df.unionByName(spark.createDataFrame([("s3.parquet", 0, "x_s1", b"\xff\xd8\xff")], df.schema))
+    with pytest.raises(Exception, match="held twice"):
+        sinks.export_names(clash, "row_index").collect()
+
+
 def test_client_that_cannot_start(spark):
     def make(endpoint):
         raise RuntimeError("no weights")

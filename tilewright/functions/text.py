@@ -113,6 +113,11 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+def file_url(path: Column) -> Column:
+    """One spelling of a file's address, whether it has one slash after the scheme or three."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
 def file_stem(path: Column) -> Column:
     """Name without its last suffix; a leading dot is part of the stem."""
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")

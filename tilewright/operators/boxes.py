@@ -140,9 +140,9 @@ def layer_order(df: DataFrame, key: str = "id", index_col: str = "idx", hot_rows
 
 
 def first_images(df: DataFrame, n: int, image_col: str = "image_path") -> DataFrame:
-    """All rows of the first ``n`` images by name; the image list is bounded by ``n``."""
+    """All rows of the first ``n`` images by name, for any ``n``: Spark broadcasts the names where they are few."""
     names = df.select(image_col).distinct().orderBy(image_col).limit(n)
-    return df.join(F.broadcast(names), image_col, "left_semi")
+    return df.join(names, image_col, "left_semi")
 
 
 def first_rows(df: DataFrame, n: int, image_col: str = "image_path") -> DataFrame:

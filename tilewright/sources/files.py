@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
@@ -182,16 +183,25 @@ def image_column(schema: StructType, wanted: str | None = None) -> str:
     raise ValueError("no image column")
 
 
+def _shard_reader(spark: SparkSession) -> DataFrameReader:
+    return (
+        spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+        .option("ignoreMissingFiles", True).option("pathGlobFilter", "*.parquet")
+    )
+
+
 def image_shards(spark: SparkSession, path: str, column: str | None = None, id_column: str | None = None) -> DataFrame:
     """Image bytes of all Parquet shards below a folder: (shard, row_index, id, content).
 
-    Unreadable files are skipped. ``row_index`` is the row's place in its file,
+    Unreadable files are skipped; :func:`shard_report` names them. ``row_index`` is the row's place in its file,
     so a running number needs no sort.
     """
-    df = (
-        spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    )
+    try:
+        df = _shard_reader(spark).parquet(path)
+    except AnalysisException as failed:  # the one file that the columns are taken from is unreadable: look at all
+        if failed.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        df = _shard_reader(spark).option("mergeSchema", True).parquet(path)
     name = image_column(df.schema, column)
     cell = F.col(name) if isinstance(df.schema[name].dataType, BinaryType) else F.col(f"{name}.bytes")
     ident = F.col(id_column).cast("string") if id_column else F.lit(None).cast("string")
@@ -201,6 +211,24 @@ def image_shards(spark: SparkSession, path: str, column: str | None = None, id_c
     ).where(F.col("content").isNotNull())
 
 
+def shard_report(spark: SparkSession, path: str) -> DataFrame:
+    """Every Parquet shard below a folder: (shard, length, n_rows, status).
+
+    ``status`` is ``read`` or ``no_rows`` (unreadable, or readable without a row;
+    n_rows is 0). Spark's listing leaves out files without bytes. It reads no
+    contents, and the counts read no column.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    found = found.select(X.file_url(F.col("path")).alias("shard"), "length")
+    rows = (
+        _shard_reader(spark).schema(StructType([])).parquet(path)
+        .groupBy(X.file_url(F.col("_metadata.file_path")).alias("shard")).agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+    n = F.coalesce("n_rows", F.lit(0))
+    status = F.when(n > 0, "read").otherwise("no_rows")
+    return found.join(rows, "shard", "left").select("shard", "length", n.alias("n_rows"), status.alias("status"))
+
+
 def find_by_id(spark: SparkSession, paths: str | list[str], wanted: str, key: str = "id") -> DataFrame:
     """First row with an id; the filter reaches the Parquet scan, which skips row groups."""
     return spark.read.option("recursiveFileLookup", True).parquet(*([paths] if isinstance(paths, str) else paths)).where(

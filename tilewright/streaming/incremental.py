@@ -43,22 +43,33 @@ def live_counters(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQue
     )
 
 
-def append_unfinished(stream: DataFrame, sink: str, checkpoint: str, key: str = "id", fmt: str = "parquet") -> StreamingQuery:
+#: Partition column of a sink that is searched by key.
+KEY_PART = "key_part"
+
+
+def append_unfinished(
+    stream: DataFrame, sink: str, checkpoint: str, key: str = "id", fmt: str = "parquet", parts: int = 64
+) -> StreamingQuery:
     """Append only records whose key the sink does not hold yet.
 
     Finished keys are read from the sink, so no id state grows in the stream, a
     restart with a lost checkpoint adds nothing twice, and a retried batch is
-    idempotent. Repeats inside one batch are dropped.
+    idempotent. Repeats inside one batch are dropped. The sink is partitioned by
+    a hash of the key (column ``key_part``, ``parts`` values, the same in every
+    run), and a batch reads only the partitions that its own keys fall into.
     """
     schema = stream.schema
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn(KEY_PART, part)
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(sink)
         if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
-            fresh = fresh.join(spark.read.schema(schema).format(fmt).load(sink).select(key), key, "left_anti")
-        fresh.select(*schema.names).write.mode("append").format(fmt).save(sink)
+            touched = [r[0] for r in batch.select(part).distinct().collect()]  # at most ``parts`` numbers
+            known = spark.read.schema(schema).format(fmt).load(sink).where(F.col(KEY_PART).isin(touched))
+            fresh = fresh.join(known.select(key), key, "left_anti")
+        fresh.select(*schema.names, KEY_PART).repartition(KEY_PART).write.mode("append").partitionBy(KEY_PART).format(fmt).save(sink)
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
