@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import factorial
+from math import factorial, gcd
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from catalog import views as V
 from catalog.registry import query
 from catalog.text_queries import REFS, _GOOD
 from tilewright import constants as K
-from tilewright.functions.draws import POOL_PRIMES, base_order, coprimes
+from tilewright.functions.draws import ROUNDS, base_order
 from tilewright.operators import quality as Q
 from tilewright.operators import sampling as S
 from tilewright.operators import themes as T
@@ -18,23 +18,37 @@ from tilewright.plans.composition import composed_samples
 from tilewright.sources import sinks
 
 SEED = 17
-PRIMES = "[" + ", ".join(str(p) for p in POOL_PRIMES) + "]"
+
+
+def _let(value, name, body):
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _mirrored(x, key, n, swapped):
+    """One round of a permutation: a position and its mirror image change places if their draw says so."""
+    return _let(x, "x", _let(f"({key} - x + {n}) % {n}", "y", f"CASE WHEN {swapped('greatest(x, y)')} THEN y ELSE x END"))
+
+
+def _hex(text, start, length):
+    return f"('0x' || substr({text}, {start}, {length}))::BIGINT"
 
 
 def pool_pos(slot, cycle, n, salt, *keys, seed=SEED):
     """SQL form of the permutation of a data-sized pool."""
-    u = V.u32(seed, salt, "'cycle'", *keys, cycle)
-    first, second = f"{PRIMES}[{u} % 8 + 1]", f"{PRIMES}[({u} + 1) % 8 + 1]"
-    a = f"(CASE WHEN {n} % {first} <> 0 THEN {first} ELSE {second} END)"
-    return f"((({a} % {n}) * ({slot}) + {u} % {n}) % {n})"
+    x, key = f"({slot})::BIGINT", ", ".join(f"cast({k} as varchar)" for k in ("'cycle'", *keys, cycle))
+    for r in range(ROUNDS):
+        text = f"concat_ws('|', '{seed}', '{salt}', {key}, '{r}'"
+        x = _mirrored(x, f"{_hex(f'md5({text}))', 1, 15)} % {n}", n, lambda top: f"substr(md5({text}, cast({top} as varchar))), 1, 1) >= '8'")
+    return x
 
 
 def small_pos(slot, cycle, n, salt, seed=SEED):
     """SQL form of the permutation of a literal pool."""
-    u = V.u32(seed, salt, "'cycle'", cycle)
-    steps = coprimes(n)
-    a = f"({steps}[({u} // {n}) % {len(steps)} + 1])"
-    return f"(({a} * ({slot}) + {u} % {n}) % {n})"
+    x = f"({slot})::BIGINT"
+    for r in range(ROUNDS):
+        u = _hex(V.digest(seed, salt, "'cycle'", cycle), 8 * r + 1, 8)
+        x = _mirrored(x, f"({u}) % {n}", n, lambda top: f"((({u}) // {n}) >> {top}) & 1 = 1")
+    return f"({x})"
 
 
 def samples(spark, sf):
@@ -98,7 +112,7 @@ def cyclic_colors(spark, sf):
 
 
 @query("distinct_locations", " UNION ALL ".join(
-    f"SELECT o_orderkey AS sample_no, {j} AS j, {V.quoted([K.SHOT_LOCATIONS['mid_shot'][i] for i in base_order(8, SEED, 'loc')])}[{small_pos(f'((o_orderkey % 8) * 6 + {j}) % 8', 'o_orderkey // 8', 8, 'loc')} + 1] AS location FROM orders"
+    f"SELECT o_orderkey AS sample_no, {j} AS j, {V.quoted([K.SHOT_LOCATIONS['mid_shot'][i] for i in base_order(8, SEED, 'loc')])}[{small_pos(f'((o_orderkey % 4) * 6 + {j}) % 8', 'o_orderkey // 4', 8, 'loc')} + 1] AS location FROM orders"
     for j in range(6)))
 def distinct_locations(spark, sf):
     pool = K.SHOT_LOCATIONS["mid_shot"]
@@ -148,12 +162,13 @@ def included_people(spark, sf):
 
 # -------------------------------------------------------- composed references
 
-# Slot 1 is the landscape; slots 2 and 3 take the first allowed category of their own hash order.
-_ORDER = lambda slot: (f"list_transform(list_sort(list_transform(cats, lambda c: [{V.digest(SEED, f'cat{slot}', 'k', 'c')}, c])), lambda e: e[2])")
-_SLOTS = f"""c AS (SELECT list_sort(list(DISTINCT category)) AS cats FROM g), k AS (SELECT o_orderkey AS k, o_orderkey % 2 + 2 AS n_refs, cats FROM orders, c),
-  o AS (SELECT k, n_refs, {_ORDER(2)} AS o2, {_ORDER(3)} AS o3, {V.unit(SEED, 'repeat3', 'k')} < 0.15::DOUBLE AS rep FROM k),
-  p AS (SELECT *, list_filter(o2, lambda x: x <> 'landmark')[1] AS c2 FROM o),
-  q AS (SELECT *, list_filter(o3, lambda x: x <> 'landmark' AND NOT (c2 = 'person' AND x = 'person') AND (rep OR x <> c2))[1] AS c3 FROM p),
+# Slot 1 is the landscape; slots 2 and 3 take neighbours in the block's order of the other categories, or repeat.
+_AT = lambda k: f"o[(k + {k} + c) % c + 1]"
+_SLOTS = f"""c AS (SELECT list_sort(list(DISTINCT category)) AS cats FROM g WHERE category <> 'landmark'),
+  k AS (SELECT o_orderkey AS k, o_orderkey % 2 + 2 AS n_refs, cats, len(cats) AS c, o_orderkey // len(cats) AS block FROM orders, c),
+  o AS (SELECT *, list_transform(list_sort(list_transform(cats, lambda x: [{V.digest(SEED, 'category', 'block', 'x')}, x])), lambda e: e[2]) AS o,
+    {V.unit(SEED, 'repeat3', 'block')} < 0.15::DOUBLE / c AND c >= 3 AS rep FROM k),
+  q AS (SELECT *, {_AT(0)} AS c2, CASE WHEN NOT rep THEN {_AT(1)} WHEN {_AT(0)} = 'person' THEN {_AT(1)} WHEN {_AT(-1)} = 'person' THEN 'person' ELSE {_AT(0)} END AS c3 FROM o),
   slots AS (SELECT k, 1 AS slot, 'landmark' AS category FROM q UNION ALL SELECT k, 2, c2 FROM q UNION ALL SELECT k, 3, c3 FROM q WHERE n_refs = 3),
   numbered AS (SELECT s.*, row_number() OVER (PARTITION BY s.category ORDER BY k, slot) - 1 AS draw_no, z.n FROM slots s JOIN (SELECT DISTINCT category, n FROM g) z ON s.category = z.category),
   picked AS (SELECT k, slot, category, {pool_pos('draw_no % n', 'draw_no // n', 'n', 'item', 'category')} AS item_no FROM numbered)"""
@@ -299,10 +314,14 @@ def _cycled(pool, salt, i, ordered=True):
 
 def _look(j):
     draw, turn = f"k * 6 + {j}", "(k // 3)"
-    loc = "CASE shot " + " ".join(
-        f"WHEN '{s}' THEN " + f"{V.quoted([K.SHOT_LOCATIONS[s][p] for p in base_order(len(K.SHOT_LOCATIONS[s]), SEED, f'loc_{s}')])}"
-        f"[{small_pos(f'(({turn} % {len(K.SHOT_LOCATIONS[s])}) * 6 + {j}) % {len(K.SHOT_LOCATIONS[s])}', f'{turn} // {len(K.SHOT_LOCATIONS[s])}', len(K.SHOT_LOCATIONS[s]), f'loc_{s}')} + 1]"
-        for s in SHOTS) + " END"
+
+    def place(shot):
+        keys, salt = K.SHOT_LOCATIONS[shot], f"loc_{shot}"
+        n, block = len(keys), len(keys) // gcd(len(keys), 6)
+        at = small_pos(f"(({turn} % {block}) * 6 + {j}) % {n}", f"{turn} // {block}", n, salt)
+        return f"WHEN '{shot}' THEN {V.quoted([keys[p] for p in base_order(n, SEED, salt)])}[{at} + 1]"
+
+    loc = "CASE shot " + " ".join(place(s) for s in SHOTS) + " END"
     return (
         f"SELECT k AS sample_no, {j} AS j, shot AS shot_type, {_cycled(K.COLORS, 'color', draw)} AS color, {_cycled(K.MATERIALS, 'material', draw)} AS material, "
         f"{_cycled([o for o, _ in K.ORIENTATIONS], 'orientation', draw, ordered=False)} AS orientation, {loc} AS location FROM s")

@@ -1,5 +1,6 @@
 """Skewed keys, partition independence and plan shapes."""
 
+import math
 import random
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from tilewright import constants as K
+from tilewright.functions import draws as D
 from tilewright.operators import boxes as B
 from tilewright.operators import manifest as M
 from tilewright.operators import sampling as S
@@ -128,6 +131,56 @@ def test_distinct_positions(spark):
         S.distinct_positions(F.col("id"), 0, 8, 7, 2, "loc")
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 15, 24])
+def test_cycles_are_permutations(spark, n):
+    i, size = F.col("id"), F.lit(n).cast("long")
+    small = D.small_cycle_position(F.pmod(i, F.lit(n)), D.int_div(i, n), n, 4, "t")
+    pool = D.pool_cycle_position(F.pmod(i, size), D.int_div(i, size), size, 4, "t", F.lit("k"))
+    seen = spark.range(300 * n).groupBy(D.int_div(i, n).alias("c")).agg(
+        *[F.transform(F.sort_array(F.collect_list(F.struct("id", x.alias("p")))), lambda s: s["p"]).alias(name) for name, x in (("a", small), ("b", pool))]).collect()
+    for name in "ab":
+        assert all(sorted(r[name]) == list(range(n)) for r in seen)
+        assert len({tuple(r[name]) for r in seen}) >= min(250, math.factorial(n))
+
+
+def test_long_literal_pools_are_refused():
+    with pytest.raises(ValueError):
+        D.small_cycle_position(None, None, 25, 1, "t")
+
+
+def test_composed_categories_are_even(spark):
+    sizes = spark.createDataFrame([(c, 1) for c in ("landmark", "person", "object", "celeb", "cuisine")], "category string, pool_size long")
+    n = 4000
+    samples = spark.range(n).select(F.col("id").alias("sample_no"), F.lit(4).alias("num_references"))
+    slots = S.composed_slots(samples, sizes, 3, max_refs=4).cache()
+    use = slots.where("slot > 1").groupBy("slot", "category").count().collect()
+    assert len(use) == 12 and {r["count"] for r in use} == {n // 4}
+    per = slots.groupBy("sample_no").agg(F.count_if(F.col("category") == "person").alias("p"), F.count("slot").alias("n"), F.count_distinct("category").alias("d"))
+    assert per.where("p > 1 or n <> 4").count() == 0 and 0 < per.where("d < 4").count() < 0.15 * n
+    three = S.composed_slots(samples.withColumn("num_references", F.lit(3)), sizes, 3).cache()
+    assert {r["count"] for r in three.where("slot > 1").groupBy("slot", "category").count().collect()} == {n // 4}
+    per = three.groupBy("sample_no").agg(F.count_if(F.col("category") == "person").alias("p"), F.count_distinct("category").alias("d"))
+    assert per.where("p > 1").count() == 0 and 0 < per.where("d < 3").count() < 0.15 * n
+    few = S.composed_slots(samples, sizes.where("category in ('landmark', 'person', 'object')"), 3, max_refs=4)
+    per = few.groupBy("sample_no").agg(F.count_if(F.col("category") == "person").alias("p"), F.count("slot").alias("n"))
+    assert per.where("p <> 1 or n <> 4").count() == 0
+
+
+def test_balanced_characters_surfaces_and_locations(spark):
+    n = 20_000
+    looks = H.balanced_themes(spark.range(n).withColumnRenamed("id", "sample_no"), n, 9).select("theme", "shot_type", "character_text", "object_details").cache()
+    uneven = lambda df, *by: df.groupBy(*by, "x").count().groupBy(*by).agg((F.max("count") - F.min("count")).alias("d")).where("d > 1").count()
+    people = looks.where("character_text is not null").select("theme", F.col("character_text").alias("x"))
+    assert people.count() == n // 2 and uneven(people, "theme") == 0
+    objects = looks.select("theme", "shot_type", F.explode("object_details").alias("d"))
+    own = list(K.SURFACE_OVERRIDES)
+    assert uneven(objects.where(~F.col("d.object").isin(own)).select("theme", F.col("d.surface_text").alias("x")), "theme") == 0
+    assert uneven(objects.where(F.col("d.object").isin(own)).select("theme", F.col("d.object").alias("o"), F.col("d.surface_text").alias("x")), "theme", "o") == 0
+    assert uneven(objects.select("shot_type", F.col("d.location_key").alias("x")), "shot_type") == 0
+    orders = looks.groupBy("shot_type").agg(F.count_distinct(F.transform("object_details", lambda d: d["location_key"])).alias("n"))
+    assert all(r["n"] > 1_000 for r in orders.collect())
+
+
 def test_composition_rules(spark):
     refs = spark.createDataFrame(
         [(f"{c}{i}", c, "cap", f"outputs/{c}/images/{i}.jpg", "GOOD", None) for c, n in (("landmark", 5), ("person", 9), ("object", 4), ("celeb", 3)) for i in range(n)],

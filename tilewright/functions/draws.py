@@ -8,16 +8,13 @@ recompute it.
 from __future__ import annotations
 
 import hashlib
-from math import gcd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Multipliers for permutations over data-sized pools: primes just below 2^31.
-POOL_PRIMES = [
-    2147483647, 2147483629, 2147483587, 2147483579,
-    2147483563, 2147483549, 2147483543, 2147483497,
-]
+#: Rounds of a cycle's permutation, and the longest literal pool (a round's bits come from one 32-bit number).
+ROUNDS = 4
+LITERAL_POOL = 24
 
 
 def _text(*parts) -> Column:
@@ -73,34 +70,52 @@ def py_u32(seed: int, salt: str, *key) -> int:
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
 
 
-def coprimes(n: int) -> list[int]:
-    """Multipliers a in [1, n] for which ``a * slot mod n`` visits every slot."""
-    return [a for a in range(1, n + 1) if gcd(a, n) == 1] or [1]
-
-
 def base_order(n: int, seed: int, salt: str) -> list[int]:
     """Seeded base permutation of a small literal pool."""
     return sorted(range(n), key=lambda i: (py_u32(seed, salt, "base", i), i))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _mirrored(x: Column, key: Column, n, swapped) -> Column:
+    """One round: a position and its mirror image at ``key`` change places if their common draw says so."""
+    return let(F.pmod(key - x, n), lambda y: F.when(swapped(F.greatest(x, y)), y).otherwise(x))
+
+
 def small_cycle_position(slot: Column, cycle: Column, n: int, seed: int, salt: str) -> Column:
     """Position in ``base_order`` that a cycle puts at ``slot`` (pool is a literal list).
 
-    Each cycle is the affine permutation ``(a * slot + b) mod n`` with its own
-    ``(a, b)``, so a cycle uses every item exactly once and costs one MD5.
+    Each cycle is a permutation of its own (so it uses every item exactly once) and costs one MD5: the swap-or-not
+    shuffle, whose rounds swap pairs of positions by drawn bits. A slot's position needs no other slot's.
     """
-    steps = F.array(*[F.lit(a) for a in coprimes(n)])
-    u = draw_u32(seed, salt, "cycle", cycle)
-    a = F.element_at(steps, (F.pmod(int_div(u, n), F.size(steps)) + 1).cast("int"))
-    return F.pmod(a * slot + F.pmod(u, F.lit(n)), F.lit(n)).cast("int")
+    if n > LITERAL_POOL:
+        raise ValueError(f"a literal pool has at most {LITERAL_POOL} entries")
+    size = F.lit(n).cast("long")
+
+    def turn(digest: Column) -> Column:
+        def step(x: Column, at: Column) -> Column:
+            drawn = F.conv(F.substring(digest, at, F.lit(8)), 16, 10).cast("long")
+            return let(drawn, lambda u: _mirrored(
+                x, F.pmod(u, size), size,
+                lambda top: F.call_function("shiftright", int_div(u, n), top.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1))
+
+        return F.aggregate(F.array(*[F.lit(8 * r + 1) for r in range(ROUNDS)]), slot.cast("long"), step)
+
+    return let(draw_digest(seed, salt, "cycle", cycle), turn).cast("int")
 
 
 def pool_cycle_position(slot: Column, cycle: Column, n: Column, seed: int, salt: str, *key) -> Column:
-    """As :func:`small_cycle_position` for a pool of ``n`` table rows (n < 2^31)."""
-    primes = F.array(*[F.lit(p) for p in POOL_PRIMES])
-    k = len(POOL_PRIMES)
-    u = draw_u32(seed, salt, "cycle", *key, cycle)
-    pick = lambda shift: F.element_at(primes, (F.pmod(u + shift, F.lit(k)) + 1).cast("int"))
-    # Below 2^31 a pool size is a multiple of at most one of the primes.
-    a = F.when(F.pmod(n, pick(0)) != 0, pick(0)).otherwise(pick(1))
-    return F.pmod(F.pmod(a, n) * slot + F.pmod(u, n), n)
+    """As :func:`small_cycle_position` for a pool of ``n`` table rows, of any size up to 2^60."""
+
+    def turn(name: Column) -> Column:
+        def step(x: Column, r: Column) -> Column:
+            point = F.conv(F.substring(F.md5(F.concat_ws("|", name, r)), 1, 15), 16, 10).cast("long")
+            return _mirrored(x, F.pmod(point, n), n, lambda top: F.substring(
+                F.md5(F.concat_ws("|", name, r, top.cast("string"))), 1, 1) >= "8")
+
+        return F.aggregate(F.array(*[F.lit(str(r)) for r in range(ROUNDS)]), slot.cast("long"), step)
+
+    return let(_text(seed, salt, "cycle", *key, cycle), turn)

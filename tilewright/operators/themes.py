@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tilewright import constants as K
 from tilewright.functions import text as X
 from tilewright.functions.draws import base_order, draw_below, draw_u32, draw_unit, int_div, py_u32
-from tilewright.operators.sampling import cyclic_value, distinct_positions, even_slot, small_cycle_position
+from tilewright.operators.sampling import balanced_inclusion, cyclic_value, distinct_positions, even_slot, small_cycle_position
 
 N = K.OBJECTS_PER_THEME
 THEMES = list(K.THEME_OBJECTS)
@@ -208,7 +208,11 @@ def balanced_themes(
     samples: DataFrame, total, seed: int, shots: Sequence[str] = tuple(SHOTS), people_fraction: float = 0.5,
     index_col: str = "sample_no",
 ) -> DataFrame:
-    """Exact total, balanced over themes; shots, locations and looks drawn in balanced cycles."""
+    """Exact total, balanced over themes; every axis is drawn in balanced cycles.
+
+    The cycles of a theme's characters and surfaces advance only when they are drawn from: by samples with a
+    character, and by objects without surfaces of their own.
+    """
     spark = samples.sparkSession
     step = _with_theme(samples, index_col, total)
     i = F.col("sample_no")
@@ -230,9 +234,16 @@ def balanced_themes(
     n_o = len(K.ORIENTATIONS)
     turned = F.transform(slots, lambda j: small_cycle_position(
         F.pmod(i * N + j, F.lit(n_o)), int_div(i * N + j, n_o), n_o, seed, "orientation"))
-    inside = F.col("in_theme") * N
-    plain = F.transform(slots, lambda j: F.element_at("surfaces", small_cycle_position(
-        F.pmod(inside + j, F.lit(N)), int_div(inside + j, N), N, seed, "surface") + 1))
+    # Objects of a theme without own surfaces; the k-th of them takes the k-th surface draw of the sample.
+    bare = F.filter("theme_objects", lambda o: F.try_element_at("overrides", o).isNull())
+    step = step.withColumn("bare", bare)
+    n_s = len(next(iter(K.THEME_SURFACES.values())))
+
+    def plain_surface(o: Column) -> Column:
+        draw = F.col("in_theme") * F.size("bare") + F.array_position("bare", o) - 1
+        return F.element_at("surfaces", small_cycle_position(F.pmod(draw, F.lit(n_s)), int_div(draw, n_s), n_s, seed, "surface") + 1)
+
+    plain = F.transform("theme_objects", lambda o: F.when(F.array_position("bare", o) > 0, plain_surface(o)))
     step = step.select(
         "*", arranged.alias("loc_arrangement"), axis(K.COLORS, "color").alias("colors"),
         axis(K.MATERIALS, "material").alias("materials"), turned.alias("turned"), plain.alias("plain_surfaces"),
@@ -248,10 +259,9 @@ def balanced_themes(
         F.col("theme_objects"), surface, F.col("loc_arrangement"), _LOCATION_TEXT, at("turned"), at("colors"), at("materials")
     )
     n_chars = len(next(iter(K.THEME_CHARACTERS.values())))
-    who = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(n_chars)), int_div(F.col("in_theme"), n_chars), n_chars, seed, "who")
-    step = step.withColumn("character_text", F.when(
-        draw_unit(seed, "people", i) < people_fraction, F.element_at("characters", who + 1)
-    ))
+    shown, turn_no = balanced_inclusion(F.col("in_theme"), people_fraction, n_chars, seed, "people")
+    who = small_cycle_position(F.pmod(turn_no, F.lit(n_chars)), int_div(turn_no, n_chars), n_chars, seed, "who")
+    step = step.withColumn("character_text", F.when(shown, F.element_at("characters", who + 1)))
     return _finished(step.withColumn("object_details", details))
 
 
