@@ -193,8 +193,13 @@ def test_simhash(spark, docs, texts, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 2_000])
-def test_ball_links_join_all_pairs(spark, monkeypatch, limit):
+def test_prefixes_grow_with_the_corpus():
+    sizes = (1, 10**6, 10**9, 10**11, 10**14)
+    assert [simhash.prefix_bits_for(n) for n in sizes] == [16, 16, 24, 32, 32]
+
+
+@pytest.mark.parametrize("limit,bits", [(4_000_000, 16), (2_000, 16), (4_000_000, 24), (2_000, 32)])
+def test_ball_links_join_all_pairs(spark, monkeypatch, limit, bits):
     monkeypatch.setattr(simhash, "BLOCK_VARIANTS", limit)
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(300)}
@@ -204,7 +209,7 @@ def test_ball_links_join_all_pairs(spark, monkeypatch, limit):
             g ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
             fps.add(g)
     signed = [struct.unpack("<q", struct.pack("<Q", f))[0] for f in fps]
-    links = simhash.variant_links(spark.createDataFrame([(s,) for s in signed], "fp long"))
+    links = simhash.variant_links(spark.createDataFrame([(s,) for s in signed], "fp long"), prefix_bits=bits)
     root = {r["node"]: r["root"] for r in components.components(links).collect()}
     got = {s: root.get(s, s) for s in signed}
     parent = {s: s for s in signed}
@@ -545,9 +550,9 @@ def test_nearest_recall_and_order(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = brute_nearest(rows, 20)
-    for leaf_rows in (4096, 60):
+    for leaf_rows, sample_rows in ((4096, 10_000), (60, 10_000), (60, 32)):  # the last: 4 leaves in several parts
         got = defaultdict(list)
-        for r in neighbours.nearest(df, 20, leaf_rows=leaf_rows, query_block=10).orderBy("query_id", "rank").collect():
+        for r in neighbours.nearest(df, 20, leaf_rows=leaf_rows, query_block=10, sample_rows=sample_rows).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["score"], r["vec_id"]))
             assert r["rank"] == len(got[r["query_id"]])
         assert set(got) == set(want)

@@ -15,9 +15,10 @@ from tilewright.llm.common import stored
 PROJECTIONS = 8
 CONFIDENCE = 0.99
 SEED = 10
-#: Rows of a leaf of the upper tree (one task's index), the sample that its cuts are fitted on, rows of a lowest bucket.
+#: Rows of a leaf of the upper tree (one task's index), the sample of projected points that its cuts are fitted on
+#: (8 at least for every leaf, so a tree has 32,768 leaves at most), rows of a lowest bucket.
 LEAF_ROWS = 4_096
-SAMPLE_ROWS = 32_768
+SAMPLE_ROWS = 262_144
 BUCKET_ROWS = 128
 QUERY_BLOCK = 65_536
 NEIGHBOURS = 10
@@ -116,11 +117,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, query_every: int, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS,
             projections: int = PROJECTIONS, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS,
-            query_block: int = QUERY_BLOCK, seed: int = SEED) -> DataFrame:
+            query_block: int = QUERY_BLOCK, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose id is divisible by ``query_every``.
 
     All rows are projected to a few dimensions and dealt by an upper kd-tree, whose cuts are fitted on a bounded sample;
-    every leaf indexes all its rows. A query first visits its own leaf; its k-th distance r there bounds the search: all
+    every leaf indexes all its rows. A tree that is as deep as the sample allows has larger leaves; their rows are dealt into
+    parts of about ``leaf_rows``, each with its own index, and a query visits all parts. A query first visits its own leaf; its k-th distance r there bounds the search: all
     leaves and buckets within r * sqrt(chi-square quantile) in the projected space are visited from the nearest on, r
     falls as vectors are verified, and the search stops where the test says that a nearer vector is improbable.
     Equal vectors are one location that keeps its k + 1 smallest ids (more cannot be among the k nearest of any
@@ -143,11 +145,18 @@ def nearest(vectors: DataFrame, query_every: int, id_col: str = "vec_id", vector
 
     dim = len(places.select("vec").first()["vec"])
     matrix = np.random.default_rng(seed).standard_normal((dim, projections))
-    depth = max(0, min(math.ceil(math.log2(n / leaf_rows)) if n > leaf_rows else 0, int(math.log2(SAMPLE_ROWS // 8))))
-    share = min(1.0, SAMPLE_ROWS / n)
+    depth = max(0, min(math.ceil(math.log2(n / leaf_rows)) if n > leaf_rows else 0, int(math.log2(sample_rows // 8))))
+    parts = math.ceil(n / (leaf_rows << depth))
+    share = min(1.0, sample_rows / n)
     bound = int(share * 0.9 * 2**32) if share < 1 else 2**32
-    sample = places.where(F.pmod(F.xxhash64(F.col("ids")[0], F.lit(seed)), F.lit(2**32)) < bound).select("vec").limit(SAMPLE_ROWS)
-    cuts = Cuts(_matrix(sample.toArrow().column("vec")) @ matrix, depth)
+    sample = places.where(F.pmod(F.xxhash64(F.col("ids")[0], F.lit(seed)), F.lit(2**32)) < bound).select("vec").limit(sample_rows)
+
+    def projected(batches):
+        for b in batches:
+            flat = (_matrix(b.column("vec")) @ matrix if len(b) else np.zeros((0, projections))).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(flat.reshape(-1, projections).tolist(), pa.list_(pa.float64()))], ["point"])
+
+    cuts = Cuts(_matrix(sample.mapInArrow(projected, "point array<double>").toArrow().column("point")), depth)
     reach = math.sqrt(chi_square_quantile(confidence, projections))
 
     def leaves(batches):
@@ -193,23 +202,27 @@ def nearest(vectors: DataFrame, query_every: int, id_col: str = "vec_id", vector
 
     blocks = max(1, math.ceil(n_queries / query_block))
     block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    indexed = places.mapInArrow(leaves, "vec array<double>, ids array<long>, leaf long")
+    indexed = places.mapInArrow(leaves, "vec array<double>, ids array<long>, leaf long").withColumn(
+        "part", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(parts)))
 
     def searched_in(routed: DataFrame) -> DataFrame:
         routed = routed.withColumn("block", block)
         wanted = routed.select(F.col("leaf").alias("at"), F.col("block").alias("of")).distinct()
-        sides = indexed.join(wanted, F.col("leaf") == F.col("at")).select("vec", "ids", F.col("at").alias("leaf"), F.col("of").alias("block"))
-        return sides.groupBy("leaf", "block").cogroup(routed.groupBy("leaf", "block")).applyInArrow(
+        sides = indexed.join(wanted, F.col("leaf") == F.col("at")).select("vec", "ids", F.col("at").alias("leaf"), F.col("of").alias("block"), "part")
+        asked = routed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return sides.groupBy("leaf", "block", "part").cogroup(asked.groupBy("leaf", "block", "part")).applyInArrow(
             lambda here, asked: search(here, asked), "qid long, id long, score double")
 
     home = searched.withColumn("r", F.lit(float("inf"))).select("vec", "qid", "r").mapInArrow(
         leaves, "vec array<double>, qid long, r double, leaf long")
-    radius = searched_in(home).groupBy("qid").agg(F.max("score").alias("r"), F.count("id").alias("n"))
+    by_score = Window.partitionBy("qid").orderBy("score", "id")
+    own = searched_in(home).withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= found)
+    radius = own.groupBy("qid").agg(F.max("score").alias("r"), F.count("id").alias("n"))
     radius = radius.select(F.col("qid").alias("q"), F.when(F.col("n") == found, F.col("r")).otherwise(F.lit(float("inf"))).alias("r"))
     bounded = searched.join(radius, F.col("qid") == F.col("q"), "left").select("qid", "vec", F.coalesce("r", F.lit(float("inf"))).alias("r"))
     routed = stored(bounded.mapInArrow(routes, "qid long, vec array<double>, r double, leaf long"), "routes")
     hits = searched_in(routed)
-    best = hits.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))).where(F.col("n") <= found)
+    best = hits.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= found)
     best = stored(best.select("qid", "id", "score"), "hits")
     asked = queries.join(searched.select("vec", "qid"), "vec").select(F.col("id").alias("query_id"), "qid")
     pairs = asked.join(best, "qid").where("id <> query_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from tilewright.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Leading bits of a variant by which variants are dealt to tasks; each task expands the remaining bits.
-PREFIX_BITS = 16
+#: Leading bits of a variant by which variants are dealt to tasks; each task expands the remaining bits. The fewest
+#: are taken with which a prefix gets about PREFIX_ROWS rows or fewer (16 bytes each).
+PREFIX_BITS = (16, 24, 32)
+PREFIX_ROWS = 1_048_576
 #: Rows that a task takes at a time (whole prefixes), and variants beyond which a block is dealt on by more bits.
 BLOCK_ROWS = 16_384
 BLOCK_VARIANTS = 4_000_000
@@ -62,7 +65,13 @@ def flips(bits: range, most: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(most + 1) for c in combinations(bits, r)], np.uint64)
 
 
-def variant_links(fps: DataFrame, radius: int = RADIUS, prefix_bits: int = PREFIX_BITS) -> DataFrame:
+def prefix_bits_for(n: int, radius: int = RADIUS, rows: int = PREFIX_ROWS) -> int:
+    """Prefix length for ``n`` distinct fingerprints: groups stay bounded while the corpus grows; the links are the same."""
+    sent = {b: n * sum(comb(b, k) for k in range(radius // 2 + 1)) / 2**b for b in PREFIX_BITS}
+    return next((b for b in PREFIX_BITS if sent[b] <= rows), PREFIX_BITS[-1])
+
+
+def variant_links(fps: DataFrame, radius: int = RADIUS, prefix_bits: int = PREFIX_BITS[0]) -> DataFrame:
     """Links (a, b) that join the same fingerprints as all pairs within ``radius`` (even) do; ``fps``: distinct fp.
 
     Two fingerprints within the radius share a variant within half of it. Variants are dealt by their leading bits:
@@ -160,8 +169,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     base = docs.drop("fp", "fingerprint", "component_id")
     marked = stored(fingerprints(base), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    roots = components(stored(variant_links(distinct.select("fp")), "ball"))
+    distinct = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
+    bits = prefix_bits_for(distinct.count())
+    roots = components(stored(variant_links(distinct.select("fp"), prefix_bits=bits), "ball"))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
