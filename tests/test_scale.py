@@ -181,6 +181,16 @@ def test_balanced_characters_surfaces_and_locations(spark):
     assert all(r["n"] > 1_000 for r in orders.collect())
 
 
+def test_augmentation_modes(spark):
+    crops = spark.range(2000).select(F.concat(F.lit("i"), "id").alias("image_path"), F.lit(0).alias("crop_no"))
+    plan = S.augmentation_plan(crops, 3, uniform_brightness=True, probs={"bright": 1.0, "flip": 0.0}).cache()
+    low, high = K.BRIGHTNESS_RANGE
+    found = plan.agg(F.min("brightness"), F.max("brightness"), F.count("brightness"), F.count_if("flip")).first()
+    assert low <= found[0] < low + 0.05 * (high - low) and high - 0.05 * (high - low) < found[1] < high and found[2:] == (2000, 0)
+    with pytest.raises(ValueError):
+        S.augmentation_plan(crops, 3, probs={"blur": 1.0})
+
+
 def test_composition_rules(spark):
     refs = spark.createDataFrame(
         [(f"{c}{i}", c, "cap", f"outputs/{c}/images/{i}.jpg", "GOOD", None) for c, n in (("landmark", 5), ("person", 9), ("object", 4), ("celeb", 3)) for i in range(n)],
