@@ -21,7 +21,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component: the smallest doc_id (null last), one row of it."""
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = simhash.near_duplicates(marked.select("__row", "doc_id", "text"))
     least = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"))
     return marked.join(least.select(F.col("m.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)

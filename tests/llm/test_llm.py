@@ -608,3 +608,23 @@ def test_pipeline_odd(spark, odd, empty):
             at = spark.createDataFrame(rows, at.schema)
             if name == "near_duplicates":
                 assert sum(r["doc_id"] == 6 for r in rows) <= 1
+
+
+@pytest.mark.parametrize("stage", ["near_duplicates", "mix"])
+def test_stages_do_not_number_rows_by_two_scans(spark, docs, tmp_path, stage):
+    """The last scan is planned over other partitions than the first one, as after the loss of an executor."""
+    path = str(tmp_path / "docs")
+    docs.repartition(8).write.parquet(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    run = dict(corpus_pipeline.STAGES)[stage]
+    want = sorted(map(str, run(spark, spark.read.parquet(path), SF).collect()))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = run(spark, spark.read.parquet(path), SF)
+        spark.conf.set(key, "4096")
+        got = sorted(map(str, out.collect()))
+    finally:
+        for k in (key, "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k)
+    assert len(got) == len(want) and (stage == "mix" or got == want)

@@ -148,7 +148,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     Needs doc_id, text, source; n_chars follows a part where present. Rows without taken words are not in the mix.
     """
     names = docs.columns
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     plan = mix_plan(marked, keep=("__row",)).where("taken > 0")
     plan = plan.select(*[F.col(c).alias("__p" + c) for c in ("__row", "size", "taken", "copies", "start", "n_blocks", "quota", "phase")])
     words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
