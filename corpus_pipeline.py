@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import language, mixing, packing, secrets, simhash
+from tilewright.llm import language, mixing, packing, secrets, similar, simhash
 from tilewright.llm.common import documents, fold, stored
+from tilewright.llm.components import components
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +21,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component: the smallest doc_id (null last), one row of it."""
+    """Keeps one document of each near-duplicate component: the smallest doc_id (null last), one row of it.
+
+    Linked are fingerprints within op3's radius and texts whose five-word shingles have similarity 0.8 or more.
+    """
     marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = simhash.near_duplicates(marked.select("__row", "doc_id", "text"))
-    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"))
+    found = stored(simhash.near_duplicates(marked.select("__row", "doc_id", "text"), "__row").select(
+        "__row", "doc_id", F.col("component_id").alias("part")), "components")
+    links = similar.similar_links(marked.select("__row", "text"), "__row")
+    for side in ("a", "b"):  # rows are replaced by the components that they are in
+        links = links.join(found.select(F.col("__row").alias(side), F.col("part").alias(f"{side}_part")), side)
+    roots = components(stored(links.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")), "similar"))
+    found = found.join(roots, F.col("part") == F.col("node"), "left").withColumn("root", F.coalesce("root", "part"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"))
     return marked.join(least.select(F.col("m.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 

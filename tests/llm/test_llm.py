@@ -15,7 +15,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilewright.llm import components, language, lm, mixing, neighbours, packing, quality, secrets, simhash, token_output, urls
+from tilewright.llm import components, language, lm, mixing, neighbours, packing, quality, secrets, similar, simhash, token_output, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, score double, size string, row int, fp string, words string"
@@ -610,6 +610,53 @@ def test_pipeline_odd(spark, odd, empty):
                 assert sum(r["doc_id"] == 6 for r in rows) <= 1
 
 
+def word_shingles(t):
+    w = low_words(t)
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_dedup_leaves_no_copy_of_similarity_08(spark):
+    """Planted near copies of similarity 0.8 to 0.9, chains and a large group: brute force finds no pair that was kept."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 200, 700]))]
+        rows.append(" ".join(words))
+        for _ in range(30 if k == 0 else rng.randrange(4)):
+            for _ in range(max(1, len(words) // 60)):  # a replaced word changes five shingles
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+    rows += ["a b c", "A  b c", "a b d", "", None]
+    grams = [word_shingles(t) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    beyond = 0
+    fps = [brute_fingerprint(t) for t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = grams[i] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])
+            far = (fps[i] ^ fps[j]).bit_count() > 4
+            beyond += bool(alike and far)
+            if alike or not far:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert beyond > 50
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(5)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, df, SF).select("doc_id").collect())
+    assert got == [i for i in range(len(rows)) if find(i) == i]
+    for r in similar.similar_links(df, "doc_id").collect():
+        assert 5 * len(grams[r["a"]] & grams[r["b"]]) >= 4 * len(grams[r["a"]] | grams[r["b"]])
+
+
+def test_documents_without_id_are_kept_apart(spark):
+    df = spark.createDataFrame([(None, "one two three"), (None, "four five six"), (1, "seven eight"), (1, "nine ten")], "doc_id long, text string")
+    assert corpus_pipeline.dedup_stage(spark, df, SF).count() == 4
+
+
 @pytest.mark.parametrize("stage", ["near_duplicates", "mix"])
 def test_stages_do_not_number_rows_by_two_scans(spark, docs, tmp_path, stage):
     """The last scan is planned over other partitions than the first one, as after the loss of an executor."""
