@@ -114,6 +114,16 @@ def test_lm_odd(odd, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
+def test_lm_end_is_known_below_the_floor(spark, monkeypatch):
+    """Every word is more frequent than the end token, or no word fits: the end token still counts as seen."""
+    rows = [(i, " ".join(f"w{k}" for k in range(40)) + " " + " ".join(f"w{k}" for k in range(40))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (5, 60, 131_072):
+        monkeypatch.setattr(lm, "HOT_WORDS", hot)
+        got = [tuple(r) for r in lm.lm_scores(df).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()]
+        close_rows(got, base_scores(rows))
+
+
 def test_lm_without_training_rows(spark):
     d = next(i for i in range(99) if remainder(i) == 1)
     rows = lm.lm_scores(spark.createDataFrame([(d, "a b")], "doc_id long, text string")).collect()
@@ -130,7 +140,7 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_windows():
-    keys, starts, ends = language.four_grams(["Ab", None, "é1"])
+    keys, starts, ends = language.four_grams([b"Ab", None, "é1".encode()])
     own = [[bytes(int(k).to_bytes(4, "big")) for k in keys[s:e]] for s, e in zip(starts, ends)]
     assert own == [[b"  ab", b" ab ", b"ab  "], [b"    "], ["  é".encode(), " é ".encode(), "é  ".encode(), b"\xa9   "]]
 
@@ -326,6 +336,15 @@ def test_matching_and_best_fit_room():
         assert all(sum(lengths[b]) <= capacity for b in tree)
 
 
+def test_equal_pieces_are_dealt_into_many_groups(spark):
+    """Pieces equal in every column (empty texts without an id) do not land in one group."""
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    rows = packing.pack_documents(df).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 20_000 and len(groups) == 5 and max(groups.values()) < 5000
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 20_000
+
+
 def test_matrices_round_trip(docs, texts, odd, empty):
     for df, given, buffer in ((docs, list(texts.items()), 10_000), (odd, [(r[0], r[1]) for r in odd_rows()], 50_000)):
         parts = defaultdict(list)
@@ -588,26 +607,44 @@ def test_pipeline_stages(spark, docs):
         if name != "packing":
             assert out.dtypes == docs.dtypes
             at = spark.createDataFrame(path_free, docs.schema)
-    groups = {}
-    for d, _, c in brute_components([(r["doc_id"], r["text"]) for r in seen["language"]]):
-        groups[c] = min(d, groups.get(c, d))
-    assert sorted(r["doc_id"] for r in seen["near_duplicates"]) == sorted(groups.values())
+    assert sorted(r["doc_id"] for r in seen["near_duplicates"]) == brute_kept([(r["doc_id"], r["text"]) for r in seen["language"]])
     assert len(seen["secrets"]) == len(seen["near_duplicates"])
     assert not any(brute_spans(r["text"]) for r in seen["secrets"])
     check_packed(seen["packing"], [(r["doc_id"], r["text"]) for r in seen["mix"]])
     assert len(seen["language"]) > 0.95 * docs.count()
 
 
+CLASHES = {"score": 99.0, "lang_pred": "mine", "__row": -7, "own_fp": "f", "row_number": -8, "row": -9, "fp": -10, "__text": "t", "__copy": -11, "doc": -12, "part": -13, "keys": -14}
+
+
 def test_pipeline_odd(spark, odd, empty):
+    """Odd rows go through all stages; extra columns come back untouched, whatever their names."""
     kept = ["doc_id", "text", "lang", "source", "n_chars"]
     for df in (odd.select(kept), empty.select(kept)):
         at = df
+        for name, value in CLASHES.items():
+            at = at.withColumn(name, F.lit(value))
+        counts = []
         for name, stage in corpus_pipeline.STAGES:
+            before = at
             at = stage(spark, at, SF)
             rows = at.collect()
+            if name != "packing":
+                assert at.dtypes == before.dtypes
+                assert all({c: r[c] for c in CLASHES} == CLASHES for r in rows)
+            counts.append(len(rows))
             at = spark.createDataFrame(rows, at.schema)
+            if name == "language":  # 4 has no letter, 1, 2, 3 and one more no text
+                assert {r["doc_id"] for r in rows} <= {5, 6, 7, 8, 9, None} and all(r["text"] for r in rows)
             if name == "near_duplicates":
                 assert sum(r["doc_id"] == 6 for r in rows) <= 1
+            if name == "secrets":
+                assert not any("AKIA" in r["text"] for r in rows)
+        assert counts[1] == counts[2] <= counts[0] and bool(counts[-1]) == bool(counts[0])
+    clashing = odd.select(kept).withColumns({c: F.lit(v) for c, v in CLASHES.items()})
+    rows = corpus_pipeline.dedup_stage(spark, clashing, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 4, 5, 6, 7, 8, 9]  # 1 stands for all texts without words
+    assert all({c: r[c] for c in CLASHES} == CLASHES for r in rows)
 
 
 def word_shingles(t):
@@ -615,6 +652,35 @@ def word_shingles(t):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def brute_parts(texts):
+    """Smallest row of each row's component, by all pairs of 4-bit links and similarity 0.8; and pairs alike beyond 4 bits."""
+    grams, fps = [word_shingles(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    beyond = []
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = bool(grams[i]) and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])
+            far = (fps[i] ^ fps[j]).bit_count() > 4
+            if alike and far:
+                beyond.append((i, j))
+            if alike or not far:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))], beyond
+
+
+def brute_kept(rows):
+    least = {}
+    for (d, _), part in zip(rows, brute_parts([t for _, t in rows])[0]):
+        least[part] = min(d, least.get(part, d))
+    return sorted(least.values())
+
+
 def test_dedup_leaves_no_copy_of_similarity_08(spark):
     """Planted near copies of similarity 0.8 to 0.9, chains and a large group: brute force finds no pair that was kept."""
     rng = random.Random(11)
@@ -627,29 +693,42 @@ def test_dedup_leaves_no_copy_of_similarity_08(spark):
                 words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
             rows.append(" ".join(words))
     rows += ["a b c", "A  b c", "a b d", "", None]
-    grams = [word_shingles(t) for t in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    beyond = 0
-    fps = [brute_fingerprint(t) for t in rows]
-    for i in range(len(rows)):
-        for j in range(i):
-            alike = grams[i] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])
-            far = (fps[i] ^ fps[j]).bit_count() > 4
-            beyond += bool(alike and far)
-            if alike or not far:
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    assert beyond > 50
+    parts, beyond = brute_parts(rows)
+    assert len(beyond) > 50
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(5)
     got = sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, df, SF).select("doc_id").collect())
-    assert got == [i for i in range(len(rows)) if find(i) == i]
-    for r in similar.similar_links(df, "doc_id").collect():
-        assert 5 * len(grams[r["a"]] & grams[r["b"]]) >= 4 * len(grams[r["a"]] | grams[r["b"]])
+    assert got == [i for i, p in enumerate(parts) if p == i]
+
+
+def test_dedup_recall_among_boilerplate(spark):
+    """Planted pairs of 0.8 to 0.9 in a crowd of texts that share most of their words; strangers are never joined."""
+    rng = random.Random(12)
+    common = [f"b{i}" for i in range(240)]
+    rows = []
+    for _ in range(2000):
+        at = rng.randrange(240)
+        own = [f"u{rng.randrange(10**9)}" for _ in range(30)]
+        rows.append(common[:at] + own + common[at:])
+    planted = []
+    for k in range(300):
+        words, n = list(rows[k]), rng.randrange(9, 25)
+        at = rng.randrange(len(words) - n)
+        words[at:at + n] = [f"v{rng.randrange(10**9)}" for _ in range(n)]
+        a, b = word_shingles(" ".join(rows[k])), word_shingles(" ".join(words))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.92:
+            planted.append((k, len(rows)))
+        rows.append(words)
+    assert len(planted) > 250
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "row long, text string").repartition(6)
+    own = df.select("row", F.col("row").alias("part"))
+    part = {r["row"]: r["part"] for r in similar.joined_parts(df, own, "row").collect()}
+    assert sum(part[a] == part[b] for a, b in planted) >= 0.99 * len(planted)
+    grams = [word_shingles(" ".join(w)) for w in rows]
+    members = defaultdict(list)
+    for i, p in part.items():
+        members[p].append(i)
+    for own in members.values():  # every member has a partner of 0.8 in its component
+        assert len(own) == 1 or all(any(5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]) for j in own if j != i) for i in own)
 
 
 def test_documents_without_id_are_kept_apart(spark):

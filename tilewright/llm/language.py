@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import documents, fold, stored
+from tilewright.llm.common import documents, fold, fresh, stored, text_slices
 
 #: Slots of the filter (a power of two) and hash multipliers, one per hash function (odd, below 2^31).
 SLOT_BITS = 21
@@ -18,38 +18,31 @@ MULTIPLIERS = (1640531527, 1181783497, 1013904223)
 MIN_COUNT = 3
 RATE_SHARE = 0.34
 UNKNOWN = "und"
-BATCH_BYTES = 4_000_000
+#: Bytes of text whose windows a task holds at a time: some 15 MB of arrays.
+SLICE_BYTES = 400_000
 
 # A-Z to a-z; other ASCII characters to a space; bytes of other characters stay.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 BLANK = 0x20202020
 
 
-def four_grams(texts: list[str | None]):
+def four_grams(texts: list[bytes | None]):
     """(keys, starts, ends) of the 4-byte windows of the texts, each between two spaces at either side.
 
     Windows of text i are keys[starts[i]:ends[i]]; windows between two texts are left out by these ranges.
     """
-    raw = [(t or "").encode() for t in texts]
+    raw = [t or b"" for t in texts]
     data = FOLD[np.frombuffer(b"  " + b"    ".join(raw) + b"  ", np.uint8)].astype(np.uint32)
-    keys = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
+    keys = data[:-3] << 8
+    for part in (data[1:-2], data[2:-1]):
+        keys |= part
+        keys <<= 8
+    keys |= data[3:]
     sizes = np.array([len(r) for r in raw], np.int64)
     starts = np.cumsum(sizes + 4) - sizes - 4
     return keys, starts, starts + sizes + 1
 
 
-def _slices(texts: list[str | None]):
-    """Ranges of texts of about BATCH_BYTES characters each (one text at least)."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 4
-        if size >= BATCH_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): occurrences of every 4-byte window in all texts of every language."""
 
@@ -65,11 +58,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), object)
-            texts = b.column("text").to_pylist()
             for lang in sorted(set(langs)):
-                own = [texts[i] for i in np.flatnonzero(langs == lang)]
-                for i, j in _slices(own):
-                    keys, starts, ends = four_grams(own[i:j])
+                for _, texts in text_slices(b.column("text").take(pa.array(np.flatnonzero(langs == lang))), SLICE_BYTES):
+                    keys, starts, ends = four_grams(texts)
                     inside = np.zeros(len(keys) + 1, np.int64)
                     np.add.at(inside, starts, 1)
                     np.add.at(inside, ends, -1)
@@ -118,8 +109,8 @@ def fit(docs: DataFrame, slot_bits: int = SLOT_BITS, min_count: int = MIN_COUNT,
     return langs, masks, fill ** len(MULTIPLIERS), max(langs, key=lambda x: (totals[x], x))
 
 
-def predict(docs: DataFrame, model, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score (existing columns of these names are replaced).
+def predict(docs: DataFrame, model, slot_bits: int = SLOT_BITS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and the two of ``names``, prediction and score (existing columns of these names are replaced).
 
     A window is looked up in all hash slots at once: the masks' AND has a bit for every language that holds it.
     Bits per language are counted over the text and corrected for the filter's false positives,
@@ -132,26 +123,24 @@ def predict(docs: DataFrame, model, slot_bits: int = SLOT_BITS) -> DataFrame:
         masks = masks.astype(np.uint8)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, masks, wrong, default))  # size fixed by slot_bits and the languages
-    kept = docs.drop("lang_pred", "score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = docs.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches):
         import re
 
-        ascii_letter = re.compile("[A-Za-z]")
+        ascii_letter = re.compile(b"[A-Za-z]")
         langs, masks, wrong, default = shared.value
         n_langs = len(langs)
         for b in batches:
-            texts = b.column("text").to_pylist()
             label, score = [], []
-            for i, j in _slices(texts):
-                keys, starts, ends = four_grams(texts[i:j])
-                slots = [((keys * np.uint32(m)) >> np.uint32(32 - slot_bits)) for m in MULTIPLIERS]
-                hits = np.zeros((j - i, n_langs))
+            for _, texts in text_slices(b.column("text"), SLICE_BYTES):
+                keys, starts, ends = four_grams(texts)
+                hits = np.zeros((len(texts), n_langs))
                 for word in range(len(masks) if n_langs else 0):
-                    held = masks[word][slots[0]]
-                    for s in slots[1:]:
-                        held &= masks[word][s]
+                    held = masks[word][(keys * np.uint32(MULTIPLIERS[0])) >> np.uint32(32 - slot_bits)]
+                    for m in MULTIPLIERS[1:]:
+                        held &= masks[word][(keys * np.uint32(m)) >> np.uint32(32 - slot_bits)]
                     held = np.append(held, np.zeros(1, held.dtype))
                     for k in range(word * 63, min(n_langs, word * 63 + 63)):
                         one = ((held >> held.dtype.type(k % 63)) & held.dtype.type(1)).astype(np.int32)
@@ -159,9 +148,9 @@ def predict(docs: DataFrame, model, slot_bits: int = SLOT_BITS) -> DataFrame:
                 windows = (ends - starts)[:, None]
                 true = np.maximum(0.0, (hits - windows * wrong) / (1.0 - wrong)) if n_langs else hits
                 total = true.sum(axis=1)
-                best = true.argmax(axis=1) if n_langs else np.zeros(j - i, int)
-                for r, t in enumerate(texts[i:j]):
-                    if not n_langs or not t or not (ascii_letter.search(t) or any(c.isalpha() for c in t)):
+                best = true.argmax(axis=1) if n_langs else np.zeros(len(texts), int)
+                for r, t in enumerate(texts):
+                    if not n_langs or not t or not (ascii_letter.search(t) or any(c.isalpha() for c in t.decode())):
                         label.append(UNKNOWN)
                         score.append(0.0)
                     elif total[r] <= 0:
@@ -171,7 +160,7 @@ def predict(docs: DataFrame, model, slot_bits: int = SLOT_BITS) -> DataFrame:
                         label.append(langs[best[r]])
                         score.append(float(true[r, best[r]] / total[r]))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+                [*b.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
 
@@ -189,5 +178,18 @@ def language_id(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def with_language(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose text has a language, all columns untouched; learns as :func:`language_id` does.
+
+    Dropped are null texts, texts without a letter and texts whose windows fit no language. Needs doc_id, text, lang of
+    any castable type. Null ids count as empty text in the fold rule; repeated rows are kept or dropped alike; without a
+    training row nothing is kept; an empty table gives no rows. Columns called lang_pred or score are the caller's own.
+    """
+    names = fresh(docs, "lang_pred"), fresh(docs, "score")
+    learnt = docs.where(fold(F.col("doc_id")) != 0).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    judged = predict(docs, fit(learnt), names=names)
+    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) > 0)).select(*docs.columns)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))

@@ -84,6 +84,9 @@ def classes_of(counts: DataFrame) -> Classes:
         seen, floor_level = seen + r["count"], r["level"]
     rows = [] if floor_level is None else counts.where(level >= floor_level).collect()
     hot = {bytes(r["word"]): r["c"] for r in rows}
+    least_hot = 0 if floor_level is None else min(hot.values())
+    if END not in hot:  # every text holds it, and it is never looked up among the rare words
+        hot |= {bytes(r["word"]): r["c"] for r in counts.where(F.col("word") == F.lit(bytearray(END))).collect()}
     top = sorted((w for w in hot if w != END), key=lambda w: (-hot[w], w))[:SINGLE - 1]
     single = {END: 0, **{w: i + 1 for i, w in enumerate(top)}}
     suffix_of = F.expr(f"substring(word, -{SUFFIX_BYTES}, {SUFFIX_BYTES})")
@@ -102,7 +105,7 @@ def classes_of(counts: DataFrame) -> Classes:
     types[SINGLE] = (rest["v"] or 0) - types[SINGLE + 1:].sum()
     log_size = np.log10(tokens + 0.5 * (types + 1))
     log_size[:SINGLE] = 0.0
-    return Classes(total["n"] or 0, total["v"], 0 if floor_level is None else min(hot.values()), hot, single, suffix, log_size, tokens)
+    return Classes(total["n"] or 0, total["v"], least_hot, hot, single, suffix, log_size, tokens)
 
 
 ENCODED = ("row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_log double, class_log double, "

@@ -145,23 +145,25 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     """The mix itself, in the columns of ``docs``: whole copies as repeated rows, a part as the chosen words in a row.
 
-    Needs doc_id, text, source; n_chars follows a part where present. Rows without taken words are not in the mix.
+    Needs doc_id, text, source; n_chars follows a part where present. Rows without taken words are not in the mix, so null
+    and empty texts are not. Null sources are one source; null ids count as empty text in the seeded order; repeated rows
+    are taken each on their own; an empty table gives no rows; other columns go along, whatever their names.
     """
     names = docs.columns
-    marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    plan = mix_plan(marked, keep=("__row",)).where("taken > 0")
-    plan = plan.select(*[F.col(c).alias("__p" + c) for c in ("__row", "size", "taken", "copies", "start", "n_blocks", "quota", "phase")])
-    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
-    joined = marked.join(plan, F.col("__row") == F.col("__p__row"))
+    marked = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")), "numbered")
+    plan = mix_plan(marked.select("row", "doc.doc_id", "doc.text", "doc.source"), keep=("row",)).where("taken > 0")
+    plan = plan.select(*[F.col(c).alias("__p" + c) for c in ("row", "size", "taken", "copies", "start", "n_blocks", "quota", "phase")])
+    words = F.array_remove(F.split("doc.text", "[\\x20\\x09-\\x0D]+"), "")
+    joined = marked.join(plan, F.col("row") == F.col("__prow"))
     partial = F.col("__ptaken") > F.col("__pcopies") * F.col("__psize")
     rows = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__pcopies") + partial.cast("int"))))
     cut = F.array_join(F.filter(words, lambda w, i: is_chosen(F.floor((F.col("__pstart") + i) / block).cast("long"), "__p") == 1), " ")
-    text = F.when(F.col("__copy") > F.col("__pcopies"), cut).otherwise(F.col("text"))
+    text = F.when(F.col("__copy") > F.col("__pcopies"), cut).otherwise(F.col("doc.text"))
     rows = rows.withColumn("__text", text)
     out = {"text": F.col("__text")}
     if "n_chars" in names:
-        out["n_chars"] = F.when(F.col("__copy") > F.col("__pcopies"), F.length("__text")).otherwise(F.col("n_chars"))
-    return rows.select(*[out.get(n, F.col(n)).cast(docs.schema[n].dataType).alias(n) for n in names])
+        out["n_chars"] = F.when(F.col("__copy") > F.col("__pcopies"), F.length("__text")).otherwise(F.col("doc.n_chars"))
+    return rows.select(*[out.get(n, F.col(f"doc.`{n}`")).cast(docs.schema[n].dataType).alias(n) for n in names])
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

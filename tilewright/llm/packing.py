@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import documents, stored, words
+from tilewright.llm.common import documents, stored, text_slices
 from tilewright.llm.tokens import WordIds, default_tokenizer
 
 CAPACITY = 4096
@@ -32,10 +32,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         ids_of = WordIds(path)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for at in range(0, len(doc_ids), 256):
+            doc_ids = b.column("doc_id").to_pylist()
+            for at, texts in text_slices(b.column("text")):
                 found = []
-                for d, ids in zip(doc_ids[at:at + 256], ids_of.encode([words(t) for t in texts.slice(at, 256).to_pylist()])):
+                for d, ids in zip(doc_ids[at:at + len(texts)], ids_of.encode([t.split() if t else [] for t in texts])):
                     ids += end
                     n = len(ids) // 4
                     for k, s in enumerate(range(0, n, capacity)):
@@ -136,7 +136,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     """
     n = items.count()
     groups = max(1, round(n / group_pieces))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(9)), F.lit(groups)).cast("long")
+    # Equal rows (many empty texts without an id) differ in the random draw only; the seed makes reruns over a stored table agree.
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.rand(9)), F.lit(groups)).cast("long")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "length", "ids_crc32"], kind="stable", na_position="first", ignore_index=True)

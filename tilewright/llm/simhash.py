@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import documents, lower_words, stored
+from tilewright.llm.common import documents, fresh, lower_words, stored
 from tilewright.llm.components import components
 
 SHINGLE = 4
@@ -175,8 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = rooted.join(names, "root").select(F.col("fp").alias("own_fp"), "component_id")
-    return marked.join(by_fp, marked["fp"] == by_fp["own_fp"]).drop("own_fp").withColumn(
+    own = fresh(marked, "own_fp")
+    by_fp = rooted.join(names, "root").select(F.col("fp").alias(own), "component_id")
+    return marked.join(by_fp, marked["fp"] == by_fp[own]).drop(own).withColumn(
         "fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 

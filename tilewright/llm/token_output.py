@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import documents, words
+from tilewright.llm.common import documents, text_slices
 from tilewright.llm.tokens import WordIds, default_tokenizer
 
 CAPACITY = 4096
@@ -82,26 +84,24 @@ def token_matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
     Repeated rows and null ids keep their own segments; an empty table gives no rows; other columns are ignored.
     """
     path = tokenizer or default_tokenizer()
+    steps = np.arange(capacity, dtype="<u2").tobytes()
+    padding = np.full(capacity, PAD_ID, "<u4").tobytes()
+    end = np.array([END_ID], "<u4").tobytes()
 
     def emit(held: list, base: int) -> tuple[pa.RecordBatch, int]:
-        bins = best_fit_decreasing([len(x[2]) for x in held], capacity)
-        ids = np.full((len(bins), capacity), PAD_ID, "<u4")
-        pos = np.zeros((len(bins), capacity), "<u2")
-        cu, doc_ids, starts = [], [], []
-        steps = np.arange(capacity, dtype="<u2")
-        for k, members in enumerate(bins):
-            at, ends = 0, [0]
-            for m in members:
-                n = len(held[m][2])
-                ids[k, at:at + n], pos[k, at:at + n] = held[m][2], steps[:n]
-                at += n
-                ends.append(at)
-            cu.append(ends)
+        bins = best_fit_decreasing([len(x[2]) // 4 for x in held], capacity)
+        ids, pos, cu, doc_ids, starts = [], [], [], [], []
+        for members in bins:
+            row = b"".join([held[m][2] for m in members])
+            sizes = [len(held[m][2]) // 4 for m in members]
+            ids.append(row + padding[len(row):])
+            pos.append(b"".join([steps[:2 * n] for n in sizes]) + bytes(2 * (capacity - sum(sizes))))
+            cu.append([0, *accumulate(sizes)])
             doc_ids.append([held[m][0] for m in members])
             starts.append([held[m][1] for m in members])
         return pa.RecordBatch.from_arrays([
             pa.array(np.arange(base, base + len(bins)), pa.int64()),
-            pa.array([r.tobytes() for r in ids], pa.binary()), pa.array([r.tobytes() for r in pos], pa.binary()),
+            pa.array(ids, pa.binary()), pa.array(pos, pa.binary()),
             pa.array(cu, pa.list_(pa.int32())), pa.array([c[-1] for c in cu], pa.int32()),
             pa.array(doc_ids, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64())),
         ], [c.split()[0] for c in MATRIX.split(", ")]), base + len(bins)
@@ -112,14 +112,13 @@ def token_matrices(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
         base = TaskContext.get().partitionId() << 33
         ids_of, held, total = WordIds(path), [], 0
         for b in batches:
-            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for at in range(0, len(doc_ids), 256):
-                encoded = ids_of.encode([words(t) for t in texts.slice(at, 256).to_pylist()])
-                for d, raw in zip(doc_ids[at:at + 256], encoded):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID))
-                    for s in range(0, len(ids), capacity):
-                        held.append((d, s, ids[s:s + capacity]))
-                        total += len(held[-1][2])
+            doc_ids = b.column("doc_id").to_pylist()
+            for at, texts in text_slices(b.column("text")):
+                for d, raw in zip(doc_ids[at:at + len(texts)], ids_of.encode([t.split() if t else [] for t in texts])):
+                    raw += end
+                    for s in range(0, len(raw), 4 * capacity):
+                        held.append((d, s // 4, raw[s:s + 4 * capacity]))
+                        total += len(held[-1][2]) // 4
                         if total >= buffer_tokens:
                             out, base = emit(held, base)
                             yield out

@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 # The word-end BPE's own split of a text, as its file states it (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Words of ASCII without apostrophes and of Latin-1 letters: split and lower-cased here just as by the tokenizer.
@@ -34,23 +34,22 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        made = json.loads(self.tokenizer.to_str())
-        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.plain = made["model"].get("end_of_word_suffix") == "</w>" and steps[0].get("pattern") == {"Regex": SPLIT}
+        split = self.tokenizer.pre_tokenizer
+        steps = json.loads(split.__getstate__()).get("pretokenizers") or [{}] if split else [{}]
+        self.plain = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and steps[0].get("pattern") == {"Regex": SPLIT}
         if self.plain:
-            self.parts = Tokenizer.from_file(path)
-            self.parts.normalizer = normalizers.Sequence([])
+            self.parts = Tokenizer(self.tokenizer.model)  # the same model, without normaliser and special tokens
             self.parts.pre_tokenizer = pre_tokenizers.Sequence(
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-            self.special = [s["content"] for s in made["added_tokens"]]
+            self.special = [s.content for s in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _learn_cores(self, cores: list[str]) -> None:
         lines = [" ".join(cores[i:i + 64]) for i in range(0, len(cores), 64)]
@@ -64,9 +63,10 @@ class WordIds:
 
     def _learn(self, new: list[bytes]) -> None:
         other, split = [], []
-        for w in new:
-            text = w.decode()
-            if self.plain and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+        joined = b" ".join(new).decode()
+        special = [s for s in self.special if s in joined] if self.plain else []
+        for w, text in zip(new, joined.split(" ")):
+            if self.plain and PLAIN.fullmatch(text) and not (special and any(s in text for s in special)):
                 split.append((w, CORE.findall(text.lower())))
             else:
                 other.append((w, text))
@@ -82,10 +82,8 @@ class WordIds:
         """For every list of words its ids as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        known, new = self.words, set()
-        for w in texts:
-            new.update(w)
-        new = [w for w in new if w not in known]
+        known = self.words
+        new = list(set().union(*texts).difference(known))
         for i in range(0, len(new), 20_000):
             self._learn(new[i:i + 20_000])
         get = known.__getitem__
