@@ -6,49 +6,54 @@ Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all b
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tilewright.llm import language, mixing, packing, secrets, similar, simhash
-from tilewright.llm.common import documents, fold, stored
-from tilewright.llm.components import components
+from tilewright.llm import language, mixing, packing, secrets, similar
+from tilewright.llm.common import documents, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null or no letter) or whose windows fit none; learns as the query does."""
-    model = language.fit(docs.where(fold(F.col("doc_id")) != 0).select("text", "lang"))
-    judged = language.predict(docs, model)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
+    """Drops texts without a language: null, empty, without a letter, or of windows that fit none.
+
+    Learns as the query does. Texts of any length are judged whole; repeated rows fare alike; equal counts go to the first
+    language; an empty table, or one without a training row, gives no rows; other columns stay, whatever their names.
+    """
+    return language.with_language(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component: the smallest doc_id (null last), one row of it.
 
-    Linked are fingerprints within op3's radius and texts whose five-word shingles have similarity 0.8 or more.
+    Linked are fingerprints within op3's radius and texts whose five-word shingles have similarity 0.8 or more. Texts
+    without words (null, empty) are one component. Texts of any length are compared whole; of repeated rows one stays;
+    ties go to one row; an empty table gives no rows; other columns stay, whatever their names.
     """
-    marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = stored(simhash.near_duplicates(marked.select("__row", "doc_id", "text"), "__row").select(
-        "__row", "doc_id", F.col("component_id").alias("part")), "components")
-    links = similar.similar_links(marked.select("__row", "text"), "__row")
-    for side in ("a", "b"):  # rows are replaced by the components that they are in
-        links = links.join(found.select(F.col("__row").alias(side), F.col("part").alias(f"{side}_part")), side)
-    roots = components(stored(links.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")), "similar"))
-    found = found.join(roots, F.col("part") == F.col("node"), "left").withColumn("root", F.coalesce("root", "part"))
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m"))
-    return marked.join(least.select(F.col("m.__row").alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+    return similar.one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; no document is dropped."""
+    """Replaces every secret by a mark; no document is dropped.
+
+    Null and empty texts stay as they are; texts of any length are scanned whole; overlapping secrets get one mark;
+    repeated rows fare alike; an empty table gives no rows; n_chars follows a changed text, other columns stay.
+    """
     return secrets.redacted(docs, secrets.log_ratios(secrets.corpus_counts(docs)))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents taken more than once are repeated, the last time perhaps in part."""
+    """The mix: documents taken more than once are repeated, the last time perhaps in part.
+
+    Null and empty texts have nothing to take and go; null sources are one source; repeated rows are taken each on
+    their own; equal quotients go to the first source; an empty table gives no rows; other columns go along.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per packed piece."""
+    """One row per packed piece.
+
+    A null or empty text is one piece of length 1; longer texts than a sequence are cut, nothing else is; repeated rows
+    and null ids have their own pieces; an empty table gives no rows; other columns are left out.
+    """
     return packing.pack_documents(docs)
 
 
