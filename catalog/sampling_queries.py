@@ -10,7 +10,7 @@ from catalog import views as V
 from catalog.registry import query
 from catalog.text_queries import REFS, _GOOD
 from tilewright import constants as K
-from tilewright.functions.draws import ROUNDS, base_order
+from tilewright.functions.draws import MULTIPLIERS, PRIME, ROUNDS, SWAP_ROUNDS, base_order, cycle_base, digits_of, with_positions
 from tilewright.operators import quality as Q
 from tilewright.operators import sampling as S
 from tilewright.operators import themes as T
@@ -33,22 +33,49 @@ def _hex(text, start, length):
     return f"('0x' || substr({text}, {start}, {length}))::BIGINT"
 
 
+def swap_pos(slot, cycle, n, salt, seed=SEED):
+    """SQL form of the swap rounds of a theme axis."""
+    x = f"({slot})::BIGINT"
+    for r in range(SWAP_ROUNDS):
+        u = _hex(V.digest(seed, salt, "'cycle'", cycle), 8 * r + 1, 8)
+        x = _mirrored(x, f"({u}) % {n}", n, lambda top: f"((({u}) // {n}) >> {top}) & 1 = 1")
+    return f"({x})"
+
+
+def _squared(x, m, add):
+    w = f"(({x} * {m} + {add}) % {PRIME})"
+    return f"({w} * {w} % {PRIME})"
+
+
+def _network(x, a, b):
+    """SQL form of one application of the permutation network to ``x``; the key is ``key_``. Plain arithmetic: nested lambdas bind slowly."""
+    left, right = f"({x} % {a})", f"({x} // {a})"
+    for r in range(ROUNDS):
+        add = f"(key_ * {MULTIPLIERS[(r + 1) % ROUNDS]} % {PRIME} + {r})"
+        if r % 2 == 0:
+            left = f"(({left} + {_squared(right, MULTIPLIERS[r], add)}) % {a})"
+        else:
+            right = f"(({right} + {_squared(left, MULTIPLIERS[r], add)}) % {b})"
+    return f"({left} * {b} + {right})"
+
+
+def _position(slot, cycle, n, base, a, b):
+    """The network is applied once and then until the number is inside the pool."""
+    key = _squared(_squared(f"(({cycle}) % {PRIME})", MULTIPLIERS[6], base), MULTIPLIERS[7], f"((({cycle}) // {PRIME}) % {PRIME})")
+    walk = f"list_reduce(list_prepend(({slot})::BIGINT, range({a} * {b} - {n} + 1)), lambda y, step: CASE WHEN step > 0 AND y < {n} THEN y ELSE {_network('y', a, b)} END)"
+    return _let(key, "key_", walk)
+
+
 def pool_pos(slot, cycle, n, salt, *keys, seed=SEED):
     """SQL form of the permutation of a data-sized pool."""
-    x, key = f"({slot})::BIGINT", ", ".join(f"cast({k} as varchar)" for k in ("'cycle'", *keys, cycle))
-    for r in range(ROUNDS):
-        text = f"concat_ws('|', '{seed}', '{salt}', {key}, '{r}'"
-        x = _mirrored(x, f"{_hex(f'md5({text}))', 1, 15)} % {n}", n, lambda top: f"substr(md5({text}, cast({top} as varchar))), 1, 1) >= '8'")
-    return x
+    base = f"({V.u32(seed, salt, chr(39) + 'cycle' + chr(39), *keys)} % {PRIME})"
+    return _let(f"({n})::BIGINT", "n_", _let("greatest(1, ceil(sqrt(n_::DOUBLE)))::BIGINT", "a_", _let(
+        "(n_ + a_ - 1) // a_", "b_", _position(slot, cycle, "n_", base, "a_", "b_"))))
 
 
 def small_pos(slot, cycle, n, salt, seed=SEED):
     """SQL form of the permutation of a literal pool."""
-    x = f"({slot})::BIGINT"
-    for r in range(ROUNDS):
-        u = _hex(V.digest(seed, salt, "'cycle'", cycle), 8 * r + 1, 8)
-        x = _mirrored(x, f"({u}) % {n}", n, lambda top: f"((({u}) // {n}) >> {top}) & 1 = 1")
-    return f"({x})"
+    return _position(slot, cycle, n, cycle_base(seed, salt), *digits_of(n))
 
 
 def samples(spark, sf):
@@ -66,20 +93,19 @@ _CONDS = f"{_AX(K.SCALES, 392)} AS scale, {_AX(K.ROTATIONS, 56)} AS rotation, {_
 
 
 @query("condition_grid_use", f"""WITH g AS (SELECT range AS combo FROM range(1960)), c AS (SELECT combo, {_CONDS} FROM g),
-  u AS (SELECT {pool_pos('o_orderkey % 1960', 'o_orderkey // 1960', 1960, 'grid')} AS combo FROM orders)
+  u AS (SELECT {small_pos('o_orderkey % 1960', 'o_orderkey // 1960', 1960, 'grid')} AS combo FROM orders)
   SELECT c.scale, c.rotation, c.lighting, c.interaction, count(u.combo) AS n FROM c LEFT JOIN u ON c.combo = u.combo GROUP BY ALL""")
 def condition_grid_use(spark, sf):
     """Every combination of the grid with the number of samples it got."""
-    combos = samples(spark, sf).groupBy(S.combo_number(F.col("sample_no"), SEED).alias("combo")).agg(F.count(F.lit(1)).alias("n"))
+    combos = S.with_combo(samples(spark, sf), F.col("sample_no"), SEED).groupBy("combo").agg(F.count(F.lit(1)).alias("n"))
     grid = S.condition_grid(spark)
     return grid.join(combos, "combo", "left").select("scale", "rotation", "lighting", "interaction", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("sample_conditions", f"""WITH u AS (SELECT o_orderkey, {pool_pos('o_orderkey % 1960', 'o_orderkey // 1960', 1960, 'grid')} AS combo FROM orders)
+@query("sample_conditions", f"""WITH u AS (SELECT o_orderkey, {small_pos('o_orderkey % 1960', 'o_orderkey // 1960', 1960, 'grid')} AS combo FROM orders)
   SELECT printf('sample_%07d', o_orderkey) AS id, {_CONDS} FROM u""")
 def sample_conditions(spark, sf):
-    s = samples(spark, sf)
-    c = s.select("sample_no", *S.condition_columns(S.combo_number(F.col("sample_no"), SEED)))
+    c = S.with_combo(samples(spark, sf), F.col("sample_no"), SEED).select("sample_no", *S.condition_columns(F.col("combo")))
     return c.select(S.sample_ids(F.col("sample_no")).alias("id"), "conditions.*")
 
 
@@ -106,19 +132,19 @@ def cyclic_draws(spark, sf):
     return S.cyclic_draws(draws, pool, "category", "draw_no", SEED).select("category", "draw_no", "id")
 
 
-@query("cyclic_colors", f"SELECT o_orderkey AS sample_no, {V.quoted([K.COLORS[i] for i in base_order(15, SEED, 'color')])}[{small_pos('o_orderkey % 15', 'o_orderkey // 15', 15, 'color')} + 1] AS color FROM orders")
+@query("cyclic_colors", f"SELECT o_orderkey AS sample_no, {V.quoted(K.COLORS)}[{small_pos('o_orderkey % 15', 'o_orderkey // 15', 15, 'color')} + 1] AS color FROM orders")
 def cyclic_colors(spark, sf):
-    return samples(spark, sf).select("sample_no", S.cyclic_value(K.COLORS, F.col("sample_no"), SEED, "color").alias("color"))
+    return S.with_cyclic_values(samples(spark, sf), {"color": (K.COLORS, F.col("sample_no"), "color")}, SEED).select("sample_no", "color")
 
 
 @query("distinct_locations", " UNION ALL ".join(
-    f"SELECT o_orderkey AS sample_no, {j} AS j, {V.quoted([K.SHOT_LOCATIONS['mid_shot'][i] for i in base_order(8, SEED, 'loc')])}[{small_pos(f'((o_orderkey % 4) * 6 + {j}) % 8', 'o_orderkey // 4', 8, 'loc')} + 1] AS location FROM orders"
+    f"SELECT o_orderkey AS sample_no, {j} AS j, {V.quoted(K.SHOT_LOCATIONS['mid_shot'])}[{small_pos(f'((o_orderkey % 4) * 6 + {j}) % 8', 'o_orderkey // 4', 8, 'loc')} + 1] AS location FROM orders"
     for j in range(6)))
 def distinct_locations(spark, sf):
     pool = K.SHOT_LOCATIONS["mid_shot"]
-    ordered = F.array(*[F.lit(pool[i]) for i in base_order(8, SEED, "loc")])
-    picks = F.array(*[F.element_at(ordered, S.distinct_positions(F.col("sample_no"), j, 6, 8, SEED, "loc") + 1) for j in range(6)])
-    return samples(spark, sf).select("sample_no", F.posexplode(picks).alias("j", "location"))
+    places = with_positions(samples(spark, sf), {f"p{j}": S.distinct_draw(F.col("sample_no"), j, 6, 8, SEED, "loc") for j in range(6)})
+    picks = F.array(*[F.element_at(F.array(*[F.lit(x) for x in pool]), (F.col(f"p{j}") + 1).cast("int")) for j in range(6)])
+    return places.select("sample_no", F.posexplode(picks).alias("j", "location"))
 
 
 @query("first_allowed", f"""WITH s AS (SELECT o_orderkey, list_transform(list_sort(list_transform(['a', 'b', 'c', 'd'], lambda c: [{V.digest(SEED, 'pick', 'o_orderkey', 'c')}, c])), lambda e: e[2]) AS o FROM orders),
@@ -127,7 +153,7 @@ def distinct_locations(spark, sf):
 def first_allowed(spark, sf):
     k = F.col("sample_no")
     names = F.array(*[F.lit(c) for c in "abcd"])
-    s = samples(spark, sf).withColumn("o", S._shuffled_names(names, SEED, "pick", k))
+    s = samples(spark, sf).withColumn("o", S.shuffled_names(names, SEED, "pick", k))
     x = F.array(F.when(k % 3 == 0, "a").otherwise("b"), F.when(k % 7 == 0, "z").otherwise("c"))
     return s.select("sample_no", S.first_allowed(F.col("o"), F.when(k % 11 == 0, names).otherwise(x)).alias("pick"))
 
@@ -163,12 +189,13 @@ def included_people(spark, sf):
 # -------------------------------------------------------- composed references
 
 # Slot 1 is the landscape; slots 2 and 3 take neighbours in the block's order of the other categories, or repeat.
-_AT = lambda k: f"o[(k + {k} + c) % c + 1]"
-_SLOTS = f"""c AS (SELECT list_sort(list(DISTINCT category)) AS cats FROM g WHERE category <> 'landmark'),
+_SUBJECT = lambda k: pool_pos(f"(k + {k} + c) % c", "block", "c", "category", "'all'")
+_PLAIN = pool_pos("(k + 1) % greatest(1, c - 1)", "block", "greatest(1, c - 1)", "category", "'plain'")
+_SLOTS = f"""c AS (SELECT list(category ORDER BY category = 'person', category) AS cats FROM (SELECT DISTINCT category FROM g WHERE category <> 'landmark')),
   k AS (SELECT o_orderkey AS k, o_orderkey % 2 + 2 AS n_refs, cats, len(cats) AS c, o_orderkey // len(cats) AS block FROM orders, c),
-  o AS (SELECT *, list_transform(list_sort(list_transform(cats, lambda x: [{V.digest(SEED, 'category', 'block', 'x')}, x])), lambda e: e[2]) AS o,
-    {V.unit(SEED, 'repeat3', 'block')} < 0.15::DOUBLE / c AND c >= 3 AS rep FROM k),
-  q AS (SELECT *, {_AT(0)} AS c2, CASE WHEN NOT rep THEN {_AT(1)} WHEN {_AT(0)} = 'person' THEN {_AT(1)} WHEN {_AT(-1)} = 'person' THEN 'person' ELSE {_AT(0)} END AS c3 FROM o),
+  o AS (SELECT *, {V.unit(SEED, 'repeat3', 'block')} < 0.15::DOUBLE / c AND c >= 3 AS rep, cats[{_SUBJECT(0)} + 1] AS c2, cats[{_SUBJECT(1)} + 1] AS ahead,
+    cats[{_SUBJECT(-1)} + 1] AS back, cats[{_PLAIN} + 1] AS plain FROM k),
+  q AS (SELECT *, CASE WHEN NOT rep THEN CASE WHEN c = 1 THEN plain ELSE ahead END WHEN c2 = 'person' THEN ahead WHEN back = 'person' THEN 'person' ELSE c2 END AS c3 FROM o),
   slots AS (SELECT k, 1 AS slot, 'landmark' AS category FROM q UNION ALL SELECT k, 2, c2 FROM q UNION ALL SELECT k, 3, c3 FROM q WHERE n_refs = 3),
   numbered AS (SELECT s.*, row_number() OVER (PARTITION BY s.category ORDER BY k, slot) - 1 AS draw_no, z.n FROM slots s JOIN (SELECT DISTINCT category, n FROM g) z ON s.category = z.category),
   picked AS (SELECT k, slot, category, {pool_pos('draw_no % n', 'draw_no // n', 'n', 'item', 'category')} AS item_no FROM numbered)"""
@@ -309,7 +336,7 @@ def balanced_theme_use(spark, sf):
 def _cycled(pool, salt, i, ordered=True):
     names = [pool[p] for p in base_order(len(pool), SEED, salt)] if ordered else pool
     n = len(pool)
-    return f"{V.quoted(names)}[{small_pos(f'({i}) % {n}', f'({i}) // {n}', n, salt)} + 1]"
+    return f"{V.quoted(names)}[{swap_pos(f'({i}) % {n}', f'({i}) // {n}', n, salt)} + 1]"
 
 
 def _look(j):
@@ -318,7 +345,7 @@ def _look(j):
     def place(shot):
         keys, salt = K.SHOT_LOCATIONS[shot], f"loc_{shot}"
         n, block = len(keys), len(keys) // gcd(len(keys), 6)
-        at = small_pos(f"(({turn} % {block}) * 6 + {j}) % {n}", f"{turn} // {block}", n, salt)
+        at = swap_pos(f"(({turn} % {block}) * 6 + {j}) % {n}", f"{turn} // {block}", n, salt)
         return f"WHEN '{shot}' THEN {V.quoted([keys[p] for p in base_order(n, SEED, salt)])}[{at} + 1]"
 
     loc = "CASE shot " + " ".join(place(s) for s in SHOTS) + " END"
@@ -327,7 +354,7 @@ def _look(j):
         f"{_cycled([o for o, _ in K.ORIENTATIONS], 'orientation', draw, ordered=False)} AS orientation, {loc} AS location FROM s")
 
 
-@query("balanced_looks", f"WITH s AS (SELECT o_orderkey AS k, {V.quoted(SHOTS)}[{small_pos('o_orderkey % 3', 'o_orderkey // 3', 3, 'shot')} + 1] AS shot FROM orders) "
+@query("balanced_looks", f"WITH s AS (SELECT o_orderkey AS k, {V.quoted(SHOTS)}[{swap_pos('o_orderkey % 3', 'o_orderkey // 3', 3, 'shot')} + 1] AS shot FROM orders) "
        + " UNION ALL ".join(_look(j) for j in range(6)))
 def balanced_looks(spark, sf):
     """Shot, location, orientation, colour and material of every object of the balanced generator."""

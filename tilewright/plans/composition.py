@@ -39,7 +39,7 @@ def composed_samples(
     for k, n in counts.items():  # the grid is balanced inside each reference count
         in_group = F.when(F.col("num_references") == k, i - edge).otherwise(in_group)
         edge += n
-    step = grouped.withColumn("combo", S.combo_number(in_group.cast("long"), seed))
+    step = S.with_combo(grouped, in_group.cast("long"), seed)
     step = step.select("*", *S.condition_columns(F.col("combo")))
     field = lambda f: F.transform("r", lambda x: x[f])
     prompt = X.fill_template(
