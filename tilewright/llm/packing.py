@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import documents, stored, text_slices
-from tilewright.llm.tokens import WordIds, default_tokenizer
+from tilewright.llm.tokens import CACHED_WORDS, WordIds, default_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
@@ -20,7 +20,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Token pieces of every document: ids of the text (null: empty), then END_ID, cut at ``capacity``.
 
     Rows are independent: repeated rows and null ids give their own pieces; an empty text is one piece of length 1.
@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     columns = PIECES.split(", ")
 
     def run(batches):
-        ids_of = WordIds(path)
+        ids_of = WordIds(path, cached_words)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
@@ -156,14 +156,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     return items.select(*[c.split()[0] for c in PIECES.split(", ")], spread.alias("grp")).groupBy("grp").applyInPandas(fit, PACKED)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, cached_words: int = CACHED_WORDS) -> DataFrame:
     """All documents packed into sequences of at most ``capacity`` tokens; one row per piece (columns of PACKED).
 
     Documents longer than ``capacity`` are cut into full pieces and a last one; nothing else is cut and nothing is
     lost. Nulls, empty texts and repeated rows: see :func:`pieces`; an empty table gives no rows. Other columns of
-    ``docs`` are ignored, whatever their names.
+    ``docs`` are ignored, whatever their names. A task remembers the ids of ``cached_words`` words (memory against speed).
     """
-    return pack(stored(pieces(docs, capacity, tokenizer), "pieces"), capacity)
+    return pack(stored(pieces(docs, capacity, tokenizer, cached_words), "pieces"), capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 # The word-end BPE's own split of a text, as its file states it (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Words of ASCII without apostrophes and of Latin-1 letters: split and lower-cased here just as by the tokenizer.
@@ -32,7 +32,8 @@ class WordIds:
     are emptied when full; that changes speed only.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        self.cached_words = cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -70,7 +71,7 @@ class WordIds:
                 split.append((w, CORE.findall(text.lower())))
             else:
                 other.append((w, text))
-        if len(self.cores) > CACHED_WORDS:
+        if len(self.cores) > self.cached_words:
             self.cores.clear()
         self._learn_cores(list(dict.fromkeys(c for _, cores in split for c in cores if c not in self.cores)))
         for w, cores in split:
@@ -80,7 +81,7 @@ class WordIds:
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """For every list of words its ids as little-endian unsigned 32-bit integers."""
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > self.cached_words:
             self.words.clear()
         known = self.words
         new = list(set().union(*texts).difference(known))
