@@ -54,7 +54,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is one piece of length 1; longer texts than a sequence are cut, nothing else is; repeated rows
     and null ids have their own pieces; an empty table gives no rows; other columns are left out.
     """
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cached_words=150_000)  # workers carry other stages' memory too
 
 
 STAGES = [
