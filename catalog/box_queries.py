@@ -371,13 +371,13 @@ def detection_totals(spark, sf):
     return sinks.detection_totals(V.detections(spark, sf, ["image_path"]))
 
 
-@query("grouped_boxes", f"""WITH {DET}, {NUM} SELECT image_path, crop_no // 3 AS part, count(*) AS n_boxes,
-  string_agg(concat(cast(crop_no as varchar), ':', coalesce(class_name, '?')), ' ' ORDER BY crop_no) AS boxes FROM numbered GROUP BY 1, 2""")
+@query("grouped_boxes", f"""WITH {DET}, {NUM} SELECT image_path, count(*) AS n_boxes,
+  string_agg(concat(cast(crop_no as varchar), ':', coalesce(class_name, '?')), ' ' ORDER BY crop_no) AS boxes FROM numbered GROUP BY 1""")
 def grouped_boxes(spark, sf):
     n = B.crop_numbers(V.detections(spark, sf, BOX))
-    g = B.grouped_boxes(n, chunk=3)
+    g = B.grouped_boxes(n)
     item = lambda b: F.concat(b["crop_no"].cast("string"), F.lit(":"), F.coalesce(b["class_name"], F.lit("?")))
-    return g.select("image_path", "part", F.size("boxes").cast("long").alias("n_boxes"),
+    return g.select("image_path", F.size("boxes").cast("long").alias("n_boxes"),
                     F.array_join(F.transform("boxes", item), " ").alias("boxes"))
 
 
@@ -396,12 +396,12 @@ def found_counts(spark, sf):
     return B.found_counts(V.detections(spark, sf, ["image_path", "found"]), "image_path")
 
 
-@query("missing_objects", f"""WITH {DET}, {NUM} SELECT image_path, crop_no // 1024 AS part, string_agg(label, '|' ORDER BY crop_no) AS missing
-  FROM numbered WHERE NOT found GROUP BY 1, 2""")
+@query("missing_objects", f"""WITH {DET}, {NUM} SELECT image_path, string_agg(label, '|' ORDER BY crop_no) AS missing
+  FROM numbered WHERE NOT found GROUP BY 1""")
 def missing_objects(spark, sf):
     n = B.crop_numbers(V.detections(spark, sf, [*BOX, "label", "found"]))
     n = n.select("image_path", (F.col("crop_no") + 1).alias("bbox_index"), F.col("label").alias("object"), "found")
-    return B.missing_objects(n, "image_path").select("image_path", "part", F.array_join("missing", "|").alias("missing"))
+    return B.missing_objects(n, "image_path").select("image_path", F.array_join("missing", "|").alias("missing"))
 
 
 # --------------------------------------------------------- training-input plans

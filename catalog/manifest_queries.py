@@ -66,27 +66,42 @@ def matched_references(spark, sf):
 
 def _manifest_sql(complete: bool) -> str:
     opt = "JOIN" if complete else "LEFT JOIN"
+    item = "concat_ws('=', cast(bbox_index as varchar), image, object, detected_label, cast(cast(floor(detection_score * 10000) as bigint) as varchar))"
     return f"""WITH {TI}, {TP}, {CV}, {DP}, {BB}, {_BOXES}, {_REFS}, {_MATCHED},
-  parts AS (SELECT id, 0 AS reference_part, count(*) AS n_refs, string_agg(concat(cast(bbox_index as varchar), '=', image), ' ' ORDER BY bbox_index) AS refs FROM matched GROUP BY 1)
+  lists AS (SELECT id, count(*) AS n_refs, string_agg({item}, ' ' ORDER BY bbox_index) AS refs FROM matched GROUP BY 1)
   SELECT i.id, coalesce(nullif(i.theme, ''), p.theme) AS theme, coalesce(nullif(i.prompt, ''), p.combined_prompt, p.prompt) AS caption,
-  coalesce(nullif(i.num_objects, 0), p.num_objects) AS num_objects, i.gt_image, c.image AS canvas_image, d.image AS depth_image,
+  coalesce(nullif(i.structured_prompt, ''), p.structured_prompt) AS structured_prompt,
+  coalesce(nullif(i.num_objects, 0), p.num_objects) AS num_objects, '' AS objects,
+  array_to_string(coalesce(i.object_details, p.object_details, []), '|') AS object_details,
+  i.gt_image, c.image AS canvas_image, d.image AS depth_image, d.raw AS depth_raw,
   coalesce(nullif(i.gen_width, 0), nullif(b.image_width, 0), d.image_width) AS image_width,
-  coalesce(nullif(i.gen_height, 0), nullif(b.image_height, 0), d.image_height) AS image_height, i.seed, d.depth_max,
-  coalesce(r.n_refs, 0) AS n_refs, r.refs FROM theme_images i JOIN bbox_meta b ON i.id = b.id JOIN depth d ON i.id = d.id
-  {opt} theme_prompts p ON i.id = p.id {opt} canvas c ON i.id = c.id {opt} parts r ON i.id = r.id"""
+  coalesce(nullif(i.gen_height, 0), nullif(b.image_height, 0), d.image_height) AS image_height,
+  i.seed, cast(NULL as double) AS guidance_scale, cast(NULL as int) AS num_inference_steps, i.model_id,
+  array_to_string(b.bbox_information, '|') AS bbox_annotations, c.metadata AS canvas_metadata, c.num_placements,
+  array_to_string(c.placements, '|') AS placements, d.metadata AS depth_metadata, d.depth_type, d.depth_min, d.depth_max,
+  coalesce(r.n_refs, 0) AS n_refs, r.refs, p.metadata AS source_prompt, i.metadata AS source_theme, b.metadata AS source_boxes
+  FROM theme_images i JOIN bbox_meta b ON i.id = b.id JOIN depth d ON i.id = d.id
+  {opt} theme_prompts p ON i.id = p.id {opt} canvas c ON i.id = c.id {opt} lists r ON i.id = r.id"""
 
 
 def _manifest(spark, sf, complete):
     n = numbered(spark, sf)
-    parts = M.reference_parts(M.matched_references(references(spark, sf, n), boxes(n)))
+    refs = M.matched_references(references(spark, sf, n), boxes(n))
     v = {k: V.order_view(spark, sf, k) for k in ("theme_images", "theme_prompts", "canvas", "depth", "bbox_meta")}
-    m = M.assemble_manifest(v["theme_images"], v["theme_prompts"], v["bbox_meta"], v["canvas"], v["depth"], parts, complete)
-    ref = lambda r: F.concat(r["bbox_index"].cast("string"), F.lit("="), r["image"])
+    m = M.assemble_manifest(v["theme_images"], v["theme_prompts"], v["bbox_meta"], v["canvas"], v["depth"], refs, complete)
+    item = lambda r: F.concat_ws(
+        "=", r["bbox_index"].cast("string"), r["image"], r["object"], r["detected_label"], F.floor(r["detection_score"] * 10000).cast("string"))
+    joined = lambda c: F.array_join(c, "|")
     return m.select(
-        "id", "theme", "caption", "num_objects", "gt_image", "canvas_image", "depth_image", "image_width", "image_height",
-        F.col("generation.seed").alias("seed"), F.col("depth.depth_max").alias("depth_max"),
-        F.coalesce(F.size("reference_images"), F.lit(0)).cast("long").alias("n_refs"),
-        F.array_join(F.transform("reference_images", ref), " ").alias("refs"))
+        "id", "theme", "caption", "structured_prompt", "num_objects", joined("objects").alias("objects"),
+        joined("object_details").alias("object_details"), "gt_image", "canvas_image", "depth_image", "depth_raw",
+        "image_width", "image_height", "generation.*", joined("bbox_annotations").alias("bbox_annotations"),
+        F.col("canvas.metadata").alias("canvas_metadata"), "canvas.num_placements", joined("canvas.placements").alias("placements"),
+        F.col("depth.metadata").alias("depth_metadata"), "depth.depth_type", "depth.depth_min", "depth.depth_max",
+        F.col("n_references").alias("n_refs"),
+        F.when(F.col("n_references") > 0, F.array_join(F.transform("reference_images", item), " ")).alias("refs"),
+        F.col("source_files.theme_prompt").alias("source_prompt"), F.col("source_files.theme_metadata").alias("source_theme"),
+        F.col("source_files.bbox_metadata").alias("source_boxes"))
 
 
 @query("manifest", _manifest_sql(False))

@@ -56,6 +56,8 @@ ORDER_VIEWS = {
         ("gen_height", f"cast(case when {_O} % 9 = 0 then 0 else 720 end as int)"),
         ("seed", "o_custkey"),
         ("gt_image", f"concat('theme_images/', {_ID}, '.png')"),
+        ("object_details", f"case when {_O} % 8 <> 0 then split(concat('tall ', cast({_O} % 5 as string), ',wide'), ',') end"),
+        ("metadata", f"concat('theme_images/', {_ID}, '.json')"),
         ("model_id", "'generator'"),
     ], "true"),
     "theme_prompts": ([
@@ -65,17 +67,21 @@ ORDER_VIEWS = {
         ("prompt", f"concat('plain ', cast({_O} as string))"),
         ("structured_prompt", "'fallback lines'"),
         ("num_objects", "cast(6 as int)"),
+        ("object_details", f"case when {_O} % 16 <> 0 then split('plain,small,round', ',') end"),
+        ("metadata", f"concat('theme_prompts/', {_ID}, '.json')"),
     ], "true"),
     "canvas": ([
         ("id", _ID),
         ("image", f"concat('canvas/', {_ID}, '.png')"),
         ("metadata", f"concat('canvas/', {_ID}, '.json')"),
         ("num_placements", f"cast({_O} % 5 as int)"),
+        ("placements", f"split(concat('p', cast({_O} % 5 as string), ',q'), ',')"),
     ], f"{_O} % 3 <> 0"),
     "depth": ([
         ("id", _ID),
         ("image", f"concat('depth/', {_ID}, '.png')"),
         ("raw", f"concat('depth/', {_ID}, '.npy')"),
+        ("metadata", f"concat('depth/', {_ID}, '.json')"),
         ("depth_type", "'relative'"),
         ("depth_min", "o_totalprice / 1000"),
         ("depth_max", "o_totalprice / 1000 + 5"),
@@ -86,6 +92,8 @@ ORDER_VIEWS = {
         ("id", _ID),
         ("image_width", f"cast(case when {_O} % 18 = 0 then 0 else 1280 + 128*({_O} % 6) end as int)"),
         ("image_height", f"cast(case when {_O} % 18 = 0 then 0 else 720 + 72*({_O} % 4) end as int)"),
+        ("bbox_information", f"split(concat('b', cast({_O} as string), ',c'), ',')"),
+        ("metadata", f"concat('bbox/', {_ID}, '.json')"),
     ], f"{_O} % 7 <> 0"),
 }
 

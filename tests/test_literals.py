@@ -240,7 +240,7 @@ def test_percentiles_of_any_scale(spark):
     df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)] + [(0, None)], "k int, v double")
     probs = [0.0, 0.02, 0.5, 0.98, 1.0]
     for keys, parts in (([], {None: values}), (["k"], {0: values[::2], 1: values[1::2]})):
-        got = {(r["k"] if keys else None, r.p): r.value for r in B.exact_percentiles(df, F.col("v"), probs, keys, accuracy=100).collect()}
+        got = {(r["k"] if keys else None, r.p): r.value for r in B.exact_percentiles(df, F.col("v"), probs, keys).collect()}
         for k, part in parts.items():
             assert np.allclose([got[k, p] for p in probs], np.quantile(part, probs), rtol=1e-12, atol=0)
     assert B.exact_percentiles(df.where("k > 5"), F.col("v"), probs).count() == 0

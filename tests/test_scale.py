@@ -16,6 +16,7 @@ from tilewright.operators import manifest as M
 from tilewright.operators import sampling as S
 from tilewright.operators import themes as H
 from tilewright.operators.ranking import band_of, first_per_key, global_ordinal, hot_keys, ordinal, split_ordinal, split_points
+from tilewright.operators.selection import double_key, values_at_ranks
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,10 +72,149 @@ def test_sampled_bands_do_not_change_numbers(spark):
     assert len(points) > 16 and got.where("ordinal <> id").count() == 0
 
 
-def test_hot_group_lists_are_cut(skewed):
-    parts = B.grouped_boxes(B.crop_numbers(skewed), chunk=64)
-    assert parts.agg(F.max(F.size("boxes"))).first()[0] == 64
-    assert parts.agg(F.sum(F.size("boxes"))).first()[0] == skewed.count()
+def test_one_list_per_image(skewed):
+    lists = {r.image_path: [b.crop_no for b in r.boxes] for r in B.grouped_boxes(B.crop_numbers(skewed)).collect()}
+    assert len(lists) == skewed.select("image_path").distinct().count()
+    assert sum(map(len, lists.values())) == 3000 and all(x == list(range(len(x))) for x in lists.values())
+    lost = B.missing_objects(skewed.select("image_path", F.col("n").alias("bbox_index"), F.col("n").alias("object"), (F.col("n") % 2 == 0).alias("found")), "image_path")
+    hot = lost.where("image_path = 'hot.png'").collect()
+    assert [r.missing for r in hot] == [list(range(3, 3000, 6))]
+
+
+def artifacts(spark, ids):
+    make = lambda **c: spark.createDataFrame([(i,) for i in ids], "id string").select("id", *[F.expr(e).alias(k) for k, e in c.items()])
+    return (
+        make(prompt="'p'", gt_image="'g'", objects="array('a')", object_details="array(struct('cup' AS name, 2 AS n))"),
+        make(combined_prompt="'c'", metadata="'tp.json'"),
+        make(bbox_information="array(struct(1 AS x))", metadata="'bb.json'"),
+        make(image="'c'", metadata="'cm'", num_placements="1", placements="array(struct('q' AS slot))"),
+        make(image="'d'", raw="'r'", metadata="'dm'"),
+    )
+
+
+def many_references(spark):
+    """Sample ``big`` has 5,000 references numbered from 5,000 on, ``plain`` two and ``none`` none."""
+    refs = spark.range(5002).select(
+        F.when(F.col("id") < 5000, "big").otherwise("plain").alias("id"), (F.col("id") + 5000).cast("int").alias("bbox_index"),
+        F.lit("").alias("object"), F.lit(None).cast("string").alias("detected_label"), F.lit(0.0).alias("detection_score"),
+        F.array().cast("array<double>").alias("source_bbox"), F.lit("").alias("output_image"), F.lit(1).cast("bigint").alias("seed"),
+        F.lit("m").alias("model_id"), F.format_string("ref%d.json", F.col("id")).alias("metadata"))
+    boxes = spark.range(5003).select(
+        F.lit("big").alias("id"), F.col("id").cast("int").alias("bbox_index"), F.lit("o").alias("object"), F.lit("l").alias("label"),
+        F.lit(0.5).alias("score"), F.array(F.lit(1.0)).alias("bbox"), F.array(F.lit(0.1)).alias("bbox_norm"))
+    return refs.repartition(5), boxes
+
+
+def test_one_record_per_sample_of_any_size(spark):
+    refs, boxes = many_references(spark)
+    matched = M.matched_references(refs, boxes)
+    tables = artifacts(spark, ["big", "plain", "none"])
+    records = {r.id: r for r in M.assemble_manifest(*tables, matched).collect()}
+    assert sorted(records) == ["big", "none", "plain"]
+    big = records["big"].reference_images
+    assert [x.bbox_index for x in big] == list(range(5000, 10000)) and records["big"].n_references == 5000
+    assert (big[2].object, big[2].detected_label, big[2].source_bbox, big[2].metadata) == ("o", "l", [1.0], "ref2.json")
+    assert (big[3].object, big[3].image) == (None, "bbox5003.jpg")
+    none = records["none"]
+    assert none.reference_images == [] and none.n_references == 0
+    assert none.object_details[0].asDict() == {"name": "cup", "n": 2} and none.bbox_annotations[0].x == 1
+    assert none.canvas.placements[0].slot == "q"
+    assert none.source_files.asDict() == {"theme_prompt": "tp.json", "theme_metadata": None, "bbox_metadata": "bb.json"}
+    assert sorted(r.id for r in M.assemble_manifest(*tables, matched, require_complete=True).collect()) == ["big", "plain"]
+    flat = M.assemble_manifest(*tables, matched, nested=False)
+    assert "reference_images" not in flat.columns
+    assert {r.id: r.n_references for r in flat.collect()} == {"big": 5000, "plain": 2, "none": 0}
+
+
+def test_complete_records_need_every_path(spark):
+    refs, boxes = many_references(spark)
+    t = list(artifacts(spark, ["big"]))
+    matched = M.matched_references(refs, boxes)
+    for at, column, complete_only in ((0, "gt_image", False), (4, "image", False), (4, "raw", True), (3, "metadata", True)):
+        lacking = [*t]
+        lacking[at] = t[at].withColumn(column, F.lit(None).cast("string"))
+        assert M.assemble_manifest(*lacking, matched, require_complete=True).count() == 0
+        assert M.assemble_manifest(*lacking, matched).count() == complete_only
+
+
+def test_bucketed_manifest_has_no_exchange(spark, tmp_path):
+    refs, boxes = many_references(spark)
+    tables = dict(zip(("ti", "tp", "bb", "cv", "dp"), artifacts(spark, ["big", "plain"])))
+    tables["refs"] = M.matched_references(refs, boxes)
+    names = []
+    try:
+        for name, df in tables.items():
+            table = f"bucketed_{name}"
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            df.write.bucketBy(4, "id").sortBy("id").option("path", str(tmp_path / name)).saveAsTable(table)
+            names.append(table)
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        t = {n: spark.table(f"bucketed_{n}") for n in tables}
+        m = M.assemble_manifest(t["ti"], t["tp"], t["bb"], t["cv"], t["dp"], t["refs"])
+        assert "Exchange" not in m._jdf.queryExecution().executedPlan().toString()
+        assert {r.id: r.n_references for r in m.collect()} == {"big": 5000, "plain": 2}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    finally:
+        for table in names:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+# ------------------------------------------------------------ rank selection
+
+def odd_doubles():
+    rnd = random.Random(8)
+    tiny = [5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308]
+    powers = [2.0**e for e in range(-1074, 1024, 97)] + [math.nextafter(2.0**e, 0) for e in range(-1021, 1024, 61)]
+    values = tiny + powers + [rnd.gauss(0, 1) * 10 ** rnd.randint(-12, 12) for _ in range(1500)] + [7.0] * 300
+    return [s * v for v in values for s in (1, -1)] + [0.0, -0.0, float("inf"), float("-inf")]
+
+
+def test_double_keys_keep_the_order(spark):
+    values = sorted(odd_doubles())
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", double_key(F.col("v")).alias("k")).collect()
+    rows.sort(key=lambda r: r.v)
+    assert all((a.v < b.v) == (a.k < b.k) and (a.v == b.v) == (a.k == b.k) for a, b in zip(rows, rows[1:]))
+    nan = spark.createDataFrame([(float("nan"),), (None,)], "v double").select(double_key(F.col("v")).alias("k")).collect()
+    assert nan[0].k > max(r.k for r in rows) and nan[1].k is None
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_values_at_ranks(spark, kind):
+    rnd = random.Random(2)
+    values = odd_doubles() if kind == "double" else [rnd.randint(-2**63, 2**63 - 1) for _ in range(2000)] + [5] * 900 + [2**63 - 1, -2**63]
+    rnd.shuffle(values)
+    rows = [(None if i % 3 == 0 else i % 2, v) for i, v in enumerate(values)] + [(9, None)]
+    df = spark.createDataFrame(rows, f"k int, v {kind}").repartition(6)
+    wanted = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.struct(r.alias("r"), r.alias("tag")))
+    for keys in ([], ["k"]):
+        groups = {}
+        for k, v in rows:
+            if v is not None:
+                groups.setdefault(k if keys else "all", []).append(v)
+        got = {(r["k"] if keys else "all", r.tag): r.value for r in values_at_ranks(df, "v", wanted, keys).collect()}
+        assert got == {(k, i): v for k, vs in groups.items() for i, v in enumerate(sorted(vs))}
+    assert values_at_ranks(df.where("k = 9"), "v", wanted).count() == 0
+
+
+@pytest.mark.parametrize("n", [1500, 100_000])
+def test_large_limits_per_category(spark, n):
+    """One category holds most rows; ties, nulls and short categories keep their ranks."""
+    df = spark.range(12_000).select(
+        F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 < 8, "hot").otherwise("small").alias("category"),
+        F.when(F.col("id") % 501 != 0, F.pmod(F.col("id") * 7919, F.lit(4001))).alias("v"), "id").repartition(7)
+    w = Window.partitionBy("category").orderBy(F.asc("v"))
+    want = df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+    got = M.first_per_category(df, n, "v", hot_rows=1000)
+    key = lambda d, r: Counter((x.category, x.v, x[r]) for x in d.select("category", "v", r).collect())
+    assert key(got, "category_rank") == key(want, "r")
+
+
+def test_stale_versions_with_large_keep(spark):
+    df = spark.range(9000).select(F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("key"), F.col("id").alias("step")).where("key <> 'k2' OR step < 1500")
+    got = sorted(map(tuple, M.stale_versions(df, 1200, "key").collect()))
+    steps = {k: sorted(s for s in range(9000) if s % 3 == j and (j != 2 or s < 1500)) for j, k in enumerate(("k0", "k1", "k2"))}
+    assert got == sorted((k, s) for k, v in steps.items() for s in v[:-1200])
 
 
 def digest(df):

@@ -12,8 +12,9 @@ from tilewright.functions import geometry as G
 from tilewright.functions import text as X
 from tilewright.functions.draws import draw_below, draw_digest, draw_int_between, draw_unit
 from tilewright.operators.ranking import (
-    HOT_ROWS, chunked_lists, digest_band, falling_band, first_per_key, hot_keys, mark_hot, ordinal,
+    HOT_ROWS, ordered_lists, digest_band, falling_band, first_per_key, hot_keys, mark_hot, ordinal,
 )
+from tilewright.operators.selection import exact_percentiles
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 SCORE_BANDS = 1000
@@ -316,54 +317,6 @@ def size_totals(df: DataFrame, limit: float = K.LARGE_SIDE, image_col: str = "im
     return total.select("*", pct("n_gt").alias("pct_gt"), pct("n_ge").alias("pct_ge"))
 
 
-def exact_percentiles(
-    df: DataFrame, value: Column, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 10_000
-) -> DataFrame:
-    """Linearly interpolated percentiles, exact at any size and scale: (keys, p, value).
-
-    The built-in ``percentile`` ends in one task per key that holds every
-    distinct value. Here a mergeable sketch cuts the values closely on both sides
-    of every requested rank, distinct values are counted on all tasks, and only
-    the bands in which a requested rank lies (about 5 / ``accuracy`` of the rows
-    each) are numbered. The sketch steers the work alone: a rank that it misplaces
-    lies in a wider band, and the result is the same.
-    """
-    keys = list(keys)
-    v = df.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    near = 2.5 / accuracy
-    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-near, near)})
-    sketch = v.groupBy(*keys).agg(F.percentile_approx("v", edges, accuracy).alias("cuts"))
-    counts = v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(sketch, keys) if keys else counts.withColumn("cuts", sketch.scalar())
-    counts = counts.select(*keys, "v", "n", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("b"))
-    # At most one row per edge and key reaches these windows.
-    per_band = counts.groupBy(*keys, "b").agg(F.sum("n").alias("nb"))
-    by_band = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bands = per_band.select(
-        *keys, "b", "nb", F.coalesce(F.sum("nb").over(by_band), F.lit(0)).alias("before"),
-        F.sum("nb").over(Window.partitionBy(*keys)).alias("t"),
-    )
-    rank = lambda p: p * (F.col("t") - 1)
-    in_band = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("nb"))
-    all_probs = F.array(*[F.lit(float(p)) for p in probs])
-    bands = bands.where(F.exists(all_probs, lambda p: in_band(F.floor(rank(p))) | in_band(F.ceil(rank(p))))).drop("nb")
-    inside = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        counts.join(bands, [*keys, "b"])
-        .withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .select(*keys, "v", (F.col("before") + F.col("inside")).alias("lo"), "n", "t")
-    )
-    holds = lambda r: (r >= F.col("lo")) & (r < F.col("lo") + F.col("n"))
-    wanted = F.filter(all_probs, lambda p: holds(F.floor(rank(p))) | holds(F.ceil(rank(p))))
-    hits = ranked.select("*", F.explode(wanted).alias("p"))
-    r = rank(F.col("p"))
-    pick = lambda at: F.max(F.when(holds(at), F.col("v")))
-    out = hits.groupBy(*keys, "p").agg(
-        pick(F.floor(r)).alias("a"), pick(F.ceil(r)).alias("z"), F.max(r - F.floor(r)).alias("frac")
-    )
-    return out.select(*keys, "p", (F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")).alias("value"))
-
-
 def side_percentiles(df: DataFrame, probs: Sequence[float] = tuple(K.SIDE_PERCENTILES)) -> DataFrame:
     side = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     return exact_percentiles(df, side, probs)
@@ -419,11 +372,13 @@ def image_counts(df: DataFrame, path_col: str = "image_path", abs_col: str = "im
     )
 
 
-def grouped_boxes(numbered: DataFrame, image_col: str = "image_path", chunk: int = 1024) -> DataFrame:
-    """Ordered box lists per image, in parts of bounded size."""
-    return chunked_lists(
-        numbered, [image_col], "crop_no", [*CORNERS, "class_name", "confidence", "mv_crop_no"], "boxes", chunk
-    )
+def grouped_boxes(numbered: DataFrame, image_col: str = "image_path") -> DataFrame:
+    """One record per image with all its boxes in crop order.
+
+    A record is one value, so a task holds as much as the largest image's list.
+    Work that needs no list stays on ``numbered``, which is keyed by image and number.
+    """
+    return ordered_lists(numbered, [image_col], "crop_no", [*CORNERS, "class_name", "confidence", "mv_crop_no"], "boxes")
 
 
 def group_prompts(df: DataFrame, prompt_col: str | None, order_col: str, image_col: str = "image_path") -> DataFrame:
@@ -445,18 +400,18 @@ def group_prompts(df: DataFrame, prompt_col: str | None, order_col: str, image_c
     )
 
 
-def found_counts(boxes: DataFrame, key: str = "id", chunk: int = 1024) -> DataFrame:
+def found_counts(boxes: DataFrame, key: str = "id") -> DataFrame:
     """Found and total objects per image."""
     return boxes.groupBy(key).agg(
         F.count_if(F.coalesce("found", F.lit(False))).alias("n_found"), F.count(F.lit(1)).alias("n_objects")
     )
 
 
-def missing_objects(boxes: DataFrame, key: str = "id", index_col: str = "bbox_index", chunk: int = 1024) -> DataFrame:
-    """Names of objects that were not found, as ordered lists of bounded size."""
-    lost = boxes.where(~F.coalesce("found", F.lit(False))).withColumn("__at", F.col(index_col) - 1)
-    parts = chunked_lists(lost, [key], "__at", ["object"], "items", chunk)
-    return parts.select(key, "part", F.transform("items", lambda i: i["object"]).alias("missing"))
+def missing_objects(boxes: DataFrame, key: str = "id", index_col: str = "bbox_index") -> DataFrame:
+    """Names of an image's objects that were not found, one ordered list per image that lacks any."""
+    lost = boxes.where(~F.coalesce("found", F.lit(False)))
+    listed = ordered_lists(lost, [key], index_col, ["object"], "items")
+    return listed.select(key, F.transform("items", lambda i: i["object"]).alias("missing"))
 
 
 def canvas_sources(results: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from tilewright.functions import text as X
 from tilewright.functions.draws import int_div
 from tilewright.functions.truthy import truthy_coalesce
 from tilewright.operators.ranking import (
-    GROUP_LIMIT, HOT_ROWS, chunked_lists, first_per_key, global_ordinal, ordinal,
+    GROUP_LIMIT, HOT_ROWS, first_per_key, global_ordinal, ordered_lists, ordinal,
 )
+from tilewright.operators.selection import up_to_rank, values_at_ranks
 
 
 # ------------------------------------------------------------------ references
@@ -43,6 +44,7 @@ def matched_references(refs: DataFrame, boxes: DataFrame, key: str = "id") -> Da
     )
     j = refs.join(side, [key, "bbox_index"], "left")
     fallback = F.concat(F.lit("bbox"), F.col("bbox_index").cast("string"), F.lit(".jpg"))
+    sidecar = F.col("metadata") if "metadata" in refs.columns else F.lit(None).cast("string").alias("metadata")
     return j.select(
         key, "bbox_index",
         truthy_coalesce("string", F.col("object"), F.col("__object")).alias("object"),
@@ -51,33 +53,42 @@ def matched_references(refs: DataFrame, boxes: DataFrame, key: str = "id") -> Da
         truthy_coalesce("array", F.col("source_bbox"), F.col("__bbox")).alias("source_bbox"),
         "source_bbox_norm",
         truthy_coalesce("string", F.col("output_image"), fallback).alias("image"),
-        "seed", "model_id",
+        sidecar, "seed", "model_id",
     )
 
 
-def reference_parts(matched: DataFrame, key: str = "id", chunk: int = 1024) -> DataFrame:
-    """Ordered reference lists per sample in parts of bounded size (part 0 for nearly all)."""
-    at = F.coalesce(F.col("bbox_index"), F.lit(0))
-    indexed = matched.withColumn("__at", at)
+def reference_lists(matched: DataFrame, key: str = "id") -> DataFrame:
+    """One ordered reference list per sample (a missing index sorts as 0)."""
     fields = [c for c in matched.columns if c != key]
-    return chunked_lists(indexed, [key], "__at", fields, "reference_images", chunk)
+    indexed = matched.withColumn("__at", F.coalesce(F.col("bbox_index"), F.lit(0)))
+    listed = ordered_lists(indexed, [key], "__at", fields, "reference_images")
+    return listed.withColumn("reference_images", F.transform("reference_images", lambda r: r.dropFields("__at")))
 
 
 # -------------------------------------------------------------------- manifest
 
 def assemble_manifest(
     theme_images: DataFrame, theme_prompts: DataFrame, boxes: DataFrame, canvas: DataFrame, depth: DataFrame,
-    references: DataFrame, require_complete: bool = False, key: str = "id",
+    references: DataFrame, require_complete: bool = False, key: str = "id", nested: bool = True,
 ) -> DataFrame:
-    """One record per sample from all artifact tables.
+    """One record per sample from all artifact tables, of the same form at every size.
 
-    Theme image, box and depth tables are required; the others are optional
-    unless ``require_complete``. All sides are hashed on the same key, so the
-    chain reuses one partitioning. ``references`` is the output of
-    :func:`reference_parts`; further parts of a very large sample follow as
-    extra rows with ``reference_part`` > 0.
+    Theme image, box and depth tables are required, their images too; the others
+    are optional unless ``require_complete``, which also wants every stored path
+    and a reference. All sides are hashed on the same key, so the chain reuses one
+    partitioning; tables bucketed on it need no exchange at all.
+
+    ``references`` is the keyed table of :func:`matched_references`. ``nested``
+    puts a sample's references into its record as a list, which is one value of one
+    row; without it the record holds ``n_references`` and the keyed table remains
+    the place of the references, for samples of any size.
     """
     optional = "inner" if require_complete else "left"
+    if nested:
+        listed = reference_lists(references, key)
+        refs = listed.withColumn("n_references", F.size("reference_images").cast("long"))
+    else:
+        refs = references.groupBy(key).agg(F.count(F.lit(1)).alias("n_references"))
     pack = lambda df, name: df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
     j = (
         pack(theme_images, "ti")
@@ -85,7 +96,7 @@ def assemble_manifest(
         .join(pack(depth, "dp"), key)
         .join(pack(theme_prompts, "tp"), key, optional)
         .join(pack(canvas, "cv"), key, optional)
-        .join(references.withColumnRenamed("part", "reference_part"), key, optional)
+        .join(refs, key, optional)
     )
     has = {n: set(df.columns) for n, df in
            (("ti", theme_images), ("tp", theme_prompts), ("bb", boxes), ("dp", depth), ("cv", canvas))}
@@ -97,14 +108,30 @@ def assemble_manifest(
     def first(kind: str, cast: str, *paths: str) -> Column:
         return truthy_coalesce(kind, *[at(p, cast) for p in paths])
 
-    empty_list = F.array().cast("array<string>")
+    def listed_from(*paths: str) -> Column:
+        """First filled list, else the empty list of the same type."""
+        kinds = [j.select(p).schema[0].dataType for p in paths if p.split(".")[1] in has[p.split(".")[0]]]
+        kind = kinds[0] if kinds else "array<string>"
+        lists = [truthy_coalesce("array", *[F.col(p) for p in paths if p.split(".")[1] in has[p.split(".")[0]]])] if kinds else []
+        return F.coalesce(*lists, F.array().cast(kind))
+
+    stored = ["ti.gt_image", "dp.image"]
+    if require_complete:
+        stored += ["dp.raw", "dp.metadata", "cv.image", "cv.metadata"]
+    for path in stored:
+        if path.split(".")[1] in has[path.split(".")[0]]:
+            j = j.where(F.col(path).isNotNull())
+    own_list = []
+    if nested:
+        own_list = [F.coalesce("reference_images", F.array().cast(refs.schema["reference_images"].dataType)).alias("reference_images")]
     return j.select(
         key,
         truthy_coalesce("string", at("ti.theme", "string"), at("tp.theme", "string"), X.theme_from_id(F.col(key))).alias("theme"),
         first("string", "string", "ti.prompt", "tp.combined_prompt", "tp.prompt").alias("caption"),
         first("string", "string", "ti.structured_prompt", "tp.structured_prompt").alias("structured_prompt"),
         first("int", "int", "ti.num_objects", "tp.num_objects").alias("num_objects"),
-        F.coalesce(first("array", "array<string>", "ti.objects", "tp.objects"), empty_list).alias("objects"),
+        listed_from("ti.objects", "tp.objects").alias("objects"),
+        listed_from("ti.object_details", "tp.object_details").alias("object_details"),
         at("ti.gt_image", "string").alias("gt_image"),
         at("cv.image", "string").alias("canvas_image"),
         at("dp.image", "string").alias("depth_image"),
@@ -113,13 +140,16 @@ def assemble_manifest(
         first("int", "int", "ti.gen_height", "bb.image_height", "dp.image_height").alias("image_height"),
         F.struct(*[at(f"ti.{c}", t).alias(c) for c, t in (
             ("seed", "bigint"), ("guidance_scale", "double"), ("num_inference_steps", "int"), ("model_id", "string"))]).alias("generation"),
-        F.struct(at("cv.image", "string").alias("image"), at("cv.metadata", "string").alias("metadata"),
-                 at("cv.num_placements", "int").alias("num_placements")).alias("canvas"),
+        at("bb.bbox_information", "array<string>").alias("bbox_annotations"),
+        F.struct(*[at(f"cv.{c}", t).alias(c) for c, t in (
+            ("image", "string"), ("metadata", "string"), ("num_placements", "int"), ("placements", "array<string>"))]).alias("canvas"),
         F.struct(*[at(f"dp.{c}", t).alias(c) for c, t in (
             ("image", "string"), ("raw", "string"), ("metadata", "string"), ("depth_type", "string"),
             ("model_id", "string"), ("depth_min", "double"), ("depth_max", "double"))]).alias("depth"),
-        F.coalesce("reference_part", F.lit(0)).alias("reference_part"),
-        "reference_images",
+        F.coalesce("n_references", F.lit(0)).alias("n_references"),
+        *own_list,
+        F.struct(*[at(f"{side}.metadata", "string").alias(name) for side, name in (
+            ("tp", "theme_prompt"), ("ti", "theme_metadata"), ("bb", "bbox_metadata"))]).alias("source_files"),
     )
 
 
@@ -452,8 +482,28 @@ def index_slice(indexed_df: DataFrame, start: int = 0, end: int | None = None, i
     return out if end is None else out.where(F.col(index_col) < end)
 
 
-def first_per_category(df: DataFrame, n: int, order_col: str, category: str = "category") -> DataFrame:
-    return first_per_key(df, [category], [F.asc(order_col)], n, "category_rank")
+def first_per_category(
+    df: DataFrame, n: int, order_col: str, category: str = "category", hot_rows: int = HOT_ROWS, bands: int = 64,
+) -> DataFrame:
+    """First ``n`` rows per category in ascending order (nulls first), with their one-based rank.
+
+    Small ``n`` is limited in the map tasks. For a large ``n`` over a number column
+    the ``n``-th value of every category is selected first (no sort, no shuffle of
+    rows); only rows up to it are numbered, those of a hot category in bands.
+    """
+    kind = dict(df.dtypes)[order_col]
+    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    if n <= GROUP_LIMIT or not number:
+        return first_per_key(df, [category], [F.asc(order_col)], n, "category_rank")
+    top = up_to_rank(df, [category], order_col, n).withColumnRenamed(category, "__of")
+    at = F.col(order_col)
+    j = df.join(top, F.col(category).eqNullSafe(F.col("__of")), "left").where(at.isNull() | (at <= F.col("__nth")))
+    span = F.col("__nth").cast("double") - F.col("__least").cast("double")
+    share = (at.cast("double") - F.col("__least").cast("double")) / span * bands
+    even = (span > 0) & (span < float("inf"))
+    j = j.withColumn("__band", F.when(at.isNull(), -1).when(even, F.floor(share)).otherwise(0).cast("long"))
+    numbered = ordinal(j, [category], [F.asc(order_col)], F.col("__band"), "category_rank", 1, hot_rows)
+    return numbered.where(F.col("category_rank") <= n).select(*df.columns, "category_rank")
 
 
 def archive_quota(
@@ -488,9 +538,14 @@ def archive_quota(
 def stale_versions(versions: DataFrame, keep: int, key: str, step_col: str = "step") -> DataFrame:
     """Versions beyond the ``keep`` newest per key.
 
-    The step of the oldest version to keep is found first (a bounded top-k), then
-    everything older is listed; no key is ever ranked in full.
+    The step of the oldest version to keep is found first (a bounded top-k, or for
+    a large ``keep`` by counting leading bits), then everything older is listed; no
+    key is ever ranked in full.
     """
+    if keep > GROUP_LIMIT:
+        oldest = lambda total: F.array(F.struct((total - keep).alias("r"), F.lit(0).alias("tag")))
+        floor = values_at_ranks(versions, step_col, oldest, [key]).select(key, F.col("value").alias("__floor"))
+        return versions.join(floor, key).where(F.col(step_col) < F.col("__floor")).drop("__floor")
     top = first_per_key(versions.select(key, step_col), [key], [F.desc(step_col)], keep, "__r")
     floor = top.where(F.col("__r") == keep).select(key, F.col(step_col).alias("__floor"))
     return versions.join(floor, key).where(F.col(step_col) < F.col("__floor")).drop("__floor")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tilewright import constants as K
 from tilewright.functions import text as X
 from tilewright.functions.truthy import truthy
-from tilewright.operators.boxes import exact_percentiles
 from tilewright.operators.ranking import first_per_key
+from tilewright.operators.selection import exact_percentiles
 
 
 def parsed_replies(df: DataFrame, reply_col: str = "raw_response") -> DataFrame:

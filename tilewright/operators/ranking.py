@@ -188,18 +188,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
-def chunked_lists(
-    df: DataFrame, keys: Sequence[str], ordinal_col: str, fields: Sequence[str | Column],
-    name: str = "items", chunk: int = 1024,
+def ordered_lists(
+    df: DataFrame, keys: Sequence[str], ordinal_col: str, fields: Sequence[str | Column], name: str = "items",
 ) -> DataFrame:
-    """Ordered lists per key, cut into parts of at most ``chunk`` items.
+    """One ordered list per key, of the same form at every size; nothing is dropped.
 
-    Nearly every key has one part (``part`` = 0); a very large key has many, on
-    different tasks. Nothing is dropped.
+    The items begin with ``ordinal_col`` and sort by it, then by the other fields.
+    Lists are gathered in the map tasks first; the finished list is one value of one row.
     """
     cols = [F.col(f) if isinstance(f, str) else f for f in fields]
     item = F.struct(F.col(ordinal_col), *cols)
-    return (
-        df.groupBy(*keys, int_div(F.col(ordinal_col), chunk).alias("part"))
-        .agg(F.sort_array(F.collect_list(item)).alias(name))
-    )
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias(name))
