@@ -8,37 +8,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_NORMAL = 2.2250738585072014e-308
-MIN_POSITIVE = 5e-324
-INFINITE_KEY, NAN_KEY = 0x7FF << 52, (0x7FF << 52) + 1
-# Low bits that the second and third pass look at; the first one takes the other 20.
+# Bits that the second pass looks at; the first one takes those above.
 DIGIT = 22
+FRACTION = 30  # bits of log2 behind the point
+ABOVE = 1 << (FRACTION + 11)  # log2 of a double lies between -1074 and 1024
 
 
-def _magnitude_key(a: Column) -> Column:
-    """Integer of a positive finite double that rises with it: exponent, then mantissa.
+def double_cell(v: Column) -> Column:
+    """Long that never falls while the double rises (one logarithm, which Java keeps monotonic).
 
-    ``floor(log2)`` may be one off next to a power of two, which the comparison
-    with that power mends; all other steps are exact.
+    Values of one cell agree in their leading 30 bits or so, hence a cell has less
+    than 2^23 different values. Zero, the infinities and NaN (the largest) have
+    cells of their own; null stays null.
     """
-    guess = F.least(F.lit(1023.0), F.greatest(F.lit(-1022.0), F.floor(F.log2(a)).cast("double")))
-    power = F.pow(F.lit(2.0), guess)
-    exponent = F.when(power > a, guess - 1).when(a / power >= 2.0, guess + 1).otherwise(guess)
-    fraction = a / F.pow(F.lit(2.0), exponent) - 1.0
-    return F.shiftleft((exponent + 1023.0).cast("long"), 52) + (fraction * float(2**52)).cast("long")
-
-
-def double_key(v: Column) -> Column:
-    """Long that orders like the double; both zeros are equal, NaN is the largest, null stays null."""
     a = F.abs(v)
-    key = (
-        F.when(F.isnan(v), F.lit(NAN_KEY))
-        .when(a == float("inf"), F.lit(INFINITE_KEY))
-        .when(a == 0, F.lit(0).cast("long"))
-        .when(a < MIN_NORMAL, (a / MIN_POSITIVE).cast("long"))
-        .otherwise(_magnitude_key(a))
+    cell = (
+        F.when(a > 0, F.floor(F.log2(F.least(a, F.lit(1.7976931348623157e308))) * float(1 << FRACTION)) + ABOVE)
+        .otherwise(F.lit(0).cast("long"))
     )
-    return F.when(v.isNull(), F.lit(None)).when(v < 0, -key).otherwise(key)
+    signed = F.signum(v).cast("long") * cell
+    special = F.when(F.isnan(v), F.lit(2 * ABOVE + 1)).when(a == float("inf"), F.signum(v).cast("long") * (2 * ABOVE))
+    return F.coalesce(special, signed)
 
 
 def values_at_ranks(
@@ -49,46 +39,42 @@ def values_at_ranks(
     ``value`` names a number column (integers or doubles); nulls are left out.
     ``ranks`` maps the number of values of a key to an array of
     ``struct<r: bigint, tag>`` with zero-based ascending ranks; ranks outside
-    the key give no row.
-
-    Three passes over the input. Each one counts rows by 20 or 22 further bits of
-    an order-preserving integer in the map tasks, so at most 2^22 counts per key
-    and wanted rank are shuffled, and keeps the cells that hold a wanted rank.
-    After the third pass a cell is one value. Repeated values, any scale and any
-    spread cost the same, and no task gets the values of a key.
+    the key give no row. Without keys the cells that hold a wanted rank are
+    broadcast: no more of them than wanted ranks, which the caller writes out.
+
+    Three passes over the input. The first two count rows by leading bits of an
+    order-preserving integer in the map tasks (2^20 counts a key at most, then 2^22
+    inside a cell that holds a wanted rank), the third one counts the values of
+    such a cell. Repeated values, any scale and any spread cost the same, and no
+    task gets the values of a key.
     """
     keys = list(keys)
     v = F.col("__v")
     exact = dict(df.select(value).dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
     rows = df.select(*keys, F.col(value).alias("__v")).where(v.isNotNull())
-    rows = rows.select(*keys, "__v", (v.cast("long") if exact else double_key(v.cast("double"))).alias("__k"))
+    cell, shift = (v.cast("long"), 2 * DIGIT) if exact else (double_cell(v.cast("double")), DIGIT)
+    rows = rows.withColumn("__d1", cell)
     low = F.lit(2**DIGIT - 1).cast("long")
-    digits = [
-        F.shiftright("__k", 2 * DIGIT),
-        F.shiftright("__k", DIGIT).bitwiseAND(low),
-        F.col("__k").bitwiseAND(low),
-    ]
-    rows = rows.select(*keys, "__v", *[d.alias(f"__d{i}") for i, d in enumerate(digits)])
-
+    rows = rows.select(
+        *keys, "__v", F.shiftright("__d1", shift).alias("__d0"),
+        F.shiftright("__d1", shift - DIGIT).bitwiseAND(low).alias("__d1"))
     few = not keys  # then at most one cell per wanted rank, hence broadcast
     same = lambda cols: reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__c_{c}")) for c in cols])
     cells, group = None, keys
-    for i in range(len(digits)):
-        own = f"__d{i}"
-        inside = rows if cells is None else rows.join(cells, same(group), "left_semi")
-        found = inside.groupBy(*group, own).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__v"))
+    for own in ("__d0", "__d1", "__v"):
+        # The wanted ranks depend on the cell alone; as grouping columns they come along without a second join.
+        inside, carried = (rows, []) if cells is None else (rows.join(cells, same(group)), ["__ranks"])
+        found = inside.groupBy(*group, own, *carried).agg(F.count(F.lit(1)).alias("__n"))
         by = Window.partitionBy(*group)
         before = F.sum("__n").over(by.orderBy(own).rowsBetween(Window.unboundedPreceding, -1))
         found = found.withColumn("__before", F.coalesce(before, F.lit(0)))
         if cells is None:
             found = found.withColumn("__ranks", ranks(F.sum("__n").over(by)))
-        else:
-            found = found.join(cells, same(group))
         start, end = F.col("__before"), F.col("__before") + F.col("__n")
         holds = F.filter("__ranks", lambda x: (x["r"] >= start) & (x["r"] < end))
         # The rank inside the cell goes on; the tag tells the wanted ranks apart.
         hits = F.transform(holds, lambda x: F.struct((x["r"] - start).alias("r"), x["tag"].alias("tag")))
-        kept = found.select(*group, own, "__v", hits.alias("__hits")).where(F.size("__hits") > 0)
+        kept = found.select(*group, own, hits.alias("__hits")).where(F.size("__hits") > 0)
         group = [*group, own]
         cells = kept.select(*[F.col(c).alias(f"__c_{c}") for c in group], F.col("__hits").alias("__ranks"))
         cells = F.broadcast(cells) if few else cells

@@ -39,11 +39,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, single machine) a temporary folder is used.
+    Only where that is unset and the master is local a temporary folder is used; on
+    a cluster machines do not share one, so an unset folder is an error there.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         base = re.sub("^file:/*", "/", shared).rstrip("/")
-    else:
+    elif spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base}/tilewright-{label}-{uuid.uuid4().hex}"
