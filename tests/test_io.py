@@ -29,6 +29,24 @@ def test_missing_columns_and_roots(spark, tmp_path):
     assert files.split_roots(" a, b;\n\nc ;") == ["a", "b", "c"]
 
 
+def test_depth_folder_is_left_out_under_every_root(spark, tmp_path):
+    for name in ("a.png", "depth/b.png", "sub/depth/c.png", "sub/d_depth.png"):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_bytes(b"x")
+    plain = str(tmp_path / "root")
+    names = lambda root: sorted(r.rel for r in files.depth_inputs(spark, root).collect())
+    for root in (plain, plain + "/", "file:" + plain, "file://" + plain + "/", os.path.relpath(plain)):
+        assert names(root) == ["a.png", "sub/depth/c.png"]
+    mount = {"fs.defaultFS": "viewfs://shelf/", "fs.viewfs.mounttable.shelf.link./data": "file:" + plain}
+    try:
+        for k, v in mount.items():
+            spark.conf.set(k, v)
+        assert names("/data") == names("viewfs://shelf/data") == ["a.png", "sub/depth/c.png"]
+    finally:
+        for k in mount:
+            spark.conf.unset(k)
+
+
 def test_nulls_are_kept_in_manifests(spark, tmp_path):
     out = str(tmp_path / "m")
     sinks.write_json_lines(spark.sql("select 'a' id, cast(null as string) caption"), out)

@@ -116,6 +116,13 @@ def _listing(spark: SparkSession, paths, recursive: bool) -> DataFrame:
     return reader.load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length")
 
 
+def listed_root(spark: SparkSession, root: str) -> str:
+    """A folder as listings spell it: qualified by its file system, on the local one without a scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return re.sub("^file:/*", "/", system.makeQualified(path).toString())
+
+
 def images_by_glob(spark: SparkSession, globs: dict[str, str]) -> DataFrame:
     """Images per category from one glob pattern each: (category, path, length)."""
     out = None
@@ -141,9 +148,12 @@ def listing_order() -> list:
 
 
 def depth_inputs(spark: SparkSession, root: str) -> DataFrame:
-    """Images to estimate depth for: no top-level ``depth`` folder, no depth outputs."""
+    """Images to estimate depth for: no top-level ``depth`` folder, no depth outputs.
+
+    The root may be written with or without its scheme, or relative to the working folder.
+    """
     df = images_under(spark, root, K.DEPTH_INPUT_SUFFIXES)
-    rel = X.relative_to(F.col("path"), root)
+    rel = X.relative_to(F.col("path"), listed_root(spark, root))
     stem = F.lower(X.file_stem(F.col("path")))
     return df.withColumn("rel", rel).where(~F.col("rel").startswith("depth/") & ~stem.rlike("_depth(_raw)?$"))
 
