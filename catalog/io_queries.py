@@ -103,13 +103,14 @@ def appended_metrics(spark, sf):
 _DETS = V.det_sql()
 
 
-@query("detections_csv", f"WITH {_DETS} SELECT image_path, coalesce(class_name, '') AS class_name, count(*) AS n FROM det GROUP BY 1, 2")
+@query("detections_csv", f"WITH {_DETS} SELECT image_path, coalesce(class_name, '') AS class_name, confidence, x1, y1, x2, y2 FROM det")
 def detections_csv(spark, sf):
     """Padded header names and values are stripped; nulls come back as empty text."""
     out = scratch_dir(spark, "csv")
     d = V.detections(spark, sf, ["image_path", "class_name", "confidence", "x1", "y1", "x2", "y2"])
     sinks.write_csv(d.select(*[F.col(c).alias(f" {c} ") for c in d.columns]), out)
-    return files.detections_csv(spark, out).groupBy("image_path", "class_name").agg(F.count(F.lit(1)).alias("n"))
+    return files.detections_csv(spark, out).select(
+        "image_path", "class_name", *[F.col(c).cast("double").alias(c) for c in ("confidence", "x1", "y1", "x2", "y2")])
 
 
 @query("dataset_roots", f"WITH {_DETS} SELECT root, count(*) AS n, count(DISTINCT image_path) AS n_images FROM det GROUP BY 1")

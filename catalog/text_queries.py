@@ -289,18 +289,21 @@ _COND = f"""c AS (SELECT *, doc_id * 37 % 1960 AS combo FROM st), k AS (SELECT *
 _ONE = lambda name, e: f"SELECT '{name}' AS section, cast({e} as varchar) AS key FROM k"
 
 
-@query("composition_distribution", f"""WITH {_SAMP}, {_COND}, u AS ({_ONE('num_references', 'len(cats)')} UNION ALL {_ONE('scale', 'scale')} UNION ALL {_ONE('rotation', 'rotation')}
-  UNION ALL {_ONE('lighting', 'lighting')} UNION ALL {_ONE('interaction', 'interaction')} UNION ALL {_ONE('person_refs', "len(list_filter(cats, lambda c: c = 'person'))")}
-  UNION ALL {_ONE('category', 'unnest(cats)')}) SELECT section, key, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM k) AS pct FROM u GROUP BY 1, 2""")
+_SECTIONS = {"num_references": "len(cats)", "scale": "scale", "rotation": "rotation", "lighting": "lighting", "interaction": "interaction",
+             "person_refs": "len(list_filter(cats, lambda c: c = 'person'))", "category": "unnest(cats)"}
+_COUNTED = f"""{_SAMP}, {_COND}, u AS ({' UNION ALL '.join(_ONE(k, e) for k, e in _SECTIONS.items())}),
+  t AS (SELECT section, key, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM k) AS pct FROM u GROUP BY 1, 2)"""
+
+
+@query("composition_distribution", f"WITH {_COUNTED} SELECT section, key, n, pct FROM t")
 def composition_distribution(spark, sf):
     return Q.composition_distribution(conditions(spark, sf))
 
 
-@query("composition_report", f"""WITH {_SAMP}, {_COND}, u AS ({_ONE('num_references', 'len(cats)')} UNION ALL {_ONE('lighting', 'lighting')}),
-  t AS (SELECT section, key, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM k) AS pct FROM u GROUP BY 1, 2)
+@query("composition_report", f"""WITH {_COUNTED}
   SELECT printf('  %s: %d  (%.2f%%)', key, n, pct) AS value FROM t UNION ALL SELECT DISTINCT concat('--- ', section, ' ---') FROM t""")
 def composition_report(spark, sf):
-    return Q.report_lines(Q.composition_distribution(conditions(spark, sf)), ["num_references", "lighting"])
+    return Q.report_lines(Q.composition_distribution(conditions(spark, sf)), list(_SECTIONS))
 
 
 @query("composition_preview", f"""WITH {_SAMP}, {_COND} SELECT id, len(cats) AS num_references, array_to_string(cats, '|') AS ref_categories,
