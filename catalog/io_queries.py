@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as V
 from catalog.registry import query
-from catalog.text_queries import REFS, conditions, event_records
+from catalog.text_queries import CONDITION_SQL, REFS, REPORT_SQL, SECTIONS, conditions, event_records
 from tilewright import schemas
 from tilewright.functions import text as X
 from tilewright.operators import quality as Q
@@ -75,19 +75,22 @@ def mirrored_table(spark, sf):
     return spark.read.json(out, "id string, saved_image_path string, category string, rel_dir string").groupBy("category", "rel_dir").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("preview_csv", "SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM documents")
+@query("preview_csv", f"""WITH {CONDITION_SQL} SELECT id, cast(len(cats) as varchar) AS num_references, array_to_string(cats, '|') AS ref_categories,
+  scale, rotation, lighting, interaction FROM k""")
 def preview_csv(spark, sf):
+    """The written rows as text; captions are empty here, so their column (null once read) is left to composition_preview."""
     out = scratch_dir(spark, "preview")
     sinks.write_csv(sinks.composition_preview(conditions(spark, sf)), out)
     back = spark.read.option("header", True).csv(out)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+    return back.select("id", "num_references", *[F.coalesce(c, F.lit("")).alias(c) for c in (
+        "ref_categories", "scale", "rotation", "lighting", "interaction")])
 
 
-@query("report_text", "SELECT count(*) AS n_lines FROM (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END FROM documents UNION ALL SELECT 0) t")
+@query("report_text", REPORT_SQL)
 def report_text(spark, sf):
     out = scratch_dir(spark, "report")
-    sinks.write_report(Q.report_lines(Q.composition_distribution(conditions(spark, sf)), ["num_references"]), out)
-    return spark.read.text(out).agg(F.count(F.lit(1)).alias("n_lines"))
+    sinks.write_report(Q.report_lines(Q.composition_distribution(conditions(spark, sf)), SECTIONS), out)
+    return spark.read.text(out)
 
 
 @query("appended_metrics", "SELECT l_linenumber AS global_step, count(*) AS n, cast(2 as bigint) AS n_appends FROM lineitem GROUP BY 1")

@@ -300,10 +300,17 @@ def composition_distribution(spark, sf):
     return Q.composition_distribution(conditions(spark, sf))
 
 
-@query("composition_report", f"""WITH {_COUNTED}
-  SELECT printf('  %s: %d  (%.2f%%)', key, n, pct) AS value FROM t UNION ALL SELECT DISTINCT concat('--- ', section, ' ---') FROM t""")
+REPORT_SQL = f"""WITH {_COUNTED}
+  SELECT printf('  %s: %d  (%.2f%%)', key, n, pct) AS value FROM t UNION ALL SELECT DISTINCT concat('--- ', section, ' ---') FROM t"""
+SECTIONS = list(_SECTIONS)
+
+
+@query("composition_report", REPORT_SQL)
 def composition_report(spark, sf):
-    return Q.report_lines(Q.composition_distribution(conditions(spark, sf)), list(_SECTIONS))
+    return Q.report_lines(Q.composition_distribution(conditions(spark, sf)), SECTIONS)
+
+
+CONDITION_SQL = f"{_SAMP}, {_COND}"
 
 
 @query("composition_preview", f"""WITH {_SAMP}, {_COND} SELECT id, len(cats) AS num_references, array_to_string(cats, '|') AS ref_categories,
