@@ -485,3 +485,16 @@ def test_long_order_keys_stay_apart(spark):
 
     keys = spark.createDataFrame([(12345678,), (12345679,)], "l_orderkey long")
     assert keys.selectExpr(DETECTION_COLUMNS[0][1], sample_id("l_orderkey * 1000")).distinct().count() == 2
+
+
+@pytest.mark.parametrize("name", ["resolved_assets", "pairing_report", "pairing_report_without_captions", "pairing_examples"])
+def test_listings_are_merged_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in plan(queries()[name](spark, SF))
+
+
+def test_asset_candidates_of_odd_paths(spark):
+    rows = [("a/b.x/c.jpg",), ("c.jpg",), (".hidden",), ("a/",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "rel string").select("rel", M.caption_candidates(F.col("rel")).alias("c"), M.depth_candidates(F.col("rel")).alias("d")).collect()
+    assert [r.c for r in got] == [["c.txt", "a/b.x/c.txt"], ["c.txt"], [".hidden.txt"], [".txt", "a/.txt"], [".txt"], []]
+    assert got[0].d[:2] == ["c.png", "c.jpg"] and got[0].d[6] == "a/b.x/c.png" and got[-1].d == []
+    assert got[2].d[-1] == ".hidden" and got[3].d[-2:] == ["", "a/"]

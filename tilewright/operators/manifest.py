@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tilewright import constants as K
 from tilewright.functions import geometry as G
 from tilewright.functions import text as X
-from tilewright.functions.draws import int_div
+from tilewright.functions.draws import int_div, let
 from tilewright.functions.truthy import truthy_coalesce
 from tilewright.operators.ranking import (
     GROUP_LIMIT, HOT_ROWS, first_per_key, global_ordinal, ordered_lists, ordinal,
@@ -277,41 +277,51 @@ def captioned_members(members: DataFrame, captions: DataFrame, keep_uncaptioned:
 
 def depth_candidates(rel: Column) -> Column:
     """Possible depth files for an image, best first, relative to the depth folder."""
-    stem, parent, name = X.file_stem(rel), X.parent_dir(rel), X.file_name(rel)
-    flat = [F.concat(stem, F.lit(e)) for e in K.DEPTH_ASSET_SUFFIXES]
-    nested = [F.when(parent != "", F.concat(parent, F.lit("/"), stem, F.lit(e))) for e in K.DEPTH_ASSET_SUFFIXES]
-    return F.array_distinct(F.array_compact(F.array(*flat, *nested, name, rel)))
+    def listed(p: Column) -> Column:
+        flat = [F.concat(p["stem"], F.lit(e)) for e in K.DEPTH_ASSET_SUFFIXES]
+        nested = [F.when(p["parent"] != "", F.concat(p["parent"], F.lit("/"), p["stem"], F.lit(e))) for e in K.DEPTH_ASSET_SUFFIXES]
+        return F.array_distinct(F.array_compact(F.array(*flat, *nested, p["name"], p["rel"])))
+
+    return let(_path_pieces(rel), listed)
 
 
 def caption_candidates(rel: Column) -> Column:
-    stem, parent = X.file_stem(rel), X.parent_dir(rel)
-    return F.array_distinct(F.array_compact(F.array(
-        F.concat(stem, F.lit(".txt")),
-        F.when(parent != "", F.concat(parent, F.lit("/"), stem, F.lit(".txt"))),
-    )))
+    return let(_path_pieces(rel), lambda p: F.array_distinct(F.array_compact(F.array(
+        F.concat(p["stem"], F.lit(".txt")),
+        F.when(p["parent"] != "", F.concat(p["parent"], F.lit("/"), p["stem"], F.lit(".txt"))),
+    ))))
+
+
+def _path_pieces(rel: Column) -> Column:
+    return F.struct(
+        X.file_stem(rel).alias("stem"), X.parent_dir(rel).alias("parent"), X.file_name(rel).alias("name"), rel.alias("rel"))
 
 
 def resolve_assets(rels: DataFrame, files: DataFrame, candidates: Column, rel_col: str = "rel", name: str = "asset") -> DataFrame:
-    """First existing candidate per image, null when none exists."""
+    """First existing candidate per image, null when none exists.
+
+    Listings grow with the images, and their compressed size says little about their size as a hash table. So they are
+    merged, never broadcast: several broadcasts of them at once do not fit the driver.
+    """
     asked = rels.select(rel_col, F.posexplode(candidates).alias("__pos", "__path"))
     hit = (
-        asked.join(files.select(F.col("path").alias("__path")).distinct(), "__path")
+        asked.join(files.select(F.col("path").alias("__path")).distinct().hint("merge"), "__path")
         .groupBy(rel_col).agg(F.min_by("__path", "__pos").alias(name))
     )
-    return rels.join(hit, rel_col, "left")
+    return rels.join(hit.hint("merge"), rel_col, "left")
 
 
 def pairing(rels: DataFrame, images: DataFrame, depth: DataFrame | None, captions: DataFrame | None, rel_col: str = "rel") -> DataFrame:
     """Existence of image, depth and caption per target; an absent side counts as satisfied."""
     col = F.col(rel_col)
     known = images.select(F.col("path").alias(rel_col)).distinct().withColumn("has_image", F.lit(True))
-    out = rels.join(known, rel_col, "left").withColumn("has_image", F.coalesce("has_image", F.lit(False)))
+    out = rels.join(known.hint("merge"), rel_col, "left").withColumn("has_image", F.coalesce("has_image", F.lit(False)))
     for side, files, cands in (("depth", depth, depth_candidates(col)), ("caption", captions, caption_candidates(col))):
         if files is None:
             out = out.withColumn(f"has_{side}", F.lit(None).cast("boolean"))
             continue
         asset = resolve_assets(rels, files, cands, rel_col, f"{side}_asset")
-        out = out.join(asset, rel_col).withColumn(f"has_{side}", F.col(f"{side}_asset").isNotNull()).drop(f"{side}_asset")
+        out = out.join(asset.hint("merge"), rel_col).withColumn(f"has_{side}", F.col(f"{side}_asset").isNotNull()).drop(f"{side}_asset")
     ok = F.col("has_image") & F.coalesce("has_depth", F.lit(True)) & F.coalesce("has_caption", F.lit(True))
     return out.withColumn("paired", ok)
 
