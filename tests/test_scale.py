@@ -13,6 +13,7 @@ from tilewright import constants as K
 from tilewright.functions import draws as D
 from tilewright.operators import boxes as B
 from tilewright.operators import manifest as M
+from tilewright.operators import match as T
 from tilewright.operators import sampling as S
 from tilewright.operators import themes as H
 from tilewright.operators.ranking import band_of, first_per_key, global_ordinal, hot_keys, ordinal, split_ordinal, split_points
@@ -498,3 +499,45 @@ def test_asset_candidates_of_odd_paths(spark):
     assert [r.c for r in got] == [["c.txt", "a/b.x/c.txt"], ["c.txt"], [".hidden.txt"], [".txt", "a/.txt"], [".txt"], []]
     assert got[0].d[:2] == ["c.png", "c.jpg"] and got[0].d[6] == "a/b.x/c.png" and got[-1].d == []
     assert got[2].d[-1] == ".hidden" and got[3].d[-2:] == ["", "a/"]
+
+
+@pytest.fixture(scope="module")
+def matches(spark):
+    """Pairs of 2 to 400 points: half of them turned and scaled, the rest anywhere; pair 7 has no good half."""
+    rnd = random.Random(8)
+    rows = []
+    for pair, n in enumerate((2, 3, 5, 40, 64, 65, 130, 200, 400)):
+        for i in range(n):
+            x, y = rnd.random() * 300, rnd.random() * 300
+            a, b = 1.5 * math.cos(pair / 3), 1.5 * math.sin(pair / 3)
+            good = i % 2 == 0 and pair != 7
+            rows.append((pair, f"p{i}", x, y, *((a * x - b * y + 9, b * x + a * y - 4) if good else (rnd.random() * 900, rnd.random() * 900))))
+    pts = spark.createDataFrame(rows, "pair_id long, point_no string, sx double, sy double, dx double, dy double").repartition(5)
+    return pts, spark.createDataFrame([(p, 1.5) for p in range(9)], "pair_id long, expected_scale double")
+
+
+@pytest.mark.parametrize("locked", [True, False])
+def test_consensus_in_one_task_and_in_blocks_agree(matches, locked):
+    pts, sc = matches
+    fixed = lambda rows: sorted(tuple(None if v is None else round(v, 6) for v in r) for r in rows)
+    small, blocks = (fixed(T.consensus(pts, sc if locked else None, limit=2.0, whole=w, block=32).collect()) for w in (10**6, 1))
+    assert small == blocks and len(small) == 8
+    assert {r[0]: r[1] for r in small}[8] >= 200
+
+
+def test_best_model_is_the_first_of_the_best():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (3, 64, 65, 500):
+        pts = rng.normal(size=(4, n))
+        pts[2:, ::2] = pts[:2, ::2]
+        models = np.concatenate([rng.normal(size=(4, 40)), np.repeat([[1.0], [0.0], [0.0], [0.0]], 3, axis=1), rng.normal(size=(4, 700))], axis=1)
+        for limit in (1e-9, 0.3, 2.0):
+            assert T._best_model(models, pts, limit) == int(np.argmax(T._inside(models, pts, limit).sum(axis=1)))
+
+
+def test_hypotheses_are_not_shuffled(spark):
+    """Only points move: the search of a pair happens where its points meet."""
+    p = plan(queries()["locked_rotations"](spark, SF))
+    assert "FlatMapGroupsInArrow" in p

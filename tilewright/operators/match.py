@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tilewright import constants as K
 from tilewright.functions import text as X
-from tilewright.functions.draws import draw_digest, draw_u32, int_div
-from tilewright.operators.ranking import HOT_ROWS, digest_band, first_per_key, ordinal
+from tilewright.functions.draws import draw_digest, int_div
+from tilewright.operators.ranking import HOT_ROWS, digest_band, first_per_key, hot_keys, ordinal
+
+_POINT = ("sx", "sy", "dx", "dy")
 
 # ------------------------------------------------------------------ label match
 
@@ -268,22 +273,144 @@ def _model_columns(scale: Column) -> list[Column]:
     ]
 
 
+def _draw_prefix(seed: int, key: Column) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), F.lit("hyp"), key.cast("string"))
+
+
+def _distinct_indexes(draws: Sequence, n, below, larger) -> tuple:
+    """Three distinct indexes below ``n`` from three draws without rejection: each draw skips the ones before it."""
+    i0, r1, r2 = draws[0] % n, draws[1] % (n - 1), draws[2] % (n - 2)
+    i1 = r1 + below(r1, i0)
+    lo, hi = larger(i0, i1)
+    step = r2 + below(r2, lo)
+    return i0, i1, step + below(step, hi)
+
+
+def _three_point_models(src: np.ndarray, dst: np.ndarray, scale: float | None) -> np.ndarray:
+    """(a, b, tx, ty) of every hypothesis from corners (2, hypotheses, 3); NaN without a free scale."""
+    ms, md = src.mean(axis=2), dst.mean(axis=2)
+    cs, cd = src - ms[..., None], dst - md[..., None]
+    p = (cs[0] * cd[0] + cs[1] * cd[1]).mean(axis=1)
+    q = (cs[0] * cd[1] - cs[1] * cd[0]).mean(axis=1)
+    if scale is None:
+        v = (cs * cs).mean(axis=2).sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.hypot(p, q) / v
+        scale = np.where((v >= 1e-12) & (scale >= 1e-8), scale, np.nan)
+    theta = np.arctan2(q, p)
+    a, b = scale * np.cos(theta), -scale * np.sin(theta)
+    return np.stack([a, b, md[0] - (a * ms[0] + b * ms[1]), md[1] - (a * ms[1] - b * ms[0])])
+
+
+def _inside(models: np.ndarray, pts: np.ndarray, limit: float) -> np.ndarray:
+    """Which points (sx, sy, dx, dy) each model (a, b, tx, ty) hits."""
+    a, b, tx, ty = models
+    src = np.stack([pts[0], pts[1], np.ones(pts.shape[1])])
+    ex = np.stack([a, b, tx], axis=1) @ src - pts[2]
+    ey = np.stack([-b, a, ty], axis=1) @ src - pts[3]
+    ex *= ex
+    ey *= ey
+    ex += ey
+    return ex <= limit * limit
+
+
+def _best_model(models: np.ndarray, pts: np.ndarray, limit: float, width: int = 64, height: int = 512) -> int:
+    """Number of the model with the most inliers, the smallest of equals.
+
+    All models see the first points; the leader of these is counted in full. The others go on, over the points that
+    the leader misses first, only while they can still beat it. Blocks keep the distances in the processor's cache.
+    """
+    n = pts.shape[1]
+
+    def hits(which: np.ndarray, block: np.ndarray) -> np.ndarray:
+        return np.concatenate([
+            np.count_nonzero(_inside(models[:, which[i:i + height]], block, limit), axis=1) for i in range(0, len(which), height)])
+
+    alive = np.arange(models.shape[1])
+    counts = hits(alive, pts[:, :width])
+    lead = int(alive[np.argmax(counts)])
+    hit = np.concatenate([_inside(models[:, [lead]], pts[:, i:i + 8192], limit)[0] for i in range(0, n, 8192)])
+    most, seen = np.count_nonzero(hit), min(width, n)
+    rest = width + np.argsort(hit[width:], kind="stable")
+    while True:
+        bound = counts + (n - seen)
+        keep = (bound > most) | ((bound == most) & (alive < lead))
+        alive, counts = alive[keep], counts[keep]
+        if not len(alive) or seen == n:
+            break
+        block = rest[seen - width:seen]
+        counts = counts + hits(alive, pts[:, block])
+        seen += len(block)
+    return int(alive[np.argmax(counts)]) if len(alive) else lead
+
+
+def _searched(seed: int, limit: float, hypotheses: int | None, key: str, schema: StructType):
+    """The search of one pair's points in one task; same draws and result as the search in blocks."""
+    def search(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        empty = pa.Table.from_pylist([], schema=arrow)
+        if n < 3:
+            return empty
+        table = table.sort_by([(c, "ascending") for c in ("__digest", *_POINT)])
+        pts = np.stack([table[c].to_numpy() for c in _POINT])
+        tries = hypotheses or min(K.MAX_HYPOTHESES, max(K.MIN_HYPOTHESES, n * K.HYPOTHESES_PER_POINT))
+        prefix = table["__prefix"][0].as_py().encode()
+        digests = b"".join(hashlib.md5(b"%b|%d" % (prefix, i)).digest()[:12] for i in range(tries))
+        draws = np.frombuffer(digests, ">u4").reshape(-1, 3).T.astype(np.int64)
+        at = np.stack(_distinct_indexes(draws, n, lambda x, y: (x >= y).astype(np.int64), lambda x, y: (np.minimum(x, y), np.maximum(x, y))), axis=1)
+        scale = table["expected_scale"][0].as_py() if "expected_scale" in table.column_names else None
+        models = _three_point_models(pts[:2][:, at], pts[2:][:, at], scale)
+        if scale is None:
+            models = models[:, ~np.isnan(models[0])]
+        if not models.shape[1]:
+            return empty
+        best = models[:, [_best_model(models, pts, limit)]]
+        inliers = pts[:, np.concatenate([_inside(best, pts[:, i:i + 8192], limit)[0] for i in range(0, n, 8192)])]
+        row = {key: table[key][0].as_py(), "num_inliers": inliers.shape[1], "hyp_rotation": float(np.degrees(np.arctan2(-best[1, 0], best[0, 0])))}
+        if inliers.shape[1]:
+            mean = inliers.mean(axis=1)
+            sx, sy, dx, dy = inliers - mean[:, None]
+            row |= {"n": inliers.shape[1], "p": float((sx * dx + sy * dy).mean()), "q": float((sx * dy - sy * dx).mean()),
+                    "v": float((sx * sx + sy * sy).mean()), **{f"m{c}": float(m) for c, m in zip(_POINT, mean)}}
+        return pa.Table.from_pylist([row], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return search
+
+
 def consensus(
     points: DataFrame, scales: DataFrame | None, seed: int = 0, limit: float = K.INLIER_LIMIT_PX,
-    hypotheses: int | None = None, key: str = "pair_id", block: int = 2048, hot_rows: int = HOT_ROWS,
+    hypotheses: int | None = None, key: str = "pair_id", block: int = 2048, hot_rows: int = HOT_ROWS, whole: int = 65_536,
 ) -> DataFrame:
     """Best of many three-point hypotheses per pair, with the moments of its inliers.
 
     ``points`` is (key, point_no, sx, sy, dx, dy). With ``scales`` (key,
     expected_scale) the scale is locked, otherwise it is free. Three distinct
-    points per hypothesis are drawn by hash and looked up in the blocks by
-    equi-join. Points are scored in blocks of bounded size against the pair's
-    hypotheses (at most 4,000), so one very large pair is spread over tasks; only
-    counts are merged.
+    points per hypothesis are drawn by hash. A pair's points meet in one task, which
+    draws, fits and scores in memory, so only points are shuffled. The largest
+    pairs (above ``whole`` points) are searched in blocks spread over tasks.
+    """
+    pts = points.where(F.col(key).isNotNull()).select(key, "point_no", *[F.col(c).cast("double").alias(c) for c in _POINT])
+    large = F.broadcast(hot_keys(points, [key], whole))  # a bounded list, mostly empty
+    found = _consensus_in_blocks(pts.join(large, key), scales, seed, limit, hypotheses, key, block, hot_rows)
+    single = pts.join(large, key, "left_anti").select(
+        key, F.unhex(draw_digest(seed, "point", F.col(key), F.col("point_no"))).alias("__digest"), *_POINT, _draw_prefix(seed, F.col(key)).alias("__prefix"))
+    if scales is not None:
+        single = single.join(scales.where(F.col("expected_scale") > 0).select(key, F.col("expected_scale").cast("double").alias("expected_scale")), key)
+    return single.groupBy(key).applyInArrow(_searched(seed, float(limit), hypotheses, key, found.schema), found.schema).unionByName(found)
+
+
+def _consensus_in_blocks(
+    points: DataFrame, scales: DataFrame | None, seed: int, limit: float, hypotheses: int | None, key: str, block: int, hot_rows: int,
+) -> DataFrame:
+    """:func:`consensus` of very large pairs: their points lie in blocks of bounded size.
+
+    Corners are looked up in the blocks by equi-join, and every block is scored
+    against the pair's hypotheses (at most 4,000); only counts are merged.
     """
     digest = draw_digest(seed, "point", F.col(key), F.col("point_no"))
     pts = ordinal(
-        points.select(key, "point_no", "sx", "sy", "dx", "dy"), [key], [digest.asc(), F.asc("point_no")],
+        points.select(key, "point_no", *_POINT), [key], [digest.asc(), F.asc("point_no")],
         digest_band(digest), "pt", 0, hot_rows,
     )
     sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_points")).where(F.col("n_points") >= 3)
@@ -294,15 +421,11 @@ def consensus(
         else F.least(F.lit(K.MAX_HYPOTHESES), F.greatest(F.lit(K.MIN_HYPOTHESES), F.col("n_points") * K.HYPOTHESES_PER_POINT))
     ).cast("int")
 
-    # Three distinct indexes without rejection: each draw skips the ones before it.
-    u = lambda slot: draw_u32(seed, f"hyp{slot}", F.col(key), F.col("hyp"))
     h = sizes.select("*", F.explode(F.sequence(F.lit(0), tries - 1)).alias("hyp"))
-    h = h.select("*", F.pmod(u(0), F.col("n_points")).alias("i0"), F.pmod(u(1), F.col("n_points") - 1).alias("r1"),
-                 F.pmod(u(2), F.col("n_points") - 2).alias("r2"))
-    h = h.withColumn("i1", F.col("r1") + (F.col("r1") >= F.col("i0")).cast("int"))
-    lo, hi = F.least("i0", "i1"), F.greatest("i0", "i1")
-    step = F.col("r2") + (F.col("r2") >= lo).cast("int")
-    h = h.withColumn("i2", step + (step >= hi).cast("int"))
+    drawn = F.md5(F.concat_ws("|", _draw_prefix(seed, F.col(key)), "hyp"))
+    h = h.select("*", *[F.conv(F.substring(drawn, 8 * k + 1, 8), 16, 10).cast("long").alias(f"u{k}") for k in range(3)])
+    at = _distinct_indexes([F.col(f"u{k}") for k in range(3)], F.col("n_points"), lambda x, y: (x >= y).cast("int"), lambda x, y: (F.least(x, y), F.greatest(x, y)))
+    h = h.select("*", *[i.alias(f"i{k}") for k, i in enumerate(at)])
     # Points live in blocks of bounded size. Drawing, scoring and refitting all read
     # the same blocks, so Spark numbers and shuffles the points once.
     point = F.struct("pt", "sx", "sy", "dx", "dy")
