@@ -541,3 +541,18 @@ def test_hypotheses_are_not_shuffled(spark):
     """Only points move: the search of a pair happens where its points meet."""
     p = plan(queries()["locked_rotations"](spark, SF))
     assert "FlatMapGroupsInArrow" in p
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 15, 24])
+def test_batched_cycle_positions_equal_single_ones(spark, n):
+    df = spark.range(500).select("id", F.when(F.col("id") % 7 == 0, F.array()).otherwise(F.array(F.col("id") * 5, F.lit(None).cast("long"), F.col("id") + 9)).alias("d"))
+    batch = df.select("id", F.posexplode(D.small_cycle_positions(F.col("d"), n, 3, "x")).alias("p", "a"))
+    single = df.select("id", F.posexplode("d").alias("p", "v")).select("id", "p", D.small_cycle_position(F.pmod("v", F.lit(n)), D.int_div(F.col("v"), n), n, 3, "x").alias("b"))
+    both = batch.join(single, ["id", "p"])
+    assert both.count() == batch.count() == 428 * 3 and both.where("not (a <=> b)").count() == 0
+
+
+def test_looks_are_drawn_once(spark):
+    """Taking the objects apart must not repeat all draws in a filter below."""
+    p = queries()["balanced_looks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(len, p.split("\n"))) < 30_000

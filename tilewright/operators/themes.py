@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tilewright import constants as K
 from tilewright.functions import text as X
-from tilewright.functions.draws import base_order, draw_below, draw_u32, draw_unit, int_div, py_u32
-from tilewright.operators.sampling import balanced_inclusion, cyclic_value, distinct_positions, even_slot, small_cycle_position
+from tilewright.functions.draws import base_order, draw_below, draw_u32, draw_unit, int_div, py_u32, small_cycle_positions
+from tilewright.operators.sampling import balanced_inclusion, distinct_block, even_slot, inclusion_block
 
 N = K.OBJECTS_PER_THEME
 THEMES = list(K.THEME_OBJECTS)
@@ -198,10 +198,16 @@ def max_permutations(
 
 
 def _shot_picks(keys: Sequence[str], slots: Column, turn: Column, seed: int, salt: str) -> Column:
-    """Distinct locations of one shot type for all object slots."""
+    """Distinct locations of one shot type for all object slots (:func:`distinct_positions` of them at once)."""
     n = len(keys)
-    ordered = _strings([keys[p] for p in base_order(n, seed, salt)])
-    return F.transform(slots, lambda j: F.element_at(ordered, distinct_positions(turn, j, N, n, seed, salt) + 1))
+    block = distinct_block(N, n)
+    numbers = F.transform(slots, lambda j: int_div(turn, block) * n + F.pmod(F.pmod(turn, F.lit(block)) * N + j, F.lit(n)))
+    return _entries([keys[p] for p in base_order(n, seed, salt)], small_cycle_positions(numbers, n, seed, salt))
+
+
+def _entries(pool: Sequence[str], positions: Column) -> Column:
+    ordered = _strings(pool)
+    return F.transform(positions, lambda p: F.element_at(ordered, p + 1))
 
 
 def balanced_themes(
@@ -216,7 +222,8 @@ def balanced_themes(
     spark = samples.sparkSession
     step = _with_theme(samples, index_col, total)
     i = F.col("sample_no")
-    shot_no = small_cycle_position(F.pmod(i, F.lit(len(shots))), int_div(i, len(shots)), len(shots), seed, "shot")
+    one = lambda number, n, salt: small_cycle_positions(F.array(number), n, seed, salt)[0]
+    shot_no = one(i, len(shots), "shot")
     step = step.withColumn("shot_no", shot_no).join(F.broadcast(shot_catalog(spark, shots)), "shot_no")
 
     # A shot type comes up once per cycle of shots, so the cycle number counts its samples.
@@ -227,41 +234,40 @@ def balanced_themes(
         picks = _shot_picks(K.SHOT_LOCATIONS[s], slots, turn, seed, f"loc_{s}")
         arranged = F.when(F.col("shot_no") == no, picks).otherwise(arranged)
 
-    # One array per axis: the generated code stays small enough to be compiled as a whole.
+    # One array per axis: all of them are drawn together, batch by batch.
+    draws = F.transform(slots, lambda j: i * N + j)
+
     def axis(pool: Sequence[str], salt: str) -> Column:
-        return F.transform(slots, lambda j: cyclic_value(pool, i * N + j, seed, salt))
+        return _entries([pool[p] for p in base_order(len(pool), seed, salt)], small_cycle_positions(draws, len(pool), seed, salt))
 
-    n_o = len(K.ORIENTATIONS)
-    turned = F.transform(slots, lambda j: small_cycle_position(
-        F.pmod(i * N + j, F.lit(n_o)), int_div(i * N + j, n_o), n_o, seed, "orientation"))
+    turned = small_cycle_positions(draws, len(K.ORIENTATIONS), seed, "orientation")
     # Objects of a theme without own surfaces; the k-th of them takes the k-th surface draw of the sample.
     bare = F.filter("theme_objects", lambda o: F.try_element_at("overrides", o).isNull())
     step = step.withColumn("bare", bare)
     n_s = len(next(iter(K.THEME_SURFACES.values())))
 
-    def plain_surface(o: Column) -> Column:
-        draw = F.col("in_theme") * F.size("bare") + F.array_position("bare", o) - 1
-        return F.element_at("surfaces", small_cycle_position(F.pmod(draw, F.lit(n_s)), int_div(draw, n_s), n_s, seed, "surface") + 1)
-
-    plain = F.transform("theme_objects", lambda o: F.when(F.array_position("bare", o) > 0, plain_surface(o)))
+    surface_draws = F.transform("theme_objects", lambda o: F.when(
+        F.array_position("bare", o) > 0, F.col("in_theme") * F.size("bare") + F.array_position("bare", o) - 1))
+    plain = F.transform(small_cycle_positions(surface_draws, n_s, seed, "surface"), lambda p: F.element_at("surfaces", p + 1))
+    n_chars = len(next(iter(K.THEME_CHARACTERS.values())))
+    block = inclusion_block(people_fraction, n_chars)
+    shown, turn_no = balanced_inclusion(F.col("in_theme"), people_fraction, n_chars, seed, "people", one(F.col("in_theme"), block, "people"))
     step = step.select(
         "*", arranged.alias("loc_arrangement"), axis(K.COLORS, "color").alias("colors"),
         axis(K.MATERIALS, "material").alias("materials"), turned.alias("turned"), plain.alias("plain_surfaces"),
+        *[one(F.col("in_theme"), 2, f"override{j}").alias(f"pair{j}") for j in range(N)], shown.alias("shown"), turn_no.alias("turn_no"),
     )
 
     def surface(j: int) -> Column:
         own = F.try_element_at("overrides", F.element_at("theme_objects", j + 1))
-        pair = small_cycle_position(F.pmod(F.col("in_theme"), F.lit(2)), int_div(F.col("in_theme"), 2), 2, seed, f"override{j}")
-        return F.coalesce(F.try_element_at(own, pair + 1), F.element_at("plain_surfaces", j + 1))
+        return F.coalesce(F.try_element_at(own, F.col(f"pair{j}") + 1), F.element_at("plain_surfaces", j + 1))
 
     at = lambda name: (lambda j: F.element_at(name, j + 1))
     details = _details(
         F.col("theme_objects"), surface, F.col("loc_arrangement"), _LOCATION_TEXT, at("turned"), at("colors"), at("materials")
     )
-    n_chars = len(next(iter(K.THEME_CHARACTERS.values())))
-    shown, turn_no = balanced_inclusion(F.col("in_theme"), people_fraction, n_chars, seed, "people")
-    who = small_cycle_position(F.pmod(turn_no, F.lit(n_chars)), int_div(turn_no, n_chars), n_chars, seed, "who")
-    step = step.withColumn("character_text", F.when(shown, F.element_at("characters", who + 1)))
+    who = one(F.col("turn_no"), n_chars, "who")
+    step = step.withColumn("character_text", F.when(F.col("shown"), F.element_at("characters", who + 1)))
     return _finished(step.withColumn("object_details", details))
 
 
