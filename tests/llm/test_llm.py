@@ -754,3 +754,28 @@ def test_stages_do_not_number_rows_by_two_scans(spark, docs, tmp_path, stage):
         for k in (key, "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
             spark.conf.unset(k)
     assert len(got) == len(want) and (stage == "mix" or got == want)
+
+
+def test_secret_counts_take_a_slice_at_a_time(monkeypatch):
+    """The runs of a batch are counted a slice of texts at a time; the sums are those of the whole batch."""
+    import pyarrow as pa
+
+    from tilewright.llm import secrets
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    sizes, count = [], secrets.transition_counts
+    monkeypatch.setattr(secrets, "_summed", lambda run: run)
+    monkeypatch.setattr(secrets, "transition_counts", lambda s: (sizes.append(sum(map(len, s))), count(s))[1])
+    monkeypatch.setattr(secrets, "F", type("F", (), {"col": staticmethod(lambda _: type("C", (), {"cast": lambda s, _: s, "alias": lambda s, _: s})())}))
+    texts = [f"ordinary identifier_{i} password=hunter2hunter{i} " * 2_000 for i in range(60)] + [None, ""]
+    out = next(iter(secrets.corpus_counts(Docs())([pa.record_batch({"text": pa.array(texts)})])))
+    assert max(sizes) < 1_500_000 < sum(sizes)
+    plain = sum(count(["ordinary", f"identifier_{i}"]) for i in range(60)) * 2_000
+    rows = out.to_pylist()
+    assert sum(r["n"] for r in rows if r["label"] == 0) == int(plain.sum())

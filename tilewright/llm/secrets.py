@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import documents
+from tilewright.llm.common import documents, text_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -104,21 +104,23 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros((2, N * N), np.int64)
         for b in batches:
-            secret, plain = [], []
-            for t in b.column("text").to_pylist():
-                if not t:
-                    continue
-                spans = base_spans(t)
-                for s in spans:
-                    secret.append(secret_value(t, s))
-                if spans:
-                    t = list(t)
-                    for s, _, e in spans:
-                        t[s:e] = "\n" * (e - s)
-                    t = "".join(t)
-                plain += ORDINARY.findall(t)
-            total[1] += transition_counts(secret)
-            total[0] += transition_counts(plain)
+            for _, texts in text_slices(b.column("text")):  # the runs of a whole batch would take many times its size
+                secret, plain = [], []
+                for raw in texts:
+                    if not raw:
+                        continue
+                    t = raw.decode()
+                    spans = base_spans(t)
+                    for s in spans:
+                        secret.append(secret_value(t, s))
+                    if spans:
+                        t = list(t)
+                        for s, _, e in spans:
+                            t[s:e] = "\n" * (e - s)
+                        t = "".join(t)
+                    plain += ORDINARY.findall(t)
+                total[1] += transition_counts(secret)
+                total[0] += transition_counts(plain)
         yield _count_batch(total)
 
     return _summed(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "label int, pair int, n long"))
@@ -186,24 +188,27 @@ def redacted(docs: DataFrame, ratios: np.ndarray, mark: str = "[SECRET]", thresh
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            changed = []
-            for t in texts:
-                if t:
-                    base = base_spans(t)
-                    end, parts, at = -1, [], 0
-                    for s, _, e in sorted(base + method_spans(t, ratios, base, threshold)):
-                        if s >= end:
-                            parts += [t[at:s], mark]
-                        end = at = max(end, e)
-                    t = "".join(parts) + t[at:] if parts else t
-                changed.append(t)
-            columns = list(b.columns)
-            columns[names.index("text")] = pa.array(changed, b.schema.field("text").type)
-            if "n_chars" in names:
-                i = names.index("n_chars")
-                columns[i] = pa.array([n if x == y else len(y) for n, x, y in zip(columns[i].to_pylist(), texts, changed)], columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            column = names.index("text")
+            for first, texts in text_slices(b.column(column)):
+                part = b.slice(first, len(texts))
+                texts = [t if t is None else t.decode() for t in texts]
+                changed = []
+                for t in texts:
+                    if t:
+                        base = base_spans(t)
+                        end, parts, at = -1, [], 0
+                        for s, _, e in sorted(base + method_spans(t, ratios, base, threshold)):
+                            if s >= end:
+                                parts += [t[at:s], mark]
+                            end = at = max(end, e)
+                        t = "".join(parts) + t[at:] if parts else t
+                    changed.append(t)
+                columns = list(part.columns)
+                columns[column] = pa.array(changed, b.schema.field(column).type)
+                if "n_chars" in names:
+                    i = names.index("n_chars")
+                    columns[i] = pa.array([n if x == y else len(y) for n, x, y in zip(columns[i].to_pylist(), texts, changed)], columns[i].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, docs.schema)
 
