@@ -556,3 +556,18 @@ def test_looks_are_drawn_once(spark):
     """Taking the objects apart must not repeat all draws in a filter below."""
     p = queries()["balanced_looks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert max(map(len, p.split("\n"))) < 30_000
+
+
+def test_composed_texts_are_never_gathered(spark):
+    """Captions join slot by slot: no list is gathered with them, and samples with more slots keep their own records."""
+    refs = spark.createDataFrame(
+        [(f"{c}{i}", c, f"cap {c}{i}", f"{c}{i}.jpg", "GOOD", None) for c in ("landmark", "person", "object", "celeb", "cuisine") for i in range(4)],
+        "id string, category string, caption string, saved_image_path string, quality string, error string")
+    from tilewright.plans.composition import composed_samples
+
+    c = composed_samples(spark.range(300).withColumnRenamed("id", "sample_no"), refs, 300, 5, {2: 0.5, 4: 0.5})
+    assert not [line for line in plan(c).splitlines() if "collect_list" in line and "caption" in line]
+    rows = c.collect()
+    assert sorted(len(r.reference_ids) for r in rows) == [2] * 150 + [4] * 150
+    assert all(r.num_references == len(r.reference_ids) and r.reference_captions == [f"cap {i}" for i in r.reference_ids] for r in rows)
+    assert all(i.startswith(k) for r in rows for i, k in zip(r.reference_ids, r.reference_categories))
