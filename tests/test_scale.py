@@ -571,3 +571,17 @@ def test_composed_texts_are_never_gathered(spark):
     assert sorted(len(r.reference_ids) for r in rows) == [2] * 150 + [4] * 150
     assert all(r.num_references == len(r.reference_ids) and r.reference_captions == [f"cap {i}" for i in r.reference_ids] for r in rows)
     assert all(i.startswith(k) for r in rows for i, k in zip(r.reference_ids, r.reference_categories))
+
+
+def test_rows_do_not_meet_by_root(spark):
+    """Two roots: joined by root, all rows would meet in two tasks."""
+    df = spark.range(1000).select(F.when(F.col("id") % 11 == 0, "small").otherwise("large").alias("root"), F.col("id").cast("string").alias("row_key"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights, epoch = S.balanced_weights(df), S.balanced_epoch(df, ["small", "large"], 3, 1, "row_key")
+        assert "SortMergeJoin" not in plan(weights)
+        assert plan(epoch).count("BroadcastHashJoin") == 1
+        assert weights.where("abs(weight - if(root = 'small', 1 / 91, 1 / 909)) > 1e-12").count() == 0 and epoch.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
