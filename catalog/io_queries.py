@@ -140,12 +140,14 @@ def image_shard_index(spark, sf):
 
 
 def _shards(spark, sf):
+    """Shards as many as the table has input splits (4 at least), so that none grows with the table."""
     out = scratch_dir(spark, "shards")
-    d = V.table(spark, sf, "documents").select(
+    documents = V.table(spark, sf, "documents")
+    d = documents.select(
         F.col("doc_id").cast("string").alias("id"), F.struct(F.when(F.col("doc_id") % 10 != 3, F.concat(
             F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.unhex(F.lit("89504E470D0A1A0A"))), F.col("text").cast("binary")
         )).alias("bytes"), F.lit("p").alias("path")).alias("image"))
-    d.repartition(4, "id").write.parquet(out)
+    d.repartition(max(4, documents.rdd.getNumPartitions()), "id").write.parquet(out)
     return out
 
 

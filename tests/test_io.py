@@ -203,3 +203,18 @@ def test_keyed_sink_splits_a_large_key(spark, tmp_path):
     df = spark.range(1000).select(F.lit("big").alias("category"), "id")
     sinks.write_keyed(df, str(tmp_path / "k"), "category")
     assert spark.read.parquet(str(tmp_path / "k")).count() == 1000
+
+
+def test_shards_grow_in_number_with_the_documents(spark):
+    """Every input split more gives a shard more; the shards hold all documents."""
+    from catalog.io_queries import _shards
+
+    sf, before = "/root/testdata/sf0.01", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        out = _shards(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    shards = spark.read.parquet(out)
+    assert len(shards.inputFiles()) > 4 and shards.select("id").distinct().count() == n
