@@ -218,3 +218,25 @@ def test_shards_grow_in_number_with_the_documents(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     shards = spark.read.parquet(out)
     assert len(shards.inputFiles()) > 4 and shards.select("id").distinct().count() == n
+
+
+def test_headers_are_walked_at_most_twice(spark, tmp_path, monkeypatch):
+    """Blocks begin at their own header, whatever precedes it: long names, global headers, files that are no images."""
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar", "w", format=tarfile.PAX_FORMAT, pax_headers={"comment": "global"}) as tf:
+        for i in range(300):
+            info = tarfile.TarInfo(("deep/" * 40 if i % 7 == 0 else "") + f"{i}.{'txt' if i % 5 == 0 else 'png'}")
+            info.size = i
+            tf.addfile(info, io.BytesIO(bytes([i % 256]) * i))
+    blocks = list(archives.BlockReader({"path": str(tmp_path), "blockBytes": "2048"}).read(archives.WholeArchive(str(tmp_path / "a.tar"))))
+    assert len(blocks) > 50
+    walked, step = [], tarfile.TarFile.next
+    monkeypatch.setattr(tarfile.TarFile, "next", lambda self: walked.append(1) or step(self))
+    got = [row for b in blocks for row in archives._block_members(*b, True)]
+    images = [i for i in range(300) if i % 5]
+    assert [(r[1], r[3], r[4], r[5]) for r in got] == [(n, str(i), i, bytes([i % 256]) * i) for n, i in enumerate(images)]
+    assert len(walked) <= 2 * 300 + 2 * len(blocks)
+    m = archives.archive_members(spark, str(tmp_path), split_bytes=2048).collect()
+    assert sorted((r.member_no, r.image_stem, r.length, bytes(r.content)) for r in m) == [(n, str(i), i, bytes([i % 256]) * i) for n, i in enumerate(images)]
