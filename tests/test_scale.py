@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -585,3 +586,19 @@ def test_rows_do_not_meet_by_root(spark):
         assert weights.where("abs(weight - if(root = 'small', 1 / 91, 1 / 909)) > 1e-12").count() == 0 and epoch.count() == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_crop_numbers_shuffle_boxes_once(spark, skewed):
+    """Without a hot image the boxes are dealt by image once, for their numbers and for their lists."""
+    g = B.grouped_boxes(B.crop_numbers(skewed))
+    g.collect()
+    final = plan(g).split("== Initial Plan ==")[0]
+    assert "__band" not in final and len(re.findall(r"Exchange hashpartitioning\(image_path", final)) == 1
+
+
+def test_null_images_are_numbered(spark):
+    rows = [(None, i / 50) for i in range(40)] + [("a", i / 50) for i in range(30)]
+    df = spark.createDataFrame(rows, "image_path string, confidence double").select("*", *[F.lit(float(v)).alias(c) for c, v in zip(B.CORNERS, (0, 0, 300, 300))])
+    for limit in (10, 35, 10**6):
+        got = B.crop_numbers(df, hot_rows=limit).collect()
+        assert sorted((r.image_path or "", r.crop_no, r.mv_crop_no) for r in got) == [("", i, i) for i in range(40)] + [("a", i, i) for i in range(30)]
