@@ -123,8 +123,8 @@ def dataset_roots(spark, sf):
     for r in ("small", "large"):
         sinks.write_csv(d.where(F.col("root") == r).drop("root"), files.root_layout(f"{base}/{r}")["csv"])
     back = files.dataset_roots(spark, f"{base}/small; {base}/large\n")
-    return back.groupBy(X.file_name(F.regexp_replace("root", "/bbox_results.*$", "")).alias("root")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("image_path").alias("n_images"))
+    return back.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image_path").alias("n_images")).withColumn(
+        "root", X.file_name(F.col("root")))
 
 
 # -------------------------------------------------- byte tables and image files

@@ -29,6 +29,20 @@ def test_missing_columns_and_roots(spark, tmp_path):
     assert files.split_roots(" a, b;\n\nc ;") == ["a", "b", "c"]
 
 
+def test_each_root_is_read_under_its_own_header(spark, tmp_path):
+    for root, head, row in (("a", "x1,y1,x2,y2,image_path,class_name,confidence", "1,2,3,4,p,cup,0.5"),
+                            ("b c", "confidence,class_name,image_path,note,y2,x2,y1,x1", "0.5,cup,p,n,4,3,2,1")):
+        folder = tmp_path / root / "bbox_results"
+        folder.mkdir(parents=True)
+        (folder / "yolo26_detections.csv").write_text(f"{head}\n{row}\n")
+    df = files.dataset_roots(spark, f"{tmp_path}/a/; file://{tmp_path}/b c")
+    got = {r.root: (r.x1, r.y1, r.x2, r.y2, r.image_path, r.confidence, r.note) for r in df.collect()}
+    assert got == {f"{tmp_path}/a": ("1", "2", "3", "4", "p", "0.5", ""), f"{tmp_path}/b c": ("1", "2", "3", "4", "p", "0.5", "n")}
+    assert {r.root for r in files.dataset_roots(spark, f"{tmp_path}/*").collect()} == set(got)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_metadata" not in plan  # no address comes with the rows
+
+
 def test_depth_folder_is_left_out_under_every_root(spark, tmp_path):
     for name in ("a.png", "depth/b.png", "sub/depth/c.png", "sub/d_depth.png"):
         (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)

@@ -84,17 +84,27 @@ def root_layout(root: str) -> dict[str, str]:
 
 
 def dataset_roots(spark: SparkSession, text: str) -> DataFrame:
-    """Detections of several dataset roots in one scan, with a ``root`` column.
+    """Detections of several dataset roots, with a ``root`` column; a root may be a glob pattern.
 
-    A root without its CSV fails the read.
+    A root without its CSV fails the read. Each root is a scan of its own under its own header, and its name a constant:
+    taken from the address of every row, it costs more than parsing the row.
     """
-    roots = split_roots(text)
-    if not roots:
+    out = None
+    for root in [found for r in split_roots(text) for found in _roots_found(spark, r)]:
+        part = detections_csv(spark, root_layout(root)["csv"]).withColumn("root", F.lit(re.sub("^file:/*", "/", root)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
         raise ValueError("no dataset root given")
-    df = detections_csv(spark, [root_layout(r)["csv"] for r in roots], with_file=True)
-    plain = F.regexp_replace("file", "^file:/*", "/")
-    root = F.substring(plain, F.lit(1), F.length(plain) - len("/" + K.ROOT_DETECTIONS))
-    return df.withColumn("root", root).drop("file")
+    return out.na.fill("")  # columns that another root lacks
+
+
+def _roots_found(spark: SparkSession, root: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root_layout(root)["csv"])
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [str(f.getPath().toString()) for f in system.globStatus(path) or []]
+    if not found:
+        raise ValueError(f"no {K.ROOT_DETECTIONS} below {root}")
+    return [f[: -len("/" + K.ROOT_DETECTIONS)] for f in found]
 
 
 def caption_files(spark: SparkSession, folder: str) -> DataFrame:
