@@ -424,6 +424,22 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_small_and_large_samples_match_alike(spark):
+    rnd = random.Random(4)
+    words = ["cup", "tea cup", "a red tea cup", "Tea-Cup", "an", "", " ", None, "jar", "red", "edr\u00e9 cup"]
+    det = [(rnd.choice([None, "s1", "s2", "s3"]), n, rnd.choice(words), rnd.choice([None, 0.5, 0.9, float("nan")])) for n in range(120)]
+    req = [(s, n, rnd.choice(words)) for s in (None, "s1", "s2", "s3", "s4") for n in range(9)] + [("s1", 1, "cup")] * 2
+    det, req = spark.createDataFrame(det, "id string, det_no int, label string, score double"), spark.createDataFrame(req, "id string, object_no int, object string")
+    in_lists, by_words, mixed = (sorted(map(str, T.match_labels(req, det, payload=(), sample_rows=n).collect())) for n in (1000, 0, 30))
+    assert in_lists == by_words == mixed and len(in_lists) == 47
+
+
+def test_label_match_reads_its_tables_a_few_times_only(spark):
+    df = queries()["matched_labels"](spark, SF)
+    df.collect()
+    assert 1 <= len(re.findall(r"FileScan parquet \[l_\w+", plan(df).split("Initial Plan")[0])) <= 3
+
+
 def test_rank_limits_apply_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     assert "WindowGroupLimit" in plan(first_per_key(df, ["k"], [F.asc("id")], 5))

@@ -53,25 +53,56 @@ def containment_pairs(left: DataFrame, right: DataFrame, left_col: str, right_co
     )
 
 
-def match_labels(requested: DataFrame, detections: DataFrame, key: str = "id", payload: tuple[str, ...] = ("x1", "y1", "x2", "y2")) -> DataFrame:
+#: Detections of a sample up to which its requests look through a list of them.
+SAMPLE_ROWS = 1_000
+
+
+def match_labels(
+    requested: DataFrame, detections: DataFrame, key: str = "id", payload: tuple[str, ...] = ("x1", "y1", "x2", "y2"), sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
     """Best detection for every requested object; unmatched objects stay with ``found`` false.
 
     ``requested`` is (key, object_no, object), ``detections`` is (key, det_no,
     label, score, payload…). Labels match when, normalised, one contains the
-    other; the highest score wins, the first detection on ties. Per sample only
-    the best detection of each distinct label is kept before anything is paired,
-    and pairing goes through the label vocabulary, so a sample with very many
-    boxes of one class costs no more than its number of classes.
+    other; the highest score wins, the first detection on ties. The detections of a
+    sample are gathered into one list that its requests look through; samples of more than
+    ``sample_rows`` detections are paired through the label vocabulary instead.
     """
     req = requested.withColumn("__o", X.normalize_label(F.col("object")))
     cand = F.struct(
         F.col("score").alias("score"), (-F.col("det_no")).alias("neg_no"), F.col("label").alias("label"),
         *[F.col(p) for p in payload],
     )
-    best = (
-        detections.withColumn("__d", X.normalize_label(F.col("label")))
-        .groupBy(key, "__d").agg(F.max(cand).alias("c"))
+    seen = detections.select(key, X.normalize_label(F.col("label")).alias("__d"), cand.alias("c"))
+    # At most one key per ``sample_rows`` detections; mostly none, and then the second branch is dropped unread.
+    large = F.broadcast(
+        detections.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > sample_rows) & F.col(key).isNotNull()).select(key))
+    few, many = ((req.join(large, key, how), seen.join(large, key, how)) for how in ("left_anti", "left_semi"))
+    matched = _matched_in_sample(*few, key).unionByName(_matched_by_vocabulary(*many, key))
+    return matched.select(
+        key, "object_no", "object", F.col("c").isNotNull().alias("found"),
+        F.col("c.label").alias("label"), F.col("c.score").alias("score"),
+        (-F.col("c.neg_no")).alias("det_no"), *[F.col(f"c.{p}").alias(p) for p in payload],
     )
+
+
+def _matched_in_sample(req: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Requests with their best candidate ``c``, found in the list of the sample's detections."""
+    lists = seen.groupBy(key).agg(F.collect_list(F.struct("__d", "c")).alias("__seen"))
+    o = F.col("__o")
+    # An empty label is contained in any request, an empty request in any label, even a null one.
+    fits = F.filter("__seen", lambda e: (o == "") | F.contains(e["__d"], o) | F.contains(o, e["__d"]))
+    best = F.array_max(F.transform(fits, lambda e: e["c"]))
+    return req.join(lists, key, "left").select(*req.columns, best.alias("c"))
+
+
+def _matched_by_vocabulary(req: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """The same for large samples.
+
+    Only the best detection of each distinct label is kept before anything is paired, and pairing goes through the
+    label vocabulary, so a sample with very many boxes of one class costs no more than its number of classes.
+    """
+    best = seen.groupBy(key, "__d").agg(F.max("c").alias("c"))
     wanted = req.select(key, "__o").distinct()
     pairs = containment_pairs(
         wanted.select("__o").where(F.col("__o") != "").distinct(),
@@ -89,11 +120,7 @@ def match_labels(requested: DataFrame, detections: DataFrame, key: str = "id", p
         by_label.unionByName(by_request).unionByName(by_blank).unionByName(by_any)
         .groupBy(key, "__o").agg(F.max("c").alias("c"))
     )
-    return req.join(winner, [key, "__o"], "left").select(
-        key, "object_no", "object", F.col("c").isNotNull().alias("found"),
-        F.col("c.label").alias("label"), F.col("c.score").alias("score"),
-        (-F.col("c.neg_no")).alias("det_no"), *[F.col(f"c.{p}").alias(p) for p in payload],
-    )
+    return req.join(winner, [key, "__o"], "left").select(*req.columns, "c")
 
 
 # ------------------------------------------------------------- descriptor match
