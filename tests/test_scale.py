@@ -440,6 +440,13 @@ def test_label_match_reads_its_tables_a_few_times_only(spark):
     assert 1 <= len(re.findall(r"FileScan parquet \[l_\w+", plan(df).split("Initial Plan")[0])) <= 3
 
 
+def test_composed_balance_draws_its_slots_once(spark):
+    df = queries()["composed_balance"](spark, SF)
+    assert all(r.capped and r.even for r in df.collect())
+    # The slots are read once to be numbered and once to be counted by band; no second pass holds them against the rules.
+    assert plan(df).split("Initial Plan")[0].count("FileScan parquet [o_orderkey") <= 2
+
+
 def test_rank_limits_apply_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     assert "WindowGroupLimit" in plan(first_per_key(df, ["k"], [F.asc("id")], 5))
