@@ -597,6 +597,64 @@ def test_composed_texts_are_never_gathered(spark):
     assert all(i.startswith(k) for r in rows for i, k in zip(r.reference_ids, r.reference_categories))
 
 
+def test_digests_read_on_from_row_to_row():
+    import hashlib
+
+    from tilewright.functions import digest as D
+
+    rnd = random.Random(7)
+    texts = [rnd.randbytes(n) for n in (0, 1, 55, 56, 63, 64, 65, 127, 128, 3000, *[rnd.randrange(300) for _ in range(30)])]
+    whole, state = [b""] * 9000, [D.NEW] * 9000
+    for _ in range(3):
+        leads, of = [rnd.randbytes(rnd.randrange(130)) for _ in whole], [rnd.randrange(len(texts)) for _ in whole]
+        state, whole = D.read_on(state, leads, texts, of), [w + lead + texts[k] for w, lead, k in zip(whole, leads, of)]
+    assert D.closed(state) == [hashlib.md5(w).digest() for w in whole] and D.read_on([], [], texts, []) == []
+
+
+@pytest.mark.parametrize("groups", [(100_000, 16_000_000), (7, 30)])
+def test_composed_digests_are_those_of_the_prompts(spark, monkeypatch, groups):
+    """In few groups, and in many with some that hold captions alone and records that are dealt out in copies."""
+    from tilewright.plans import composition as C
+
+    monkeypatch.setattr(C, "GROUP_SAMPLES", groups[0])
+    monkeypatch.setattr(C, "GROUP_BYTES", groups[1])
+    refs = spark.createDataFrame(
+        [(f"{c}{i}", c, f"caption \u00e9 {c}{i} " * (i * i), f"{c}{i}.jpg", "GOOD", None)
+         for c, n in (("landmark", 5), ("person", 1), ("object", 3), ("celeb", 12), ("cuisine", 4)) for i in range(1, n + 1)],
+        "id string, category string, caption string, saved_image_path string, quality string, error string")
+    samples = spark.range(300).withColumnRenamed("id", "sample_no")
+    for weights in (None, {2: 0.3, 4: 0.7}) if groups[0] < 100 else (None,):
+        same = ["id", "sample_no", "num_references", "reference_categories", "reference_ids", "conditions", "prompt_md5"]
+        want = C.composed_samples(samples, refs, 300, 5, weights).withColumn("prompt_md5", F.md5("prompt_text")).select(*same)
+        got = sorted(map(str, C.composed_digests(samples, refs, 300, 5, weights).select(*same).collect()))
+        assert len(got) == 300 and got == sorted(map(str, want.collect()))
+
+
+def test_no_text_is_joined_to_samples(spark):
+    """A caption beside a sample is moved and written once for each sample that shows it."""
+    def nodes(p):
+        yield p
+        for k in range(p.children().length()):
+            yield from nodes(p.children().apply(k))
+
+    root = queries()["composed_samples"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    joined = [n.output().mkString(",") for n in nodes(root) if n.nodeName() in ("Join", "FlatMapCoGroupsInArrow")]
+    assert joined and not [out for out in joined if "__places" in out and ("caption" in out or "__record" in out)]
+
+
+def test_numbering_leaves_rows_where_it_dealt_them(spark):
+    """The sizes of earlier bands are joined to the rows without dealing them again; null keys are keys."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("k"), F.col("id").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = split_ordinal(df, ["k"], [F.asc("n")], F.floor(F.col("n") / 64))
+        assert got.where("ordinal <> floor(n / 3)").count() == 0 and got.count() == 3000
+        assert len([line for line in plan(got).splitlines() if "Exchange hashpartitioning" in line and "__band" in line]) <= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rows_do_not_meet_by_root(spark):
     """Two roots: joined by root, all rows would meet in two tasks."""
     df = spark.range(1000).select(F.when(F.col("id") % 11 == 0, "small").otherwise("large").alias("root"), F.col("id").cast("string").alias("row_key"))
