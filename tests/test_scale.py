@@ -630,6 +630,18 @@ def test_composed_digests_are_those_of_the_prompts(spark, monkeypatch, groups):
         assert len(got) == 300 and got == sorted(map(str, want.collect()))
 
 
+def test_composed_digests_without_references(spark):
+    from tilewright.plans import composition as C
+
+    refs = spark.createDataFrame([("a", "person", "cap", "a.jpg", "GOOD", None)], "id string, category string, caption string, saved_image_path string, quality string, error string")
+    samples = spark.range(20).withColumnRenamed("id", "sample_no")
+    want = C.composed_samples(samples, refs.where("false"), 20, 5).select("id", "num_references", F.md5("prompt_text").alias("prompt_md5"))
+    got = C.composed_digests(samples, refs.where("false"), 20, 5).select("id", "num_references", "prompt_md5").collect()
+    assert len(got) == 20 and sorted(got) == sorted(want.collect())
+    with pytest.raises(Exception, match="no usable 'landmark' reference"):
+        C.composed_digests(samples, refs, 20, 5).collect()
+
+
 def test_no_text_is_joined_to_samples(spark):
     """A caption beside a sample is moved and written once for each sample that shows it."""
     def nodes(p):
